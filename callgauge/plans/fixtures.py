@@ -164,3 +164,102 @@ class Tables:
         return with_position(
             self.calls_unordered, ["transcript_id"], ["ts", "call_id"], time_slice("ts"), "call_index"
         )
+
+    # ---- raw call objects, with the aliases and faults of real emitters -----
+
+    @cached_property
+    def raw_calls(self) -> DataFrame:
+        n = F.col("event_id") % 10
+        ident = F.col("event_id").cast("string")
+        good = F.concat(F.lit('{"prompt":"scene '), ident, F.lit('"}'))
+        call = (
+            F.when(n == 0, F.concat(F.lit('{"function_name":"img_generate","parameters":'), good, F.lit(',"id":"c'), ident, F.lit('"}')))
+            .when(n == 1, F.concat(F.lit('{"name":"vid_generate","arguments":'), good, F.lit(',"call_id":"k'), ident, F.lit('"}')))
+            .when(n == 2, '"just text"')
+            .when(n == 3, F.concat(F.lit('{"function_name":null,"name":"img_generate","arguments":'), good, F.lit("}")))
+            .when(n == 4, '{"function_name":["x"],"arguments":{}}')
+            .when(n == 5, '{"name":"","arguments":[1]}')
+            .when(n == 6, '{"name":"img_generate","arguments":[1]}')
+            .when(n == 7, '{"function_name":"img_generate","parameters":"text"}')
+            .when(n == 8, '{"name":"music_generate"}')
+            .otherwise(F.concat(F.lit('{"name":"av_combine","parameters":{},"arguments":'), good, F.lit("}")))
+        )
+        return self.spread("events", "event_id").select(
+            F.col("event_id").alias("call_id"),
+            (F.col("user_id") * 100 + F.day("ts").cast("bigint")).alias("transcript_id"),
+            call.alias("call"),
+        )
+
+    # ---- a second registry for the rules the first one cannot show -----------
+
+    @cached_property
+    def studio_params(self) -> DataFrame:
+        tools = (("vid", "clip_morph"), ("av", "gif_make"), ("speech", "speech_say"), ("music", "song_make"))
+        params = (
+            ("prompt", "string"),
+            ("model", "string"),
+            ("fps", "number"),
+            ("encoding", "string"),
+            ("sample_count", "number"),
+            ("tags", "array"),
+            ("out_uri", "string"),
+            ("aspect_ratio", "string"),
+            ("image_uri", "string"),
+        )
+        rows = [
+            (server, tool, pos, name, kind, name == "prompt")
+            for server, tool in tools
+            for pos, (name, kind) in enumerate(params)
+        ]
+        return literal_table(
+            self.spark,
+            rows,
+            "server string, tool_name string, param_pos int, param_name string, param_type string, required boolean",
+        )
+
+    @cached_property
+    def studio_spec(self) -> Spec:
+        spark = self.spark
+        params = self.studio_params.selectExpr("*", "CAST(NULL AS array<string>) AS enum", "false AS is_uri")
+        tools = params.selectExpr("server", "tool_name", "'' AS description").distinct()
+        caps = [("vid", "m-1", "first_last", "false"), ("vid", "m-2", "first_last", "true"), ("vid", "m-3", "first_last", '"true"')]
+        caps += [("music", m, "max_samples", n) for m, n in (("m-1", "4"), ("m-2", "2"), ("m-3", "3"))]
+        caps += [(s, m, "listed", "true") for s in ("av", "speech") for m in ("m-1", "m-2", "m-3")]
+        violation = ("capability_violation", "CAPABILITY_VIOLATION")
+        rules = [
+            (".*", "model", "known_model", None, None, None, None, "unknown_model", "ERROR", "is not a known model"),
+            ("clip_morph", "model", "tool_flag", "first_last", None, None, None, *violation, "has no first/last frame mode"),
+            ("gif_make", "fps", "range", None, 1.0, 60.0, None, *violation, "is not between 1 and 60"),
+            ("speech_say", "encoding", "fixed_set", None, None, None, ["LINEAR16", "MP3", "OGG_OPUS"], *violation, "is not supported"),
+            ("song_make", "sample_count", "model_max", "max_samples", None, None, None, "capability_violation", "ERROR", "is above the maximum"),
+            ("song_make", "sample_count", "range", None, 1.0, None, None, "invalid_value", "ERROR", "is below 1"),
+        ]
+        return Spec(
+            tools,
+            params,
+            literal_table(spark, caps, "server string, model string, capability string, value string"),
+            literal_table(spark, rules, RULE_COLUMNS),
+            bounded=True,
+        )
+
+    @cached_property
+    def studio_calls(self) -> DataFrame:
+        i = F.col("event_id")
+        pick = lambda n, *values: F.element_at(F.array(*[F.lit(v) for v in values]), ((i % n) + 1).cast("int"))
+        args = F.concat(
+            F.lit('{"prompt":"take '), i.cast("string"),
+            F.lit('","model":"'), pick(3, "m-1", "m-2", "m-3"),
+            F.lit('","fps":'), (i % 70).cast("string"),
+            F.lit(',"encoding":"'), pick(5, "LINEAR16", "MP3", "OGG_OPUS", "FLAC", "WAV"),
+            F.lit('","sample_count":'), (i % 6).cast("string"),
+            F.lit(',"tags":'), pick(4, '["a","b"]', '["a",1]', "[]", "[null]"),
+            F.lit(',"out_uri":"'), pick(11, "gs://b/o.mp4", "gs://Bad/x", "b/o", "gs://b/", "gs://b-1/a/b", "s3://b/x", "gs://b_c/.d", "", "gs://-b/x", "gs://b.c/d", "/tmp/x"),
+            F.lit('","'), pick(7, "ratio", "aspectRatio", "image_url", "aspect_ratioo", "aspect_ratio", "aspect_ratio", "image_uri"),
+            F.lit('":"16:9"}'),
+        )
+        return self.spread("events", "event_id").select(
+            i.alias("call_id"),
+            (F.col("user_id") * 100 + F.day("ts").cast("bigint")).alias("transcript_id"),
+            pick(4, "clip_morph", "gif_make", "speech_say", "song_make").alias("tool_name"),
+            args.alias("arguments"),
+        )
