@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callgauge import fixed
 from callgauge.operators.lint import Spec, call_verdicts, flag_frame, violations
+from callgauge.operators.scoring import collapse, tool_calling
 
 
 def quarantine(calls: DataFrame, spec: Spec) -> DataFrame:
@@ -42,3 +43,32 @@ def assert_minimum(scores: DataFrame, score: str, minimum: float = fixed.PASS_TO
     low = below_minimum(scores, score, minimum).count()
     if low:
         raise AssertionError(f"{low} case(s) score below {minimum:.3f}")
+
+
+def case_pass(raw_scores: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Score each case with its lint verdict; it passes when lint is clean and the score is high enough."""
+    done = tool_calling(collapse(raw_scores, verdicts)).withColumnRenamed("overall", "tc")
+    return done.withColumn("passed", F.expr(f"coalesce(n_violations, 0) = 0 AND tc >= {fixed.PASS_TOOL_CALLING}"))
+
+
+def suite(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Mean score and number of collapsed cases of a golden suite against both gates."""
+    stats = scores.groupBy(*by).agg(
+        F.avg("tc").alias("mean"), F.expr(f"count_if(arguments <= {fixed.COLLAPSED_ARGUMENTS})").alias("collapsed")
+    )
+    return stats.selectExpr(
+        *by, "round(mean, 4) AS mean_tc", "collapsed", f"mean >= {fixed.SUITE_MEAN} AND collapsed = 0 AS passed"
+    )
+
+
+def regressions(deltas: DataFrame) -> DataFrame:
+    """Cases that lost more than the allowed drop against their baseline."""
+    return deltas.where(F.col("delta") < -fixed.MAX_DROP)
+
+
+def consensus(scores: DataFrame) -> DataFrame:
+    """Block a case when any judge scores it under the floor or sees a collapse."""
+    per_case = scores.groupBy("call_id").agg(
+        F.min("tc").alias("lowest"), F.expr("bool_or(collapsed <> 'none')").alias("collapsed")
+    )
+    return per_case.withColumn("blocked", F.expr(f"lowest < {fixed.JUDGE_FLOOR} OR collapsed"))

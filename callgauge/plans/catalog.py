@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callgauge.plans import lint_queries, oracle_views  # noqa: F401  (fills the registry)
+from callgauge.plans import lint_queries, oracle_views, score_queries  # noqa: F401  (fills the registry)
 from callgauge.plans.registry import ORACLES, QUERIES, runnable, with_ctes
 
 

@@ -263,3 +263,70 @@ class Tables:
             pick(4, "clip_morph", "gif_make", "speech_say", "song_make").alias("tool_name"),
             args.alias("arguments"),
         )
+
+    # ---- judge scores ------------------------------------------------------------
+
+    def _judge_scores(self, calls: DataFrame) -> DataFrame:
+        judges = F.explode(F.array(*[F.struct(F.lit(n).alias("judge"), F.lit(k).alias("k")) for n, k in JUDGES]))
+        base = calls.withColumn("_j", judges).selectExpr("*", "_j.judge AS judge", "_j.k AS k").drop("_j")
+
+        def score(a: int, b: int, good: str, when_null: str = "") -> str:
+            spread = f"(call_id * {a} + {b} * k) % 11"
+            return f"CAST(CASE {when_null} WHEN fault_no >= 13 THEN {good} ELSE {spread} END AS INT)"
+
+        every = lambda a: f"CAST((call_id * {a} + k) % 11 AS INT)"
+        passed = ["multi_call"] if "multi_call" in calls.columns else []
+        return base.selectExpr(
+            "call_id",
+            "transcript_id",
+            "tool_name",
+            "fault_no",
+            "judge",
+            *passed,
+            "CASE WHEN fault_no >= 13 THEN 'correct' ELSE 'broken' END AS kind",
+            "CASE WHEN fault_no IN (0, 10, 11) THEN 'argument_completeness' WHEN fault_no = 1 THEN 'argument_name'"
+            " WHEN fault_no IN (5, 9, 12) THEN 'argument_type' WHEN fault_no = 8 THEN 'selection'"
+            " WHEN fault_no >= 13 THEN 'none' ELSE 'argument_value' END AS expected_taxonomy",
+            f"{score(7, 1, '8 + (call_id * 3 + k) % 3')} AS necessity",
+            f"{score(3, 1, '8 + (call_id * 5 + k) % 3')} AS sel_correctness",
+            f"{score(5, 1, '8 + (call_id + k) % 3')} AS sel_specificity",
+            f"{score(9, 1, '9')} AS sel_completeness",
+            f"{every(1)} AS sequence_logic",
+            f"{every(2)} AS dependency_handling",
+            f"{every(4)} AS execution_efficiency",
+            f"{score(6, 1, '10', 'WHEN call_id % 89 = 0 THEN 15')} AS completeness",
+            f"{score(8, 1, '10')} AS name_accuracy",
+            f"{score(10, 1, '9')} AS value_accuracy",
+            f"{score(2, 3, '10')} AS type_compliance",
+            f"{score(3, 5, '10')} AS format_compliance",
+            f"{score(1, 7, '10', 'WHEN call_id % 97 = 0 THEN NULL')} AS relevancy",
+        ).selectExpr(
+            "*",
+            "CASE WHEN call_id % 3 = 0 AND kind = 'broken' THEN array(expected_taxonomy)"
+            " WHEN call_id % 7 = 0 THEN array('ordering') ELSE array() END AS failures",
+            "CASE WHEN call_id % 4 = 0 THEN concat('fault in ', expected_taxonomy) ELSE 'no comment' END AS rationale",
+        )
+
+    @cached_property
+    def judge_scores(self) -> DataFrame:
+        return self._judge_scores(self.call_keys)
+
+    @cached_property
+    def judge_scores_ordered(self) -> DataFrame:
+        """With multi_call, which needs the call index."""
+        return self._judge_scores(self.call_order.withColumn("multi_call", F.expr("call_index > 0")))
+
+    @cached_property
+    def coherence_raw(self) -> DataFrame:
+        """One raw coherence reply per conversation; some leaves are text, missing or out of range."""
+        convs = self.read("conversations").groupBy("conv_id").agg(F.count("*").alias("turns"))
+        return convs.selectExpr(
+            "conv_id",
+            "CAST(1 + conv_id % 3 AS STRING) AS logical_flow",
+            "CASE conv_id % 7 WHEN 0 THEN 'bad' WHEN 1 THEN NULL WHEN 2 THEN 'NaN' WHEN 3 THEN '7' WHEN 4 THEN '2.5'"
+            " WHEN 5 THEN 'true' ELSE '-1' END AS completeness",
+            "CAST(1 + turns % 3 AS STRING) AS conciseness",
+            "CASE WHEN conv_id % 11 = 0 THEN 'Infinity' ELSE '3' END AS topic_relevance",
+            "turns < 3 AS retention_na",
+            "CASE WHEN conv_id % 5 = 0 THEN NULL ELSE CAST(1 + conv_id % 2 AS STRING) END AS context_retention",
+        )
