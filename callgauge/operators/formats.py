@@ -39,3 +39,11 @@ def alias_hints(calls: DataFrame, spec: Spec, aliases: tuple = fixed.PARAM_ALIAS
         f"CASE WHEN array_contains(spec_params, alias_of) THEN alias_of ELSE {nearest} END AS hint",
         "coalesce(array_contains(spec_params, alias_of), false) AS is_alias",
     )
+
+
+def local_paths(calls: DataFrame, spec: Spec, params: list[str]) -> DataFrame:
+    """Local paths given to parameters that only take cloud URIs."""
+    named = flag_frame(calls, spec).where(F.col("open_arg") & F.col("arg_name").isin(*params))
+    local = "startswith(arg_text, '/') OR startswith(arg_text, 'file://') OR NOT contains(arg_text, '://')"
+    bad = named.where(f"arg_kind = 'STR' AND arg_text <> '' AND ({local})")
+    return bad.select("call_id", "transcript_id", "tool_name", F.col("arg_name").alias("parameter_name"), "arg_text")

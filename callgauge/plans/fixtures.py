@@ -330,3 +330,44 @@ class Tables:
             "turns < 3 AS retention_na",
             "CASE WHEN conv_id % 5 = 0 THEN NULL ELSE CAST(1 + conv_id % 2 AS STRING) END AS context_retention",
         )
+
+    # ---- chains ---------------------------------------------------------------------
+
+    @cached_property
+    def call_io(self) -> DataFrame:
+        at = lambda shift: f"concat('gs://b/', transcript_id, '/', call_index + {shift}, '.png')"
+        return self.call_order.selectExpr(
+            "call_id", "transcript_id", "call_index", "tool_name", "fault_no",
+            f"{at(0)} AS produced_uri",
+            f"CASE WHEN fault_no = 7 THEN 'gs://b/none.png' WHEN fault_no = 9 THEN {at(1)}"
+            f" WHEN call_index > 0 THEN {at(-1)} END AS consumed_uri",
+            "CASE WHEN fault_no = 2 THEN '21:9' ELSE '16:9' END AS aspect_ratio",
+        )
+
+    @cached_property
+    def produced(self) -> DataFrame:
+        return self.call_io.withColumnRenamed("produced_uri", "uri").drop("consumed_uri")
+
+    @cached_property
+    def consumed(self) -> DataFrame:
+        return self.call_io.withColumnRenamed("consumed_uri", "uri").drop("produced_uri").where("uri IS NOT NULL")
+
+    @cached_property
+    def tool_needs(self) -> DataFrame:
+        rows = [("av_combine", "vid_generate"), ("av_combine", "music_generate"), ("vid_from_image", "img_generate")]
+        return literal_table(self.spark, rows, "tool_name string, needs_tool string")
+
+    @cached_property
+    def expected_steps(self) -> DataFrame:
+        kept = self.call_order.where("fault_no <> 19").selectExpr(
+            "transcript_id", "call_index AS step_index",
+            "CASE WHEN tool_name = 'media_unknown' THEN 'img_generate' ELSE tool_name END AS tool_name",
+        )
+        # The index of the extra last step is the number of calls: no ordering needed.
+        extra = (
+            self.call_keys.where("transcript_id % 5 = 0")
+            .groupBy("transcript_id")
+            .agg(F.count("*").cast("int").alias("step_index"))
+            .withColumn("tool_name", F.lit("av_combine"))
+        )
+        return kept.unionByName(extra)
