@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.functions.variants import kind
+from callgauge.operators.dims import join_spec
 from callgauge.session import use_checkpoints
 
 KEY = ["transcript_id", "uri"]
@@ -84,7 +85,8 @@ def mock_lookup(calls: DataFrame, mocks: DataFrame) -> DataFrame:
     """Prepared output for each call with the same tool and the same arguments."""
     hashed = lambda d: d.withColumn("args_hash", F.expr(f"md5({canonical('arguments')})")).drop("arguments")
     unique = hashed(mocks).groupBy("tool_name", "args_hash").agg(F.min("mock_output").alias("mock_output"))
-    found = hashed(calls).join(unique, ["tool_name", "args_hash"], "left")
+    # Agents repeat themselves, so one argument set may be most of the calls.
+    found = join_spec(hashed(calls), unique, ["tool_name", "args_hash"], "left", spread="call_id")
     return found.drop("args_hash").withColumn("matched", F.col("mock_output").isNotNull())
 
 

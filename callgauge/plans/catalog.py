@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callgauge.plans import flow_queries, lint_queries, oracle_views, score_queries  # noqa: F401  (fills the registry)
+from callgauge.plans import (  # noqa: F401  (fills the registry)
+    flow_queries,
+    generation_queries,
+    lint_queries,
+    oracle_views,
+    score_queries,
+)
 from callgauge.plans.registry import ORACLES, QUERIES, runnable, with_ctes
 
 

@@ -371,3 +371,42 @@ class Tables:
             .withColumn("tool_name", F.lit("av_combine"))
         )
         return kept.unionByName(extra)
+
+    # ---- a registry that grows with the data: one tool per part ------------------------
+
+    @cached_property
+    def spec_tools(self) -> DataFrame:
+        return self.spread("part", "p_partkey").selectExpr(
+            "CASE WHEN p_partkey % 97 = 0 THEN concat('solo_', p_partkey) ELSE p_brand END AS server",
+            "concat('tool_', p_partkey) AS tool_name",
+            "p_partkey AS tool_pos",
+            "CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_name END AS description",
+        )
+
+    @cached_property
+    def spec_params(self) -> DataFrame:
+        rows = (
+            "stack(6, 0, 'prompt', 'string', true, false, true,"
+            " 1, 'image_uri', 'string', p_partkey % 3 = 0, false, true,"
+            " 2, 'style', 'string', p_partkey % 4 = 0, true, p_partkey % 2 = 0,"
+            " 3, 'count', 'integer', p_partkey % 5 = 0, false, p_partkey % 3 <> 1,"
+            " 4, 'hd', 'boolean', p_partkey % 6 = 0, false, true,"
+            " 5, 'tags', 'array', p_partkey % 7 = 0, false, p_partkey % 5 <> 2)"
+            " AS (param_pos, param_name, param_type, required, listed, there)"
+        )
+        return (
+            self.spread("part", "p_partkey")
+            .where("p_partkey % 13 <> 0")
+            .selectExpr("concat('tool_', p_partkey) AS tool_name", rows)
+            .where("there")
+            .selectExpr(
+                "tool_name", "param_pos", "param_name", "param_type", "required",
+                "CASE WHEN listed THEN array('\"draft\"', '\"final\"') END AS enum",
+            )
+        )
+
+    @cached_property
+    def spec_seeds(self) -> DataFrame:
+        return self.read("part").where("p_partkey % 2 = 0").selectExpr(
+            "concat('tool_', p_partkey) AS tool_name", "concat('{\"uri\":\"gs://b/', p_partkey, '.png\"}') AS example_output"
+        )
