@@ -43,7 +43,8 @@ class Spec:
 
     tools: server, tool_name, description
     params: server, tool_name, param_pos, param_name, param_type, required,
-        enum array<string> (JSON texts), is_uri boolean
+        enum array<string> (JSON texts), is_uri boolean, and where the schema has
+        bounds, minimum and maximum (double)
     capabilities: server, model, capability, value (JSON text)
     rules: see RULE_COLUMNS
     """
@@ -110,6 +111,14 @@ def param_dim(spec: Spec) -> DataFrame:
         )
     )
     ptype = "lower(coalesce(nullif(param_type, ''), 'string'))"
+    rules = "rules"
+    if "minimum" in spec.params.columns:
+        # Bounds of the schema are one more rule of their own parameter.
+        rules = (
+            "concat(coalesce(rules, array()), CASE WHEN minimum IS NOT NULL OR maximum IS NOT NULL THEN array(struct('range' AS check,"
+            " CAST(NULL AS STRING) AS capability, minimum AS min_value, maximum AS max_value, CAST(NULL AS array<string>) AS allowed,"
+            f" 'invalid_value' AS rule_id, '{fixed.ERROR}' AS severity, 'is out of range' AS phrase)) ELSE array() END)"
+        )
     return (
         spec.params.join(attached, ["tool_name", "param_name"], "left")
         .selectExpr(
@@ -119,9 +128,9 @@ def param_dim(spec: Spec) -> DataFrame:
             f"{kinds_of_type(ptype)} AS param_kinds",
             "required AS param_required",
             f"CASE WHEN size(enum) > 0 THEN transform(enum, e -> {comparable('parse_json(e)', kind('parse_json(e)'))}) END AS enum_values",
-            f"transform(enum, e -> CAST(parse_json(e) AS STRING)) AS enum_shown",
+            "transform(enum, e -> CAST(parse_json(e) AS STRING)) AS enum_shown",
             "is_uri AS param_is_uri",
-            "posexplode_outer(rules) AS (rule_no, rule)",
+            f"posexplode_outer({rules}) AS (rule_no, rule)",
         )
         .withColumn("rule_no", F.expr("coalesce(rule_no, 0)"))
     )

@@ -176,3 +176,49 @@ def call_text(arguments: str) -> str:
     """``k='v', n=1``: arguments as keyword pairs, in the order of the Variant's keys."""
     value = "CASE WHEN {k} = 'STR' THEN concat(\"'\", CAST(e.value AS STRING), \"'\") WHEN {k} = 'BOO' THEN initcap(CAST(e.value AS STRING)) WHEN {k} = 'VOI' THEN 'None' ELSE to_json(e.value) END".format(k=kind("e.value"))
     return f"array_join(transform(map_entries(try_cast(parse_json({arguments}) AS map<string,variant>)), e -> concat(e.key, '=', {value})), ', ')"
+
+
+# ---- prompts of the stages and of the judges -------------------------------------------------
+
+
+def interpretation_prompts(specs: DataFrame) -> DataFrame:
+    return specs.selectExpr("server", "tool_name", f"{fill(INTERPRETATION_PROMPT, tool_info='spec')} AS prompt")
+
+
+def scenario_prompts(summaries: DataFrame, sizes: DataFrame, tiers: list[str]) -> DataFrame:
+    """Scenario prompts per server part and tier; an unknown tier is asked as simple.
+
+    summaries: server, part, text; sizes: server, n.
+    """
+    joined = summaries.join(sizes, "server").withColumn("tier", F.explode(F.array(*[F.lit(t) for t in tiers])))
+    cases = " ".join(
+        f"WHEN '{tier}' THEN {fill(text, n='n', tool_summary='text')}" for tier, text in SCENARIO_PROMPTS.items() if tier != "simple"
+    )
+    return joined.selectExpr(
+        "server", "part", "tier", f"CASE tier {cases} ELSE {fill(SCENARIO_PROMPTS['simple'], n='n', tool_summary='text')} END AS prompt"
+    )
+
+
+def workflow_prompts(rows: DataFrame) -> DataFrame:
+    """Mock-output and conversation prompts of one-step scenarios.
+
+    rows: title, prompt, tool_name, parameters, mock_output, agent_followup, block,
+    example_output.
+    """
+    seeds = f"coalesce(example_output, {literal(NO_SEEDS)})"
+    call = "concat('[{\"function_name\":\"', tool_name, '\",\"parameters\":', parameters, '}]')"
+    done = "concat('[{\"function_name\":\"', tool_name, '\",\"mock_output\":', mock_output, '}]')"
+    followup = f"coalesce(nullif(agent_followup, ''), {literal(NO_FOLLOWUP)})"
+    mock = fill(MOCK_PROMPT, tool_summary="block", seed_outputs=seeds, title="title", prompt="prompt", workflow=call)
+    turn = fill(TURNS_PROMPT, title="title", prompt="prompt", mock_workflow=done, followup=followup)
+    return rows.selectExpr("*", f"{mock} AS mock_prompt", f"{turn} AS turns_prompt")
+
+
+def judge_prompts(cases: DataFrame, judges: list[str]) -> DataFrame:
+    """Prompt table for an offline scorer: every case part once per judge.
+
+    cases: transcript_id, part, specs, request, calls.
+    """
+    filled = fill(TOOL_CALLING_PROMPT, tool_specs="specs", user_prompt="request", agent_calls="calls")
+    per_judge = cases.withColumn("judge", F.explode(F.array(*[F.lit(j) for j in judges])))
+    return per_judge.selectExpr("transcript_id", "part", "judge", f"{filled} AS prompt")

@@ -12,6 +12,8 @@ from callgauge.plans import (  # noqa: F401  (fills the registry)
     lint_queries,
     oracle_views,
     score_queries,
+    source_queries,
+    text_queries,
 )
 from callgauge.plans.registry import ORACLES, QUERIES, runnable, with_ctes
 

@@ -86,7 +86,14 @@ FROM calls c CROSS JOIN (VALUES ('judge_a', 1), ('judge_b', 4)) AS j(judge, k)
 CTES["judge_text"] = """
 SELECT call_id, judge,
        CASE WHEN call_id % 5 = 0 THEN body
-            WHEN call_id % 5 = 1 THEN '
+            WHEN call_id % 5 = 1 THEN '```json ' || body || ' ```'
+            WHEN call_id % 5 = 2 THEN '``` ' || body || ' ```'
+            WHEN call_id % 5 = 3 THEN 'Here is my score: ' || body || ' Hope this helps.'
+            ELSE substring(body, 1, length(body) - 1) || ',}' END AS reply
+FROM (SELECT call_id, judge,
+             '{"necessity":' || CAST(necessity AS VARCHAR(20)) || ',"name_accuracy":'
+             || CAST(name_accuracy AS VARCHAR(20)) || '}' AS body
+      FROM judge_scores) b
 """
 
 CTES["seed_outputs"] = """

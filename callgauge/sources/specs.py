@@ -152,16 +152,6 @@ def override_tools(base: DataFrame, extra: DataFrame) -> DataFrame:
     return base.join(extra.select("tool_name").distinct(), "tool_name", "left_anti").unionByName(extra.select(*base.columns))
 
 
-def schema_bounds(params: DataFrame) -> DataFrame:
-    """Rule rows from the ``minimum`` and ``maximum`` of the parameters."""
-    bound = params.where("minimum IS NOT NULL OR maximum IS NOT NULL")
-    return bound.selectExpr(
-        "regexp_replace(tool_name, '([^A-Za-z0-9_])', '\\\\\\\\$1') AS tool_pattern", "param_name", "'range' AS check",
-        "CAST(NULL AS STRING) AS capability", "minimum AS min_value", "maximum AS max_value",
-        "CAST(NULL AS array<string>) AS allowed", "'invalid_value' AS rule_id", "'ERROR' AS severity", "'is out of range' AS phrase",
-    )
-
-
 def load_spec(spark: SparkSession, root: str, rules: DataFrame, capabilities: str | None = None) -> Spec:
     """Registry of all server folders under ``root`` (or of one folder), ready for the linter.
 
@@ -176,9 +166,9 @@ def load_spec(spark: SparkSession, root: str, rules: DataFrame, capabilities: st
     columns = ["server", "tool_name", "param_pos", "param_name", "param_type", "required", "enum", "is_uri"]
     return Spec(
         tools.select("server", "tool_name", "description"),
-        params.select(*columns),
+        params.select(*columns, "minimum", "maximum"),
         matrix,
-        rules.unionByName(schema_bounds(params)),
+        rules,
     )
 
 
