@@ -13,6 +13,7 @@ from callgauge.plans import (  # noqa: F401  (fills the registry)
     oracle_views,
     score_queries,
     source_queries,
+    stream_queries,
     text_queries,
 )
 from callgauge.plans.registry import ORACLES, QUERIES, runnable, with_ctes

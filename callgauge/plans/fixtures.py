@@ -109,9 +109,19 @@ class Tables:
     @cached_property
     def call_keys(self) -> DataFrame:
         """call_id, transcript_id, ts, fault_no and tool of each event."""
+        return self._keys(self.spread("events", "event_id"))
+
+    @cached_property
+    def stream_calls(self) -> DataFrame:
+        """The same calls as ``calls_unordered``, read as a stream of files."""
+        schema = self.read("events").schema
+        return self._with_arguments(self._keys(self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/events*.parquet")))
+
+    @staticmethod
+    def _keys(events: DataFrame) -> DataFrame:
         e = F.col("event_type")
         fault = (F.col("event_id") % 20).cast("int")
-        return self.spread("events", "event_id").select(
+        return events.select(
             F.col("event_id").alias("call_id"),
             (F.col("user_id") * 100 + F.day("ts").cast("bigint")).alias("transcript_id"),
             F.col("ts").cast("timestamp").alias("ts"),
@@ -128,6 +138,10 @@ class Tables:
     @cached_property
     def calls_unordered(self) -> DataFrame:
         """Calls without their index: enough for every rule that looks at one call."""
+        return self._with_arguments(self.call_keys)
+
+    @staticmethod
+    def _with_arguments(keys: DataFrame) -> DataFrame:
         f, cid = F.col("fault_no"), F.col("call_id").cast("string")
         args = F.concat(
             F.lit('{"seed":'),
@@ -152,7 +166,7 @@ class Tables:
             F.when(f == 9, '","images":"gs://b/x.png"').otherwise('","images":["gs://b/x.png"]'),
             F.lit(',"bucket":"gs://b/out/"}'),
         )
-        return self.call_keys.withColumn("arguments", args)
+        return keys.withColumn("arguments", args)
 
     @cached_property
     def call_order(self) -> DataFrame:
