@@ -42,8 +42,8 @@ def python_type(full: str) -> str:
 def comparable(value: str, tag: str) -> str:
     """Text that is equal for equal values: numbers and booleans by value, the rest as JSON."""
     return (
-        f"CASE WHEN {tag} IN {NUMBER} THEN concat('#', try_cast({value} AS DOUBLE))"
-        f" WHEN {tag} = 'BOO' THEN if(try_cast({value} AS BOOLEAN), '#1.0', '#0.0')"
+        f"CASE WHEN {tag} IN {NUMBER} THEN concat('#', try_cast(to_json({value}) AS DOUBLE))"
+        f" WHEN {tag} = 'BOO' THEN if(to_json({value}) = 'true', '#1.0', '#0.0')"
         f" ELSE to_json({value}) END"
     )
 

@@ -183,23 +183,22 @@ def call_uris(calls: DataFrame) -> tuple[DataFrame, DataFrame]:
     arrays taken apart.
     """
     parsed = calls.selectExpr("transcript_id", "call_index", "parse_json(coalesce(arguments, '{}')) AS a")
+    parsed = parsed.selectExpr("transcript_id", "call_index", f"CASE WHEN {kind('a')} = 'OBJ' THEN a END AS a")
     text = lambda p: f"nullif(try_variant_get(a, '$.{p}', 'string'), '')"
     first = f"coalesce({', '.join(text(p) for p in PREFIX_PARAMS)})"
+    # A filter right on ``raw`` would be pushed below the parse and repeat it; behind
+    # the outer generator it stays where it is.
     written = (
         parsed.selectExpr("transcript_id", "call_index", f"{first} AS raw", f"{text(FILE_PARAM)} AS file")
+        .selectExpr("transcript_id", "call_index", "inline_outer(array(struct(raw, file)))")
         .where("raw IS NOT NULL")
         .selectExpr("transcript_id", "call_index", f"{normal_prefix('raw')} AS prefix", "file")
         .selectExpr("*", "concat(prefix, file) AS uri")
     )
-    one = lambda p: (
-        f"CASE {kind(f'''try_variant_get(a, '$.{p}', 'variant')''')}"
-        f" WHEN 'STR' THEN array(try_variant_get(a, '$.{p}', 'string'))"
-        f" WHEN 'ARR' THEN try_variant_get(a, '$.{p}', 'array<string>') ELSE array() END"
-    )
-    read = parsed.selectExpr(
-        "transcript_id", "call_index", f"explode(concat({', '.join(one(p) for p in READ_PARAMS)})) AS uri"
-    ).where("uri <> ''")
-    return written, read
+    each = calls.sparkSession.tvf.variant_explode(F.col("a").outer()).selectExpr("key", "value AS v")
+    one = f"CASE {kind('v')} WHEN 'STR' THEN array(CAST(v AS STRING)) WHEN 'ARR' THEN CAST(v AS array<string>) END"
+    read = parsed.lateralJoin(each).where(F.col("key").isin(*READ_PARAMS))
+    return written, read.selectExpr("transcript_id", "call_index", f"explode({one}) AS uri").where("uri <> ''")
 
 
 def ungrounded(calls: DataFrame, prompts: DataFrame) -> DataFrame:
@@ -213,11 +212,11 @@ def ungrounded(calls: DataFrame, prompts: DataFrame) -> DataFrame:
     named = written.where("file IS NOT NULL").groupBy(*KEY).agg(F.min("call_index").alias("file_at"))
     open_prefix = written.where("file IS NULL").groupBy("transcript_id", "prefix").agg(F.min("call_index").alias("prefix_at"))
     # Every folder above the URI, so that "lies under" is an equi-join.
-    parts = "split(substring(uri, 6), '/')"
-    above = read.where("startswith(uri, 'gs://')").selectExpr(
-        "*",
-        f"explode(transform(sequence(1, greatest(size({parts}) - 1, 1)),"
-        f" n -> concat('gs://', array_join(slice({parts}, 1, n), '/'), '/'))) AS prefix",
+    split = read.where("startswith(uri, 'gs://')").selectExpr("*", "split(substring(uri, 6), '/') AS folders")
+    above = split.selectExpr(
+        "transcript_id", "call_index", "uri", "folders", "explode(sequence(1, greatest(size(folders) - 1, 1))) AS n"
+    ).selectExpr(
+        "transcript_id", "call_index", "uri", "concat('gs://', array_join(slice(folders, 1, n), '/'), '/') AS prefix"
     )
     under = (
         above.join(open_prefix, ["transcript_id", "prefix"])

@@ -21,7 +21,7 @@ def bucket_uri_findings(calls: DataFrame, spec: Spec, params: list[str]) -> Data
 def item_type_findings(calls: DataFrame, spec: Spec, params: list[str]) -> DataFrame:
     """Array arguments whose items are not all strings."""
     named = flag_frame(calls, spec).where(F.col("open_arg") & F.col("arg_name").isin(*params))
-    bad = named.where("arg_kind <> 'ARR' OR (arg_text <> '[]' AND schema_of_variant(arg) <> 'ARRAY<STRING>')")
+    bad = named.where("arg_kind <> 'ARR' OR (to_json(arg) <> '[]' AND schema_of_variant(arg) <> 'ARRAY<STRING>')")
     return bad.select("call_id", "transcript_id", "tool_name", F.col("arg_name").alias("parameter_name"))
 
 

@@ -91,7 +91,7 @@ def tool_dim(spec: Spec) -> DataFrame:
             "transform(coalesce(ps, array()), p -> p.param_name) AS spec_params",
             "transform(filter(coalesce(ps, array()), p -> p.required),"
             " p -> p.param_name) AS spec_required",
-            f"{key_path('model_param')} AS model_path",
+            "model_param",
             "true AS known_tool",
         )
     )
@@ -150,6 +150,22 @@ def model_dim(spec: Spec) -> DataFrame:
     )
 
 
+# Names of model parameters that are read with a constant path, which Spark parses once.
+MODEL_PARAMS = ("model", "model_id")
+
+
+def _as_text(value: str) -> str:
+    """Strings are read directly, the rest as JSON text."""
+    return f"CASE {kind(value)} WHEN 'STR' THEN CAST({value} AS STRING) WHEN 'VOI' THEN NULL ELSE to_json({value}) END"
+
+
+def _model_value() -> str:
+    """The model argument of the call, NULL without one."""
+    at = "try_variant_get(_args, {0}, 'variant')"
+    known = " ".join(f"WHEN '{name}' THEN " + at.format(f"'$.{name}'") for name in MODEL_PARAMS)
+    return f"CASE model_param {known} ELSE {at.format(key_path('model_param'))} END"
+
+
 def argument_frame(calls: DataFrame, spec: Spec) -> DataFrame:
     """One row per argument (and capability rule) with its tool, parameter and model rows.
 
@@ -158,23 +174,32 @@ def argument_frame(calls: DataFrame, spec: Spec) -> DataFrame:
     so that the parsed arguments are not copied to every row.
     """
     spec = spec.checked()
+    if "is_object" not in calls.columns:
+        calls = calls.withColumn("is_object", F.lit(True))
     frame = join_spec(calls, tool_dim(spec), ["tool_name"], "left", small=spec.bounded, spread="call_id")
     frame = frame.selectExpr("*", "try_parse_json(coalesce(arguments, '{}')) AS _args")
     frame = frame.selectExpr("*", "schema_of_variant(_args) AS _full")
-    kept = [c for c in frame.columns if c not in ("_args", "_full", "arguments", "spec_required", "model_path")]
+    kept = [c for c in frame.columns if c not in ("_args", "_full", "arguments", "spec_required", "model_param")]
     frame = frame.selectExpr(
         *kept,
         "left(_full, 3) AS args_kind",
-        f"CASE WHEN _full NOT LIKE 'OBJECT%' THEN {python_type('_full')} END AS args_type",
+        "CASE WHEN _full NOT LIKE 'OBJECT%' THEN _full END AS args_type",
         "CASE WHEN _full LIKE 'OBJECT%' THEN _args END AS _args",
         "CASE WHEN _full LIKE 'OBJECT%' AND size(spec_required) > 0"
         " THEN array_except(spec_required, json_object_keys(coalesce(arguments, '{}'))) END AS absent",
-        "try_variant_get(_args, model_path, 'variant') AS _model",
+        f"{_model_value()} AS _model",
     )
-    frame = frame.withColumn("_text", F.expr("try_cast(_model AS STRING)"))
+    frame = frame.withColumn("_text", F.expr(_as_text("_model")))
     # None, "", 0 and false mean that no model is given.
     frame = frame.selectExpr(
-        *kept, "args_kind", "args_type", "absent", "_args",
+        *kept,
+        "CASE WHEN NOT is_object THEN 'not_object' WHEN coalesce(tool_name, '') = '' THEN 'no_name'"
+        " WHEN known_tool IS NULL THEN 'unknown_tool' WHEN args_kind IS NULL THEN 'not_json'"
+        " WHEN args_kind <> 'OBJ' THEN 'not_dict' ELSE 'open' END AS call_state",
+        "args_type",
+        # Only an open call is judged by its absent parameters.
+        "CASE WHEN known_tool AND is_object AND size(absent) > 0 THEN absent END AS absent",
+        "_args",
         f"CASE WHEN _text NOT IN {FALSY} THEN _text END AS model_name",
     )
     frame = join_spec(
@@ -189,15 +214,15 @@ def argument_frame(calls: DataFrame, spec: Spec) -> DataFrame:
 
 # One flag per rule. ``head`` marks one row per call, ``base`` one row per argument.
 _FLAGS = {
-    "f_call": "head AND call_state <> 'open'",
+    "f_call": "head AND NOT is_open",
     "f_empty": "open_arg AND param_required AND (arg_kind = 'VOI' OR arg_text = '')",
-    "f_unknown": "base AND call_state = 'open' AND arg_name IS NOT NULL AND param_type IS NULL",
+    "f_unknown": "base AND is_open AND arg_name IS NOT NULL AND param_type IS NULL",
     "f_type": "open_arg AND NOT array_contains(param_kinds, arg_kind)",
     "f_enum": f"open_arg AND enum_values IS NOT NULL AND NOT array_contains(enum_values, {comparable('arg', 'arg_kind')})",
     "f_uri": "open_arg AND param_is_uri AND arg_kind = 'STR' AND NOT ("
     + " OR ".join(f"startswith(arg_text, '{p}')" for p in fixed.URI_PREFIXES)
     + ")",
-    "f_rule": "call_state = 'open' AND rule IS NOT NULL AND CASE rule.check"
+    "f_rule": "is_open AND rule IS NOT NULL AND CASE rule.check"
     " WHEN 'known_model' THEN model_name IS NOT NULL AND caps IS NULL"
     " WHEN 'flag' THEN caps IS NOT NULL AND arg_kind = 'BOO' AND arg_text = 'true' AND cap_text <> 'true'"
     " WHEN 'tool_flag' THEN caps IS NOT NULL AND cap_text <> 'true'"
@@ -207,6 +232,8 @@ _FLAGS = {
     " WHEN 'range' THEN arg_number < rule.min_value OR arg_number > rule.max_value"
     f" WHEN 'fixed_set' THEN arg_text NOT IN {FALSY} AND NOT array_contains(rule.allowed, arg_text) END",
 }
+# Flags that are NULL where a JSON null or an unbounded rule is compared.
+_NULLABLE = ("f_empty", "f_type", "f_enum", "f_uri", "f_rule")
 _COUNT = " + ".join(f"CAST({flag} AS INT)" for flag in _FLAGS) + " + n_absent"
 
 
@@ -217,30 +244,30 @@ def flag_frame(calls: DataFrame, spec: Spec) -> DataFrame:
     any other columns, which pass through. ``is_object`` may tell that a call was
     no JSON object at all.
     """
-    if "is_object" not in calls.columns:
-        calls = calls.withColumn("is_object", F.lit(True))
     frame = argument_frame(calls, spec)
     frame = frame.selectExpr(
         "*",
         f"{kind('arg')} AS arg_kind",
-        # NULL for a JSON null
-        "try_cast(arg AS STRING) AS arg_text",
         "coalesce(rule_no, 0) = 0 AS base",
-        "CASE WHEN NOT is_object THEN 'not_object' WHEN coalesce(tool_name, '') = '' THEN 'no_name'"
-        " WHEN known_tool IS NULL THEN 'unknown_tool' WHEN args_kind IS NULL THEN 'not_json'"
-        " WHEN args_kind <> 'OBJ' THEN 'not_dict' ELSE 'open' END AS call_state",
+        "call_state = 'open' AS is_open",
     )
     frame = frame.selectExpr(
         "*",
+        # Text of strings, and of anything a capability rule looks at; a cast of a
+        # Variant number is slow, its JSON text is not.
+        "CASE WHEN arg_kind = 'STR' THEN CAST(arg AS STRING) WHEN arg_kind = 'VOI' THEN NULL"
+        " WHEN rule IS NOT NULL THEN to_json(arg) END AS arg_text",
         "base AND arg_pos = 0 AS head",
-        "base AND call_state = 'open' AND param_type IS NOT NULL AS open_arg",
-        f"CASE WHEN rule IS NOT NULL AND arg_kind IN {NUMBER} THEN try_cast(arg AS DOUBLE) END AS arg_number",
+        "base AND is_open AND param_type IS NOT NULL AS open_arg",
         "coalesce(lower(caps[rule.capability].text), '') AS cap_text",
     )
+    frame = frame.selectExpr(
+        "*", f"CASE WHEN rule IS NOT NULL AND arg_kind IN {NUMBER} THEN try_cast(arg_text AS DOUBLE) END AS arg_number"
+    )
     frame = frame.selectExpr(
         "*",
-        *[f"coalesce({condition}, false) AS {flag}" for flag, condition in _FLAGS.items()],
-        "CASE WHEN head AND call_state = 'open' AND absent IS NOT NULL THEN size(absent) ELSE 0 END AS n_absent",
+        *[f"coalesce({condition}, false) AS {flag}" if flag in _NULLABLE else f"{condition} AS {flag}" for flag, condition in _FLAGS.items()],
+        "CASE WHEN head AND absent IS NOT NULL THEN size(absent) ELSE 0 END AS n_absent",
     )
     return frame.selectExpr("*", f"{_COUNT} AS n_found")
 
@@ -260,10 +287,10 @@ _CALL_TEXT = (
     " WHEN 'no_name' THEN \"Tool call has no valid 'function_name' string\""
     " WHEN 'unknown_tool' THEN concat(\"Tool '\", tool_name, \"' is not in the registry\")"
     " WHEN 'not_json' THEN 'Tool arguments are not valid JSON'"
-    " ELSE concat('Tool arguments must be a dict, got ', args_type) END"
+    f" ELSE concat('Tool arguments must be a dict, got ', {python_type('args_type')}) END"
 )
 _RULE_TEXT = (
-    "concat_ws(' ', arg_name, concat(\"'\", arg_text, \"'\"), rule.phrase,"
+    "concat_ws(' ', arg_name, concat(\"'\", coalesce(arg_text, to_json(arg)), \"'\"), rule.phrase,"
     " CASE WHEN rule.check IN ('flag', 'model_set', 'model_max') THEN concat(\"on '\", model_name, \"'\") END)"
 )
 _FINDINGS = {
@@ -279,7 +306,7 @@ _FINDINGS = {
     ),
     "f_enum": _finding(
         "'illegal_enum'", "arg_name", _ERROR, 4,
-        f"concat(\"Value '\", arg_text, \"' not in allowed enum: \", {quoted_list('enum_shown')})",
+        f"concat(\"Value '\", coalesce(arg_text, to_json(arg)), \"' not in allowed enum: \", {quoted_list('enum_shown')})",
     ),
     "f_uri": _finding(
         "'invalid_uri'", "arg_name", _ERROR, 5,
@@ -288,18 +315,20 @@ _FINDINGS = {
     "f_rule": _finding("rule.rule_id", "arg_name", "rule.severity", 6, _RULE_TEXT),
 }
 _FOUND = (
-    "concat(filter(array("
+    f"CASE WHEN {' OR '.join(_FLAGS)} OR n_absent > 0 THEN concat(array("
     + ", ".join(f"CASE WHEN {flag} THEN {made} END" for flag, made in _FINDINGS.items())
-    + "), x -> x IS NOT NULL), CASE WHEN n_absent > 0 THEN transform(absent, a -> "
+    + "), CASE WHEN n_absent > 0 THEN transform(absent, a -> "
     + _finding("'missing_required'", "a", _ERROR, 1, _MISSING.format("a"))
-    + ") ELSE array() END)"
+    + ") ELSE array() END) END"
 )
 
 
 def violations(calls: DataFrame, spec: Spec) -> DataFrame:
     """One row per violation, with every column of ``calls`` but the argument text."""
     kept = [c for c in calls.columns if c not in ("arguments", "is_object")]
-    return flag_frame(calls, spec).where("n_found > 0").selectExpr(*kept, f"inline({_FOUND})")
+    # The outer form with a filter behind it: a filter before it would be pushed below
+    # the flags and work every one of them out twice.
+    return flag_frame(calls, spec).selectExpr(*kept, f"inline_outer({_FOUND})").where("rule_id IS NOT NULL")
 
 
 def summary(calls: DataFrame, spec: Spec, transcripts: DataFrame | None = None) -> DataFrame:

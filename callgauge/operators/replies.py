@@ -144,9 +144,8 @@ def raw_scores(replies: DataFrame, text: str = "reply") -> DataFrame:
     return found.selectExpr(
         *[c for c in replies.columns if c != text],
         leaf("usage.necessity", "necessity"),
-        "CASE WHEN json_object_keys(to_json(try_variant_get(payload, '$.usage', 'variant'))) IS NULL THEN 0D"
-        " ELSE coalesce(try_variant_get(payload, '$.usage.overuse_detection', 'double'),"
-        " try_variant_get(payload, '$.usage.overuse', 'double'), 0D) END AS overuse",
+        "coalesce(try_variant_get(payload, '$.usage.overuse_detection', 'double'),"
+        " try_variant_get(payload, '$.usage.overuse', 'double'), 0D) AS overuse",
         *[leaf(f"selection.{c}", f"sel_{c}") for c in ("correctness", "specificity", "completeness")],
         "coalesce(try_variant_get(payload, '$.ordering.not_applicable', 'boolean'), true) AS ordering_na",
         *[leaf(f"ordering.{c}", c) for c in ordering],

@@ -28,15 +28,17 @@ def number(raw: str) -> str:
 def _scaled(raw: str, scale: str, text: bool) -> str:
     value = number(raw) if text else f"CAST({raw} AS DOUBLE)"
     shown = scale.format(f"({value})")
+    # NaN is above infinity in this order, so one comparison leaves out both.
     return (
-        f"CASE WHEN {raw} IS NULL THEN 1D"
-        f" WHEN {value} IS NULL OR isnan({value}) OR abs({value}) = double('infinity') THEN 0D"
-        f" ELSE greatest(0D, least(1D, {shown})) END"
+        f"CASE WHEN {raw} IS NULL THEN 1D WHEN abs({value}) < double('infinity')"
+        f" THEN greatest(0D, least(1D, {shown})) ELSE 0D END"
     )
 
 
-def norm10(raw: str, text: bool = False) -> str:
+def norm10(raw: str, text: bool = False, whole: bool = False) -> str:
     """0-10 to 0-1; a missing score is full, one that is no finite number is 0."""
+    if whole:
+        return f"CASE WHEN {raw} IS NULL THEN 1D ELSE greatest(0D, least(1D, {raw} / 10)) END"
     return _scaled(raw, "{0} / 10", text)
 
 
@@ -92,12 +94,14 @@ def tool_calling(raw: DataFrame, ordering: str = "false") -> DataFrame:
     """
     have = set(raw.columns)
     parts = ("necessity", *SELECTION, *ARGUMENTS)
-    scaled = {c: F.expr(norm10(c)) if c in have else F.lit(1.0) for c in parts}
-    scaled["overuse"] = F.expr(norm10("overuse")) if "overuse" in have else F.lit(0.0)
+    whole = {c for c, kind in raw.dtypes if kind in ("int", "bigint", "smallint", "tinyint")}
+    scale = lambda c: F.expr(norm10(c, whole=c in whole))
+    scaled = {c: scale(c) if c in have else F.lit(1.0) for c in parts}
+    scaled["overuse"] = scale("overuse") if "overuse" in have else F.lit(0.0)
     scaled["_ordered"] = F.expr(f"coalesce({ordering}, false)")
     frame = raw.withColumns(scaled)
     frame = frame.withColumns(
-        {c: F.expr(f"CASE WHEN _ordered THEN {norm10(c)} END") if c in have else F.expr("CASE WHEN _ordered THEN 1D END") for c in ORDERING}
+        {c: F.expr(f"CASE WHEN _ordered THEN {norm10(c, whole=c in whole)} END") if c in have else F.expr("CASE WHEN _ordered THEN 1D END") for c in ORDERING}
     )
     mean = lambda names: f"({' + '.join(names)}) / {len(names)}"
     frame = frame.withColumns(
