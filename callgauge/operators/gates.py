@@ -45,9 +45,9 @@ def assert_minimum(scores: DataFrame, score: str, minimum: float = fixed.PASS_TO
         raise AssertionError(f"{low} case(s) score below {minimum:.3f}")
 
 
-def case_pass(raw_scores: DataFrame, verdicts: DataFrame) -> DataFrame:
+def case_pass(raw_scores: DataFrame, verdicts: DataFrame, ordering: str = "false") -> DataFrame:
     """Score each case with its lint verdict; it passes when lint is clean and the score is high enough."""
-    done = tool_calling(collapse(raw_scores, verdicts)).withColumnRenamed("overall", "tc")
+    done = tool_calling(collapse(raw_scores, verdicts), ordering).withColumnRenamed("overall", "tc")
     return done.withColumn("passed", F.expr(f"coalesce(n_violations, 0) = 0 AND tc >= {fixed.PASS_TOOL_CALLING}"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callgauge import fixed
+from callgauge.operators.dims import join_spec
 from callgauge.operators.scoring import ARGUMENTS
 
 STRICT_HIT = "exists(failures, f -> contains(f, expected_taxonomy) OR contains(expected_taxonomy, f))"
@@ -74,11 +75,15 @@ def pearson(both: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.round(F.corr("tc_a", "tc_b"), 6).alias("pearson"))
 
 
-def spearman(both: DataFrame) -> DataFrame:
-    """Rank correlation with ties. Both rank tables hold at most 10001 rows, so they are broadcast."""
-    ranked = both.join(F.broadcast(average_rank(both, "tc_a")), "tc_a").join(
-        F.broadcast(average_rank(both, "tc_b")), "tc_b"
-    )
+def spearman(both: DataFrame, four_decimals: bool = True) -> DataFrame:
+    """Rank correlation with ties.
+
+    Scores of four decimals have rank tables of at most 10001 rows, which are
+    broadcast. For other values the size is counted first.
+    """
+    known = True if four_decimals else None
+    ranked = join_spec(both, average_rank(both, "tc_a"), ["tc_a"], "inner", small=known)
+    ranked = join_spec(ranked, average_rank(both, "tc_b"), ["tc_b"], "inner", small=known)
     return ranked.agg(F.count("*").alias("n"), F.round(F.corr("rank_tc_a", "rank_tc_b"), 6).alias("spearman"))
 
 

@@ -59,7 +59,9 @@ def with_json(rows: DataFrame, text: str, out: str = "payload") -> DataFrame:
         f" WHEN {direct} THEN {wrap('_whole', 'data')} WHEN _object IS NOT NULL THEN _object"
         f" WHEN _list IS NOT NULL THEN {wrap('_list', 'items')} END"
     )
-    return frame.selectExpr(*kept, f"{found} AS {out}")
+    # The generator keeps a later filter on the payload from being pushed below the
+    # whole search, which would repeat it.
+    return frame.selectExpr(*kept, f"{found} AS {out}").selectExpr(*kept, f"inline_outer(array(struct({out})))")
 
 
 def reply_text(rows: DataFrame, payload: str, out: str = "text") -> DataFrame:

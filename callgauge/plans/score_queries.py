@@ -381,7 +381,7 @@ FROM (SELECT rank() OVER (ORDER BY mean_a) AS ra, rank() OVER (ORDER BY mean_b)
 )
 def server_spearman(t: Tables) -> DataFrame:
     means = _server_means(t).selectExpr("round(mean_a, 12) AS tc_a", "round(mean_b, 12) AS tc_b")
-    return judges.spearman(means)
+    return judges.spearman(means, four_decimals=False)
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.operators import generation as g
-from callgauge.operators import prompts, replies
+from callgauge.operators import evaluation, prompts, replies
 from callgauge.operators.ordering import number_slice, with_next, with_position
 from callgauge.plans.fixtures import JUDGES, Tables
 from callgauge.plans.generation_queries import rows
@@ -164,6 +164,36 @@ def judge_reply_scores(t: Tables) -> DataFrame:
     )
 
 
+CTES["reply_cases"] = """
+SELECT j.call_id, j.judge, j.necessity, j.sel_correctness, j.sel_specificity, j.name_accuracy, coalesce(f.name_fault, false) AS name_fault,
+  coalesce(f.value_fault, false) AS value_fault, coalesce(f.n, 0) AS n_violations
+FROM judge_scores j LEFT JOIN (SELECT f.*, v.n FROM call_faults f JOIN (SELECT call_id, count(*) AS n FROM violations GROUP BY call_id) v USING (call_id)) f USING (call_id)
+WHERE j.call_id % 10 <> 9
+"""
+CTES["reply_scored"] = """
+SELECT *, CASE WHEN collapsed = 'name' THEN 0.2 / 6 WHEN collapsed = 'value' THEN (1 + name_accuracy / 10.0 + 0.2) / 6 ELSE (5 + name_accuracy / 10.0) / 6 END AS arguments,
+  (sel_correctness / 10.0 + sel_specificity / 10.0 + 1) / 3 AS selection
+FROM (SELECT *, CASE WHEN name_fault OR name_accuracy <= 2 THEN 'name' WHEN value_fault THEN 'value' ELSE 'none' END AS collapsed FROM reply_cases)
+"""
+
+
+@query(
+    "evaluate_replies",
+    """
+SELECT call_id, judge, collapsed, CAST(n_violations AS BIGINT) AS n_violations, CAST(round(arguments, 4) AS DOUBLE) AS arguments,
+  CAST(round((necessity / 10.0 + selection + arguments) / 3, 4) AS DOUBLE) AS tc,
+  n_violations = 0 AND round((necessity / 10.0 + selection + arguments) / 3, 4) >= 0.85 AS passed, false AS rejected FROM reply_scored
+UNION ALL SELECT call_id, judge, NULL, NULL, NULL, NULL, NULL, true FROM judge_scores WHERE call_id % 10 = 9
+""",
+)
+def evaluate_replies(t: Tables) -> DataFrame:
+    """Reply texts to verdicts; every tenth reply holds no JSON and is rejected."""
+    texts = t.judge_scores.selectExpr("call_id", "judge", f"CASE WHEN call_id % 10 = 9 THEN 'I cannot say' ELSE {_REPLY_BODY} END AS reply")
+    results, rejects = evaluation.evaluate(t.calls_unordered, t.media_spec, texts)
+    shown = results.selectExpr("call_id", "judge", "collapsed", "n_violations", "round(arguments, 4) AS arguments", "tc", "passed", "false AS rejected")
+    return shown.unionByName(rejects.withColumn("rejected", F.lit(True)), allowMissingColumns=True)
+
+
 # ---- prompts --------------------------------------------------------------------------
 
 
