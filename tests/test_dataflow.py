@@ -16,13 +16,13 @@ CHAINS = {
     2: [(PIC[0], {**PIC[1], "aspect_ratio": "9:16"}), CLIP, SONG, MIX],
     3: [PIC, MIX, CLIP, SONG],
     4: [("pic_make", {"gcs_bucket_uri": "gs://g/story/", "output_filename": "s.png"}),
-        ("omni", {"images": ["gs://g/story/s.png"], "gcs_bucket_uri": "gs://g/video/", "output_filename": "a.mp4"}),
+        ("film_make", {"images": ["gs://g/story/s.png"], "gcs_bucket_uri": "gs://g/video/", "output_filename": "a.mp4"}),
         ("song_make", {"output_gcs_bucket": "g", "output_filename": "t.wav"}),
         ("mix", {"input_video_uri": "gs://g/video/a.mp4", "input_audio_uri": "gs://g/t.wav"})],
     5: [("pic_make", {"gcs_bucket_uri": "gs://g/story/", "output_filename": "s.png"}),
-        ("omni", {"images": ["gs://g/story/other.png"], "gcs_bucket_uri": "gs://g/video/", "output_filename": "a.mp4"})],
+        ("film_make", {"images": ["gs://g/story/other.png"], "gcs_bucket_uri": "gs://g/video/", "output_filename": "a.mp4"})],
     6: [("mix", {"input_video_uri": "gs://g/video/a.mp4"}),
-        ("omni", {"gcs_bucket_uri": "gs://g/video/", "output_filename": "a.mp4"})],
+        ("film_make", {"gcs_bucket_uri": "gs://g/video/", "output_filename": "a.mp4"})],
 }
 
 

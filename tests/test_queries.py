@@ -15,7 +15,7 @@ from tools.check import compare, duck
 SAMPLE = (
     "lint_summary", "lint_all", "violation_messages", "call_normalize", "lint_malformed", "penalty_collapse", "tc_score", "judge_spearman",
     "discrimination_summary", "worst_cases", "evaluation_report", "turn_pairs", "uri_grounding", "oracle_diff", "parallel_levels",
-    "scenarios_complex", "multi_turn_expand", "fault_injection", "json_extract_kinds", "judge_prompts", "param_catalog", "results_sink",
+    "scenarios_complex", "multi_turn_expand", "fault_injection", "json_extract_kinds", "judge_prompts", "param_catalog", "results_sink", "evaluate_replies",
 )
 
 
