@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import html
 import re
 
 import pytest
@@ -105,7 +106,7 @@ def test_main_text_query(spark):
     assert len(rows) == len(pages)
     for r in rows:
         article = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
-        blocks = [re.sub(r"\s+", " ", re.sub(r"<[^>]*>", " ", b)).strip() for b in re.split(r"</?(?:p|h1)>", article)]
+        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", " ", b))).strip() for b in re.split(r"</?(?:p|h1)>", article)]
         assert r.text == "\n\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
