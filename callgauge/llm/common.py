@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callgauge.session import scratch_path
+import callgauge
+from callgauge.session import configure, scratch_path
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings of the library, its code sent to the Python workers."""
+    context = spark.sparkContext
+    if not getattr(context, "_callgauge_sent", False):
+        root = os.path.dirname(callgauge.__file__)
+        archive = os.path.join(tempfile.mkdtemp(prefix="callgauge-code-"), "callgauge-code.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, names in os.walk(root):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+        context.addPyFile(archive)
+        context._callgauge_sent = True
+    return configure(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callgauge.llm import html_text, pii, url_rules
-from callgauge.llm.common import table
-from callgauge.session import configure
+from callgauge.llm import html_text, packing, pii, url_rules, warc
+from callgauge.llm.common import prepared, table
+
+
+def vocabulary_path() -> str:
+    """The tokenizer file, which every machine has as part of an installed package."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +26,10 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -25,12 +39,12 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> tuple[Callable[[SparkSession, str], DataFrame], ...]:
-    return (op2_main_text, op7_pii, op8_url_rules)
+    return (op1_warc, op2_main_text, op6_packing, op7_pii, op8_url_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def configured(build):
-        return lambda spark, sf_dir: build(configure(spark), sf_dir)
+        return lambda spark, sf_dir: build(prepared(spark), sf_dir)
 
     return {build.__name__: configured(build) for build in _all()}
 
