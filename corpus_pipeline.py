@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callgauge.llm.common import table, written
-from callgauge.session import configure
+from callgauge.llm.common import prepared, table, written
 
 STAGES = []
 
@@ -14,7 +13,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    configure(spark)
+    prepared(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
