@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callgauge.llm import html_text, packing, pii, url_rules, warc
+from callgauge.llm import embed_dedup, html_text, packing, pii, url_rules, warc
 from callgauge.llm.common import prepared, table
 
 
@@ -26,6 +26,10 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -39,7 +43,7 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all() -> tuple[Callable[[SparkSession, str], DataFrame], ...]:
-    return (op1_warc, op2_main_text, op6_packing, op7_pii, op8_url_rules)
+    return (op1_warc, op2_main_text, op5_embedding_duplicates, op6_packing, op7_pii, op8_url_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
