@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callgauge.llm import embed_dedup, html_text, packing, pii, url_rules, warc
+from callgauge.llm import embed_dedup, html_text, language, line_dedup, packing, pii, url_rules, warc
 from callgauge.llm.common import prepared, table
 
 
@@ -26,6 +26,10 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.report(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -42,8 +46,12 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def _all() -> tuple[Callable[[SparkSession, str], DataFrame], ...]:
-    return (op1_warc, op2_main_text, op5_embedding_duplicates, op6_packing, op7_pii, op8_url_rules)
+    return (op1_warc, op2_main_text, op3_language, op5_embedding_duplicates, op6_packing, op7_pii, op8_url_rules, op9_line_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -54,4 +62,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_dedup": line_dedup.SQL}
