@@ -37,7 +37,7 @@ def segment_hash(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.empty(0, dtype=np.uint64)
     lengths = np.diff(np.append(starts, len(codes)))
     at = np.arange(len(codes), dtype=np.int64) - np.repeat(starts, lengths)
-    signs = _SIGNS[codes & 0xFFFF]
+    signs = _SIGNS[codes if codes.itemsize <= 2 else codes & 0xFFFF]
     if codes.itemsize > 2 and len(codes) and codes.max() > 0xFFFF:
         signs = signs + mix(codes >> np.uint32(16)) * (codes > 0xFFFF)
     signs = signs * powers(int(lengths.max()))[at]

@@ -71,6 +71,16 @@ def clean(docs: DataFrame, text: str = "text", site: str = "source", min_sites:
     )
 
 
+def cleaned_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` (text, source, perhaps n_chars) with cleaned texts and the columns they had; a text that changed gets its new length."""
+    before = fresh(docs, "_before")
+    made = clean(docs.withColumn(before, F.col("text")))
+    if "n_chars" in docs.columns:
+        same = F.col("text").eqNullSafe(F.col(before))
+        made = made.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return made.select(*docs.columns)
+
+
 SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents),
 l AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callgauge.llm import embed_dedup, html_text, language, line_dedup, packing, pii, url_rules, warc
+from callgauge.llm import decontaminate, embed_dedup, html_text, jaccard, language, line_dedup, packing, pii, url_rules, warc
 from callgauge.llm.common import prepared, table
 
 
@@ -30,6 +30,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -50,8 +54,23 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def _all() -> tuple[Callable[[SparkSession, str], DataFrame], ...]:
-    return (op1_warc, op2_main_text, op3_language, op5_embedding_duplicates, op6_packing, op7_pii, op8_url_rules, op9_line_dedup)
+    return (
+        op1_warc,
+        op2_main_text,
+        op3_language,
+        op4_decontamination,
+        op5_embedding_duplicates,
+        op6_packing,
+        op7_pii,
+        op8_url_rules,
+        op9_line_dedup,
+        op10_jaccard,
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
