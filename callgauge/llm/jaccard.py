@@ -9,7 +9,9 @@ Why no link is lost: if a set of n tokens must share at least o of them, a prefi
 tokens and, for each sub-class, whose tokens beyond the first number n - o + 1 cannot miss them all, whichever of the two
 prefixes ends first. With Jaccard at least 4/5, o is 8/9 of the shorter set and 4/5 of the longer one.
 
-Equal sets are one class. Candidates are verified on whole sets of 64-bit hashes. Classes that share a key first meet one
+Equal sets are one class. A parity sketch (the parity of the number of tokens at each of 512 places) bounds the symmetric
+difference of two sets from below, so pairs that differ in more places than similar sets can are dropped inside the joins,
+without being emitted; no similar pair is. Candidates are verified on whole sets of 64-bit hashes. Classes that share a key first meet one
 leader of the key; what is linked then is one component, and the exact round compares only pairs that are still apart.
 """
 
@@ -76,6 +78,11 @@ def class_key(tokens: np.ndarray) -> int:
     return int(mix(np.array([mix(tokens).sum() + np.uint64(len(tokens))], dtype=np.uint64)).view(np.int64)[0])
 
 
+def parity_sketch(tokens: np.ndarray) -> np.ndarray:
+    odd = np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def long_prefix(n):
     return n - (4 * n + 4) // 5 + 1
 
@@ -151,12 +158,13 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=kinds[k]) for c, (_, k) in zip(columns, names, strict=True)], names=[n for n, _ in names])
 
 
-CLASSES, COUNTS, FREQUENT, POSTINGS, SETS = "doc_id long, n long, c long", "shard int, once binary, more binary, times binary", "token long", "key long, c long, n int, short boolean", "c long, tokens binary"
+SKETCH = tuple(f"k{i}" for i in range(8))
+CLASSES, COUNTS, FREQUENT, POSTINGS, SETS = "doc_id long, n long, c long, " + ", ".join(f"{k} long" for k in SKETCH), "shard int, once binary, more binary, times binary", "token long", "key long, c long, n int, short boolean", "c long, tokens binary"
 
 
 def _classes(batches):
     for ids, sets in _portions(batches):
-        yield _batch(CLASSES, ids, [len(s) for s in sets], [class_key(s) for s in sets])
+        yield _batch(CLASSES, ids, [len(s) for s in sets], [class_key(s) for s in sets], *np.array([parity_sketch(s) for s in sets]).T)
 
 
 def _sets(batches):
@@ -253,6 +261,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 _NEAR = "4 * greatest(n, n2) <= 5 * least(n, n2)"
+# Similar sets differ in at most a ninth of their sizes' sum.
+_ALIKE = "9 * (" + " + ".join(f"bit_count({k} ^ {k}_2)" for k in SKETCH) + ") <= n + n2"
 
 
 def _with_component(postings: DataFrame, links: DataFrame | None) -> DataFrame:
@@ -263,11 +273,17 @@ def _with_component(postings: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 
+def _second(frame: DataFrame, *columns: str) -> DataFrame:
+    """The other side of a self-join: ``columns`` get a 2."""
+    return frame.withColumnsRenamed({c: c + ("2" if c in ("c", "n", "comp") else "_2") for c in columns})
+
+
 def links_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(documents: doc_id, n, c; links: a, b). Links join classes, and connect every two classes that similar pairs connect."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     documents = written(rows.mapInArrow(_classes, CLASSES), "set-classes")
     reps = documents.filter("n >= 4").groupBy("c").agg(F.min("doc_id").alias("doc_id"))
+    sketches = documents.filter("n >= 4").groupBy("c").agg(F.first("n").alias("n"), *[F.first(k).alias(k) for k in SKETCH])
     total = documents.agg(F.sum("n")).first()[0] or 0
     if not total:
         return documents, documents.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)
@@ -283,18 +299,19 @@ def links_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         leaders = leaders.filter("low <> high").select("key", F.col("lead.c").alias("c2"), F.col("lead.n").alias("n2"), F.col("lead.comp").alias("comp2"))
         met = placed.join(leaders, "key").filter(f"comp <> comp2 AND {_NEAR}")
         shares = met.groupBy("c", "c2").agg(F.count("*").alias("shares"))
-        best = shares.groupBy("c").agg(F.max(F.struct("shares", "c2")).alias("best"))
+        told = written(shares, "shares").join(sketches, "c").join(_second(sketches, "c", "n", *SKETCH), "c2").filter(_ALIKE)
+        best = told.groupBy("c").agg(F.max(F.struct("shares", "c2")).alias("best"))
         pairs = written(best.select(F.least("c", "best.c2").alias("a"), F.greatest("c", "best.c2").alias("b")).distinct(), "star-pairs")
         made = _verified(pairs, rows, reps)
         links = made if links is None else links.union(made)
     placed = written(_with_component(postings, links), "placed")
     crowd = placed.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("main"), F.count("*").alias("comps"))
     crowd = crowd.filter("comps > 1").select("key", F.col("main.comp").alias("main"))
-    opened = placed.join(crowd, "key")
-    few = opened.filter("comp <> main")
-    other = opened.select("key", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("short").alias("short2"), F.col("comp").alias("comp2"))
-    serves = "(n < n2 AND short) OR (n2 < n AND short2) OR (n = n2 AND (short OR short2))"
-    apart = few.join(other, "key").filter(f"comp <> comp2 AND {_NEAR} AND ({serves})")
+    opened = written(placed.join(crowd, "key").join(sketches.drop("n"), "c"), "opened")
+    few = opened.filter("comp <> main").drop("main")
+    other = _second(opened.drop("main"), "c", "n", "short", "comp", *SKETCH)
+    serves = "(n < n2 AND short) OR (n2 < n AND short_2) OR (n = n2 AND (short OR short_2))"
+    apart = few.join(other, "key").filter(f"comp <> comp2 AND {_NEAR} AND ({serves}) AND {_ALIKE}")
     pairs = written(apart.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct(), "open-pairs")
     return documents, links.union(_verified(pairs, rows, reps))
 
