@@ -1,14 +1,12 @@
 """Checks across the calls of one transcript: URI provenance, settings, order, repeats, depth.
 
 Every join is an equi-join on (transcript, URI) or (transcript, tool) against a
-side reduced to one row per key, so no pairs are listed inside a transcript. A
-URI read by very many calls makes one key of the reading side large; the joined
-side stays unique, and adaptive execution splits that key.
+side reduced to one row per key, so no pairs are listed inside a transcript.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callgauge.functions.variants import kind
@@ -18,19 +16,31 @@ from callgauge.session import use_checkpoints
 KEY = ["transcript_id", "uri"]
 
 
-def first_producers(produced: DataFrame, carried: list[str]) -> DataFrame:
-    """The first call that wrote each URI of a transcript, with its settings."""
-    row = F.struct("call_index", *carried)
-    first = produced.groupBy(*KEY).agg(F.min_by(row, "call_index").alias("p"))
-    return first.select(*KEY, F.col("p.call_index").alias("producer_index"), *[F.col(f"p.{c}").alias(f"producer_{c}") for c in carried])
+SLICE_CALLS = 256
 
 
 def provenance(consumed: DataFrame, produced: DataFrame, carried: list[str]) -> DataFrame:
-    """Each read URI with the call that wrote it first; ``producer_*`` is NULL when no earlier call did."""
-    joined = consumed.join(first_producers(produced, carried), KEY, "left")
-    earlier = F.coalesce(F.col("producer_index") < F.col("call_index"), F.lit(False))
-    names = ["producer_index", *[f"producer_{c}" for c in carried]]
-    return joined.withColumns({n: F.when(earlier, F.col(n)) for n in names})
+    """Each read URI with the last call before it that wrote it; ``producer_*`` is NULL when no earlier call did.
+
+    Writes and reads of a URI are walked in call order in slices of the order, and each slice starts from the last write
+    of the slices before it (one row per URI and slice), so a URI with very many reads is not one task's work. Of
+    several writes in one call any one stands; a call's own writes come after its reads.
+    """
+    wrote = F.struct("call_index", *carried)
+    slice_of = F.floor(F.col("call_index") / SLICE_CALLS).cast("bigint")
+    keyed = [*KEY, "_slice"]
+    writes = produced.select(*KEY, "call_index", wrote.alias("_wrote"), F.lit(1).alias("_turn")).withColumn("_slice", slice_of)
+    reads = consumed.select(*KEY, "call_index", F.struct(*consumed.columns).alias("_read"), F.lit(0).alias("_turn")).withColumn("_slice", slice_of)
+    before = Window.partitionBy(*KEY).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # Slices with reads or writes: each knows the last write of the slices before it.
+    both = reads.unionByName(writes, allowMissingColumns=True)
+    heads = both.groupBy(*keyed).agg(F.max_by("_wrote", F.when(F.col("_wrote").isNotNull(), F.col("call_index"))).alias("_tail"))
+    heads = heads.withColumn("_before", F.last("_tail", ignorenulls=True).over(before)).drop("_tail")
+    inside = Window.partitionBy(*keyed).orderBy("call_index", "_turn").rowsBetween(Window.unboundedPreceding, -1)
+    walked = both.withColumn("_inside", F.last("_wrote", ignorenulls=True).over(inside)).where("_read IS NOT NULL")
+    joined = walked.join(heads, keyed).withColumn("_from", F.coalesce("_inside", "_before"))
+    names = {"producer_index": "call_index", **{f"producer_{c}": c for c in carried}}
+    return joined.select("_read.*", *[F.col(f"_from.{c}").alias(n) for n, c in names.items()])
 
 
 def dangling(consumed: DataFrame, produced: DataFrame) -> DataFrame:
@@ -114,7 +124,7 @@ def tool_set_diff(expected: DataFrame, emitted: DataFrame) -> DataFrame:
 # ---- dependency depth -------------------------------------------------------------
 
 
-def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Depth of each call in the dependency graph; calls of one level can run together.
 
     nodes: transcript_id, node; edges: transcript_id, node, parent. When every call
@@ -125,43 +135,49 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> Data
     use_checkpoints(nodes.sparkSession)
     edges = edges.distinct().checkpoint()
     single = edges.groupBy("transcript_id", "node").count().where("count > 1").isEmpty()
-    return _double(nodes, edges, max_rounds) if single else _settle(nodes, edges, max_rounds)
+    return _double(nodes, edges) if single else _settle(nodes, edges)
+
 
+CYCLE = "the dependencies hold a cycle"
 
-def _double(nodes: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
+
+def _double(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     state = nodes.join(edges, ["transcript_id", "node"], "left").selectExpr(
         "transcript_id", "node", "parent AS up", "CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS level"
     )
     state = state.checkpoint()
-    for _ in range(max_rounds):
-        if state.where("up IS NOT NULL").isEmpty():
+    open_before = None
+    while True:
+        still_open = state.where("up IS NOT NULL").count()
+        if not still_open:
             return state.select("transcript_id", "node", "level")
+        if still_open == open_before:  # each round settles the nodes nearest to a root
+            raise ValueError(CYCLE)
+        open_before = still_open
         above = state.selectExpr("transcript_id", "node AS up", "up AS next_up", "level AS more")
         state = (
             state.join(above, ["transcript_id", "up"], "left")
             .selectExpr("transcript_id", "node", "next_up AS up", "level + coalesce(more, 0) AS level")
             .checkpoint()
         )
-    raise ValueError(f"dependencies are not settled after {max_rounds} rounds: is there a cycle?")
 
 
-def _settle(nodes: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
-    state = nodes.selectExpr("transcript_id", "node", "0 AS level").checkpoint()
-    for _ in range(max_rounds):
-        parents = state.selectExpr("transcript_id", "node AS parent", "level AS parent_level")
-        deeper = (
-            edges.join(parents, ["transcript_id", "parent"])
-            .groupBy("transcript_id", "node")
-            .agg((F.max("parent_level") + 1).alias("new_level"))
-        )
-        moved = state.join(deeper, ["transcript_id", "node"], "left").selectExpr(
-            "transcript_id", "node", "coalesce(new_level, 0) AS level", "coalesce(new_level, 0) <> level AS changed"
-        )
-        moved = moved.checkpoint()
-        if moved.where("changed").isEmpty():
-            return moved.drop("changed")
-        state = moved.drop("changed")
-    raise ValueError(f"dependencies are not settled after {max_rounds} rounds: is there a cycle?")
+def _settle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Settle the nodes without open parents, take their edges away, and go on: every edge is used once."""
+    known = nodes.selectExpr("transcript_id", "node AS parent")
+    rest = edges.join(known, ["transcript_id", "parent"], "left_semi").checkpoint()
+    front = nodes.join(rest, ["transcript_id", "node"], "left_anti").selectExpr("transcript_id", "node", "0 AS level").checkpoint()
+    settled, level = front, 0
+    while not rest.isEmpty():
+        if front.isEmpty():
+            raise ValueError(CYCLE)
+        level += 1
+        done = front.selectExpr("transcript_id", "node AS parent")
+        freed = rest.join(done, ["transcript_id", "parent"], "left_semi").select("transcript_id", "node").distinct()
+        rest = rest.join(done, ["transcript_id", "parent"], "left_anti").checkpoint()
+        front = freed.join(rest, ["transcript_id", "node"], "left_anti").selectExpr("transcript_id", "node", f"{level} AS level").checkpoint()
+        settled = settled.union(front)
+    return settled
 
 
 # ---- reading what calls write and read out of their arguments -----------------------

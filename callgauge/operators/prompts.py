@@ -1,9 +1,8 @@
 """Prompt and listing texts.
 
-A text over many rows (a registry's summary, a transcript) is built in parts of
-a bounded number of rows. A normal server or transcript has one part; a huge one
-has several, numbered in order, and joining them with the separator gives the
-whole text.
+A text over many rows (a server's summary, a transcript) is one whole text. It is
+built from slices of a bounded number of rows, joined in order, so no task sorts
+all rows of a huge one; only the finished text is one value.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from callgauge.functions.variants import kind
 from callgauge.operators.dims import join_spec
 
-PART_ROWS = 200
+SLICE_ROWS = 1000
 
 TOOL_CALLING_PROMPT = """You judge whether an agent called its tools correctly.
 
@@ -93,14 +92,15 @@ def fill(template: str, **values: str) -> str:
     return f"concat({', '.join([*out, literal(rest)])})"
 
 
-def text_parts(rows: DataFrame, key: list[str], position: str, text: str, separator: str, size: int = PART_ROWS) -> DataFrame:
-    """Texts of a key joined in order, in parts of at most ``size`` rows."""
-    parted = rows.withColumn("part", F.expr(f"CAST(floor({position} / {size}) AS INT)"))
-    return parted.groupBy(*key, "part").agg(
-        F.expr(f"array_join(transform(sort_array(collect_list(struct({position} AS at, {text} AS txt))), x -> x.txt), {literal(separator)})").alias(
-            "text"
-        )
-    )
+def _in_order(position: str, text: str, separator: str) -> str:
+    return f"array_join(transform(sort_array(collect_list(struct({position} AS at, {text} AS txt))), x -> x.txt), {literal(separator)})"
+
+
+def joined_text(rows: DataFrame, key: list[str], position: str, text: str, separator: str) -> DataFrame:
+    """(key, text, n): the texts of a key joined in the order of a number, and how many they are."""
+    sliced = rows.withColumn("_slice", F.expr(f"CAST(floor({position} / {SLICE_ROWS}) AS BIGINT)"))
+    parts = sliced.groupBy(*key, "_slice").agg(F.expr(_in_order(position, text, separator)).alias("_part"), F.count("*").alias("_n"))
+    return parts.groupBy(*key).agg(F.expr(_in_order("_slice", "_part", separator)).alias("text"), F.sum("_n").alias("n"))
 
 
 # ---- specifications -----------------------------------------------------------------------
@@ -113,10 +113,10 @@ TOOL_BLOCK = (
     f" CASE WHEN size(a.enum) > 0 THEN concat(' [Enum: ', {SHOWN_ENUM}, ']') ELSE '' END)), '\\n')) END)"
 )
 SPEC_JSON = (
-    "concat('{\"name\":\"', tool_name, '\",\"description\":\"', description, '\",\"inputSchema\":{\"type\":\"object\",\"properties\":{',"
-    " array_join(transform(args, a -> concat('\"', a.param_name, '\":{\"type\":\"', a.param_type, '\"',"
-    " CASE WHEN size(a.enum) > 0 THEN concat(',\"enum\":[', array_join(a.enum, ','), ']') ELSE '' END, '}')), ','),"
-    " '},\"required\":[', array_join(transform(filter(args, a -> a.required), a -> concat('\"', a.param_name, '\"')), ','), ']}}')"
+    "to_json(named_struct('name', tool_name, 'description', description, 'inputSchema', named_struct('type', 'object', 'properties',"
+    " map_from_entries(transform(args, a -> struct(a.param_name, named_struct('type', a.param_type,"
+    " 'enum', CASE WHEN size(a.enum) > 0 THEN transform(a.enum, e -> try_parse_json(e)) END)))),"
+    " 'required', transform(filter(args, a -> a.required), a -> a.param_name))))"
 )
 
 
@@ -152,24 +152,31 @@ def spec_text(specs: DataFrame, matrices: DataFrame, enriched: str) -> DataFrame
 # ---- transcripts ----------------------------------------------------------------------------
 
 
-def call_list_parts(calls: DataFrame, size: int = PART_ROWS) -> DataFrame:
-    """Calls of each transcript as JSON list items in order, in parts."""
-    item = "concat('{\"name\":\"', tool_name, '\",\"arguments\":', coalesce(arguments, '{}'), '}')"
-    return text_parts(calls.withColumn("item", F.expr(item)), ["transcript_id"], "call_index", "item", ",\n", size)
+def call_lists(calls: DataFrame) -> DataFrame:
+    """(transcript_id, text, n): all calls of a transcript as JSON list items in order."""
+    named = "to_json(named_struct('name', tool_name))"  # its closing brace comes after the arguments
+    shown = "CASE WHEN try_parse_json(arguments) IS NOT NULL THEN arguments ELSE '{}' END"
+    item = f"concat(left({named}, length({named}) - 1), ',\"arguments\":', {shown}, '}}')"
+    return joined_text(calls.withColumn("item", F.expr(item)), ["transcript_id"], "call_index", "item", ",\n")
 
 
-def transcript_parts(turns: DataFrame, size: int = PART_ROWS) -> DataFrame:
-    """Conversation text in parts: a numbered block per turn with what the user and the agent said.
+def transcript_texts(turns: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """(transcript_id, text): a header line, then a numbered block per turn with what the user and the agent said.
 
-    turns: transcript_id, turn_index, user_message, tool_calls (text or NULL), agent_response.
+    turns: transcript_id, turn_index, user_message (or NULL), tool_calls (text or NULL), agent_response (or NULL).
+    titles: transcript_id, title; without them the header names the transcript's id.
     """
     block = (
-        "concat('\\nTurn ', turn_index, ':\\nUSER: ', user_message,"
+        "concat('\\nTurn ', turn_index, ':', CASE WHEN user_message IS NOT NULL THEN concat('\\nUSER: ', user_message) ELSE '' END,"
         " CASE WHEN tool_calls <> '' THEN concat('\\nAGENT TOOL CALLS: ', tool_calls) ELSE '' END,"
         " CASE WHEN agent_response <> '' THEN concat('\\nASSISTANT: ', agent_response) ELSE '' END)"
     )
     blocks = turns.selectExpr("transcript_id", "turn_index", f"{block} AS block")
-    return text_parts(blocks, ["transcript_id"], "turn_index", "block", "\n", size)
+    texts = joined_text(blocks, ["transcript_id"], "turn_index", "block", "\n")
+    if titles is None:
+        return texts.selectExpr("transcript_id", "concat('Conversation ', transcript_id, '\\n', text) AS text")
+    named = texts.join(titles, "transcript_id", "left")
+    return named.selectExpr("transcript_id", "concat('Conversation: ', coalesce(title, transcript_id), '\\n', text) AS text")
 
 
 def call_text(arguments: str) -> str:
@@ -185,18 +192,16 @@ def interpretation_prompts(specs: DataFrame) -> DataFrame:
     return specs.selectExpr("server", "tool_name", f"{fill(INTERPRETATION_PROMPT, tool_info='spec')} AS prompt")
 
 
-def scenario_prompts(summaries: DataFrame, sizes: DataFrame, tiers: list[str]) -> DataFrame:
-    """Scenario prompts per server part and tier; an unknown tier is asked as simple.
+def scenario_prompts(summaries: DataFrame, tiers: list[str]) -> DataFrame:
+    """Scenario prompt per server and tier, with all its tools; an unknown tier is asked as simple.
 
-    summaries: server, part, text; sizes: server, n.
+    summaries: server, text, n (the number of tools in the text).
     """
-    joined = summaries.join(sizes, "server").withColumn("tier", F.explode(F.array(*[F.lit(t) for t in tiers])))
+    joined = summaries.withColumn("tier", F.explode(F.array(*[F.lit(t) for t in tiers])))
     cases = " ".join(
         f"WHEN '{tier}' THEN {fill(text, n='n', tool_summary='text')}" for tier, text in SCENARIO_PROMPTS.items() if tier != "simple"
     )
-    return joined.selectExpr(
-        "server", "part", "tier", f"CASE tier {cases} ELSE {fill(SCENARIO_PROMPTS['simple'], n='n', tool_summary='text')} END AS prompt"
-    )
+    return joined.selectExpr("server", "tier", f"CASE tier {cases} ELSE {fill(SCENARIO_PROMPTS['simple'], n='n', tool_summary='text')} END AS prompt")
 
 
 def workflow_prompts(rows: DataFrame) -> DataFrame:
@@ -214,11 +219,37 @@ def workflow_prompts(rows: DataFrame) -> DataFrame:
     return rows.selectExpr("*", f"{mock} AS mock_prompt", f"{turn} AS turns_prompt")
 
 
+def server_texts(specs: DataFrame, matrices: DataFrame) -> DataFrame:
+    """(server, text): the specifications of all tools of a server in order, and its capability matrix where there is one.
+
+    specs: server, tool_name, tool_pos, spec; matrices: server, matrix.
+    """
+    whole = joined_text(specs, ["server"], "tool_pos", "spec", "\n")
+    joined = whole.join(matrices, "server", "left")
+    return joined.selectExpr("server", f"concat(text, CASE WHEN matrix IS NOT NULL THEN concat({literal(CAPABILITY_HEADER)}, matrix) ELSE '' END) AS text")
+
+
+def judge_cases(calls: DataFrame, requests: DataFrame, tools: DataFrame, texts: DataFrame) -> DataFrame:
+    """(transcript_id, specs, request, calls): one case per transcript, with the text of every server whose tools it calls.
+
+    calls: transcript_id, call_index, tool_name, arguments; requests: transcript_id, request; tools: tool_name, server;
+    texts: server, text.
+    """
+    used = calls.select("transcript_id", "tool_name").distinct().join(tools.select("tool_name", "server"), "tool_name").select("transcript_id", "server").distinct()
+    specs = used.join(texts, "server").groupBy("transcript_id").agg(
+        F.expr("array_join(transform(sort_array(collect_list(struct(server, text))), x -> x.text), '\\n\\n')").alias("specs")
+    )
+    listed = call_lists(calls).selectExpr("transcript_id", "text AS calls")
+    return listed.join(requests, "transcript_id", "left").join(specs, "transcript_id", "left").selectExpr(
+        "transcript_id", "coalesce(specs, '') AS specs", "coalesce(request, '') AS request", "calls"
+    )
+
+
 def judge_prompts(cases: DataFrame, judges: list[str]) -> DataFrame:
-    """Prompt table for an offline scorer: every case part once per judge.
+    """Prompt table for an offline scorer: every case once per judge.
 
-    cases: transcript_id, part, specs, request, calls.
+    cases: transcript_id, specs, request, calls.
     """
     filled = fill(TOOL_CALLING_PROMPT, tool_specs="specs", user_prompt="request", agent_calls="calls")
     per_judge = cases.withColumn("judge", F.explode(F.array(*[F.lit(j) for j in judges])))
-    return per_judge.selectExpr("transcript_id", "part", "judge", f"{filled} AS prompt")
+    return per_judge.selectExpr("transcript_id", "judge", f"{filled} AS prompt")

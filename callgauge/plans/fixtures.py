@@ -352,7 +352,8 @@ class Tables:
         at = lambda shift: f"concat('gs://b/', transcript_id, '/', call_index + {shift}, '.png')"
         return self.call_order.selectExpr(
             "call_id", "transcript_id", "call_index", "tool_name", "fault_no",
-            f"{at(0)} AS produced_uri",
+            # Some calls write again what an earlier call wrote.
+            f"CASE WHEN fault_no = 3 AND call_index > 1 THEN {at(-2)} ELSE {at(0)} END AS produced_uri",
             f"CASE WHEN fault_no = 7 THEN 'gs://b/none.png' WHEN fault_no = 9 THEN {at(1)}"
             f" WHEN call_index > 0 THEN {at(-1)} END AS consumed_uri",
             "CASE WHEN fault_no = 2 THEN '21:9' ELSE '16:9' END AS aspect_ratio",

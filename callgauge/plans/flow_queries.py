@@ -47,9 +47,7 @@ def turn_pairs(t: Tables) -> DataFrame:
 @query(
     "uri_provenance",
     """
-SELECT c.call_id, c.transcript_id, c.call_index, c.consumed_uri AS uri, p.call_index AS producer_index, p.tool_name AS producer_tool_name
-FROM call_io c LEFT JOIN call_io p ON p.transcript_id = c.transcript_id AND p.produced_uri = c.consumed_uri AND p.call_index < c.call_index
-WHERE c.consumed_uri IS NOT NULL
+SELECT call_id, transcript_id, call_index, consumed_uri AS uri, producer_index, producer_tool_name FROM call_links WHERE consumed_uri IS NOT NULL
 """,
 )
 def uri_provenance(t: Tables) -> DataFrame:
@@ -72,9 +70,7 @@ def dangling_uris(t: Tables) -> DataFrame:
 @query(
     "setting_mismatch",
     """
-SELECT c.call_id, c.transcript_id, c.aspect_ratio, p.aspect_ratio AS producer_aspect_ratio FROM call_io c
-JOIN call_io p ON p.transcript_id = c.transcript_id AND p.produced_uri = c.consumed_uri AND p.call_index < c.call_index
-WHERE p.aspect_ratio <> c.aspect_ratio
+SELECT call_id, transcript_id, aspect_ratio, producer_aspect_ratio FROM call_links WHERE producer_aspect_ratio <> aspect_ratio
 """,
 )
 def setting_mismatch(t: Tables) -> DataFrame:
@@ -178,8 +174,7 @@ def mock_lookup(t: Tables) -> DataFrame:
     "parallel_levels",
     """
 WITH RECURSIVE edge AS (
-  SELECT c.transcript_id, c.call_index AS node, p.call_index AS parent FROM call_io c
-  LEFT JOIN call_io p ON p.transcript_id = c.transcript_id AND p.produced_uri = c.consumed_uri AND p.call_index < c.call_index),
+  SELECT transcript_id, call_index AS node, producer_index AS parent FROM call_links),
 walk AS (
   SELECT transcript_id, node, 0 AS level FROM edge WHERE parent IS NULL
   UNION ALL SELECT e.transcript_id, e.node, w.level + 1 FROM edge e JOIN walk w ON w.transcript_id = e.transcript_id AND w.node = e.parent)
@@ -249,9 +244,9 @@ def uri_grounding(t: Tables) -> DataFrame:
     )
     # Every tenth transcript has a prompt that names all of its files.
     prompts = (
-        t.call_keys.select("transcript_id").distinct().selectExpr(
+        t.call_keys.groupBy("transcript_id").agg(F.count("*").alias("n")).selectExpr(
             "transcript_id",
-            "CASE WHEN transcript_id % 10 = 0 THEN concat_ws(' ', transform(concat(transform(sequence(0, 99), x -> CAST(x AS STRING)),"
+            "CASE WHEN transcript_id % 10 = 0 THEN concat_ws(' ', transform(concat(transform(sequence(0L, n), x -> CAST(x AS STRING)),"
             " array('lost')), x -> concat('gs://b/', transcript_id, '/', x, '.png'))) ELSE 'no files' END AS prompt",
         )
     )

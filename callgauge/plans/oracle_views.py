@@ -103,7 +103,7 @@ SELECT * FROM (VALUES ('img_generate', '{"uri":"gs://b/1.png"}'),
 
 CTES["call_io"] = """
 SELECT call_id, transcript_id, call_index, tool_name, fault_no,
-       'gs://b/' || CAST(transcript_id AS VARCHAR(20)) || '/' || CAST(call_index AS VARCHAR(20)) || '.png' AS produced_uri,
+       'gs://b/' || CAST(transcript_id AS VARCHAR(20)) || '/' || CAST(call_index - CASE WHEN fault_no = 3 AND call_index > 1 THEN 2 ELSE 0 END AS VARCHAR(20)) || '.png' AS produced_uri,
        CASE WHEN fault_no = 7 THEN 'gs://b/none.png'
             WHEN fault_no = 9 THEN 'gs://b/' || CAST(transcript_id AS VARCHAR(20)) || '/' || CAST(call_index + 1 AS VARCHAR(20)) || '.png'
             WHEN call_index > 0 THEN 'gs://b/' || CAST(transcript_id AS VARCHAR(20)) || '/' || CAST(call_index - 1 AS VARCHAR(20)) || '.png'
@@ -112,6 +112,15 @@ SELECT call_id, transcript_id, call_index, tool_name, fault_no,
 FROM calls
 """
 
+CTES["call_links"] = """
+SELECT c.*, p.call_index AS producer_index, p.tool_name AS producer_tool_name, p.aspect_ratio AS producer_aspect_ratio
+FROM call_io c
+LEFT JOIN (SELECT r.call_id, max(w.call_index) AS last_index FROM call_io r
+  JOIN call_io w ON w.transcript_id = r.transcript_id AND w.produced_uri = r.consumed_uri AND w.call_index < r.call_index GROUP BY r.call_id) m
+  ON m.call_id = c.call_id
+LEFT JOIN call_io p ON p.transcript_id = c.transcript_id AND p.call_index = m.last_index
+"""
+
 CTES["tool_needs"] = """
 SELECT * FROM (VALUES ('av_combine', 'vid_generate'), ('av_combine', 'music_generate'),
                       ('vid_from_image', 'img_generate')) AS n(tool_name, needs_tool)

@@ -277,7 +277,7 @@ def result_json(t: Tables) -> DataFrame:
 CTES["complexity"] = """
 SELECT t.server, avg(coalesce(n.params, 0)) AS mean_params, CAST(sum(n.optional) AS DOUBLE) / nullif(sum(n.params), 0) AS optional_share, any_value(q.quality) AS quality
 FROM spec_tools t LEFT JOIN (SELECT tool_name, count(*) AS params, count(*) FILTER (WHERE NOT required) AS optional FROM spec_params GROUP BY tool_name) n ON n.tool_name = t.tool_name
-JOIN (SELECT s.server, avg(p.tc) AS quality FROM scored_plain p JOIN spec_tools s ON s.tool_pos = p.call_id % 200 GROUP BY s.server) q ON q.server = t.server
+JOIN (SELECT s.server, avg(p.tc) AS quality FROM scored_plain p JOIN spec_tools s ON s.tool_pos = p.call_id % (SELECT max(tool_pos) + 1 FROM spec_tools) GROUP BY s.server) q ON q.server = t.server
 GROUP BY t.server
 """
 
@@ -291,7 +291,10 @@ def schema_complexity(t: Tables) -> DataFrame:
     sizes = rows(t).selectExpr("server", "tool_pos", "size(args) AS params", "size(filter(args, a -> NOT a.required)) AS optional")
     shape = sizes.groupBy("server").agg(F.avg("params").alias("mean_params"), F.expr("try_divide(sum(optional), sum(params))").alias("optional_share"))
     # Sums per tool first: the join to servers then sees one row per tool.
-    per_tool = scored(t, False).groupBy(F.expr("call_id % 200").alias("tool_pos")).agg(F.sum("tc").alias("total"), F.count("tc").alias("n"))
+    # Calls go round all tools of the registry.
+    tools = t.spec_tools.agg((F.max("tool_pos") + 1).alias("n_tools"))
+    called = scored(t, False).join(F.broadcast(tools))  # one row
+    per_tool = called.groupBy(F.expr("call_id % n_tools").alias("tool_pos")).agg(F.sum("tc").alias("total"), F.count("tc").alias("n"))
     quality = per_tool.join(t.spec_tools.select("tool_pos", "server"), "tool_pos").groupBy("server").agg(F.expr("sum(total) / sum(n)").alias("quality"))
     return shape.join(quality, "server").agg(
         F.count("*").alias("servers"),

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.operators import generation as g
 from callgauge.operators import evaluation, prompts, replies
-from callgauge.operators.ordering import number_slice, with_next, with_position
-from callgauge.plans.fixtures import JUDGES, Tables
+from callgauge.operators.ordering import number_slice, with_next
+from callgauge.plans.fixtures import JUDGES, MEDIA_PARAMS, MEDIA_TOOLS, MODELS, Tables
 from callgauge.plans.generation_queries import rows
 from callgauge.plans.registry import CTES, query
+from callgauge.session import literal_table
+
+IMG_RATIOS = ("1:1", "16:9", "9:16", "4:3")
 
 
 def _judge_text(t: Tables) -> DataFrame:
@@ -224,17 +229,15 @@ FROM spec_tools t LEFT JOIN (SELECT tool_name, string_agg('  - `' || param_name
   || CASE WHEN enum_values IS NOT NULL THEN ' [Enum: draft, final]' ELSE '' END, chr(10) ORDER BY param_pos) AS lines FROM spec_params GROUP BY tool_name) p ON p.tool_name = t.tool_name
 """
 CTES["server_summaries"] = """
-SELECT server, CAST((rn - 1) // 200 AS INTEGER) AS part, string_agg(block, chr(10) || chr(10) ORDER BY rn) AS text, count(*) AS n
-FROM (SELECT *, row_number() OVER (PARTITION BY server ORDER BY tool_pos) AS rn FROM tool_blocks) GROUP BY server, part
+SELECT server, string_agg(block, chr(10) || chr(10) ORDER BY tool_pos) AS text, count(*) AS n FROM tool_blocks GROUP BY server
 """
 
 
 def _summaries(t: Tables) -> DataFrame:
-    placed = with_position(prompts.tool_blocks(rows(t)), ["server"], ["tool_pos"], number_slice("tool_pos"), "place")
-    return prompts.text_parts(placed, ["server"], "place", "block", "\n\n")
+    return prompts.joined_text(prompts.tool_blocks(rows(t)), ["server"], "tool_pos", "block", "\n\n")
 
 
-@query("tool_summary", "SELECT server, part, text FROM server_summaries")
+@query("tool_summary", "SELECT server, text, n FROM server_summaries")
 def tool_summary(t: Tables) -> DataFrame:
     return _summaries(t)
 
@@ -263,24 +266,23 @@ def spec_text(t: Tables) -> DataFrame:
 
 
 _TIER_SQL = " ".join(
-    f"WHEN '{tier}' THEN {_duck_fill(text, n='z.n', tool_summary='s.text')}" for tier, text in prompts.SCENARIO_PROMPTS.items()
+    f"WHEN '{tier}' THEN {_duck_fill(text, n='s.n', tool_summary='s.text')}" for tier, text in prompts.SCENARIO_PROMPTS.items()
 )
 
 
 @query(
     "stage_prompts",
     f"""
-SELECT s.server, s.part, t.tier, CASE CASE WHEN t.tier = 'odd' THEN 'simple' ELSE t.tier END {_TIER_SQL} END AS prompt
-FROM server_summaries s JOIN server_sizes z ON z.server = s.server, (VALUES ('simple'), ('complex'), ('boundary'), ('odd')) t(tier)
-UNION ALL SELECT server, 0, 'interpret', {_duck_fill(prompts.INTERPRETATION_PROMPT, tool_info='spec')} FROM spec_json
+SELECT s.server, t.tier, CASE CASE WHEN t.tier = 'odd' THEN 'simple' ELSE t.tier END {_TIER_SQL} END AS prompt
+FROM server_summaries s, (VALUES ('simple'), ('complex'), ('boundary'), ('odd')) t(tier)
+UNION ALL SELECT server, 'interpret', {_duck_fill(prompts.INTERPRETATION_PROMPT, tool_info='spec')} FROM spec_json
 """,
 )
 def stage_prompts(t: Tables) -> DataFrame:
     """Stage 1 prompt of every tool, stage 2 prompts of every server; an unknown tier is simple."""
-    sizes = t.spec_tools.groupBy("server").agg(F.count("*").alias("n"))
-    second = prompts.scenario_prompts(_summaries(t), sizes, ["simple", "complex", "boundary", "odd"])
+    second = prompts.scenario_prompts(_summaries(t), ["simple", "complex", "boundary", "odd"])
     first = prompts.interpretation_prompts(prompts.spec_json(rows(t)))
-    return second.unionByName(first.selectExpr("server", "0 AS part", "'interpret' AS tier", "prompt"))
+    return second.unionByName(first.selectExpr("server", "'interpret' AS tier", "prompt"))
 
 
 _MOCK_SQL = _duck_fill(
@@ -317,53 +319,85 @@ def mock_prompts(t: Tables) -> DataFrame:
     return prompts.workflow_prompts(seeded).select("tool_name", "mock_prompt", "turns_prompt")
 
 
-_JUDGE_SQL = _duck_fill(prompts.TOOL_CALLING_PROMPT, tool_specs="'registry media'", user_prompt="'Work on transcript ' || transcript_id", agent_calls="calls")
+def _media_texts() -> list[tuple[str, str]]:
+    """Specification text and matrix of each server of the media registry, written out for the SQL."""
+    made = {}
+    for server, tool in MEDIA_TOOLS:
+        props = {}
+        for param, type_name in MEDIA_PARAMS:
+            enum = {"enum": list(IMG_RATIOS)} if (param, tool) == ("aspect_ratio", "img_generate") else {}
+            props[param] = {"type": type_name, **enum}
+        required = [p for p, _ in MEDIA_PARAMS if p == "prompt" or (p == "image_uri" and tool == "vid_from_image")]
+        schema = {"type": "object", "properties": props, "required": required}
+        made.setdefault(server, []).append(json.dumps({"name": tool, "description": "", "inputSchema": schema}, separators=(",", ":")))
+    return [(s, "\n".join(specs) + ("" if s == "music" else prompts.CAPABILITY_HEADER + _matrix(s))) for s, specs in made.items()]
+
+
+def _matrix(server: str) -> str:
+    return json.dumps({model: {"audio": audio, "ratios": ratios.split("|")} for model, audio, ratios, _ in MODELS} | {"server": server}, separators=(",", ":"))
+
+
+_SERVERS_SQL = ", ".join(f"({_duck(server)}, {_duck(text)})" for server, text in _media_texts())
+_TOOLS_SQL = ", ".join(f"({_duck(tool)}, {_duck(server)})" for server, tool in MEDIA_TOOLS)
+_JUDGE_SQL = _duck_fill(prompts.TOOL_CALLING_PROMPT, tool_specs="coalesce(s.specs, '')", user_prompt="'Work on transcript ' || c.transcript_id", agent_calls="c.calls")
 
 
 @query(
     "judge_prompts",
     f"""
-SELECT transcript_id, part, judge, {_JUDGE_SQL} AS prompt FROM (
-  SELECT transcript_id, call_index // 200 AS part, string_agg('{{"name":"' || tool_name || '","arguments":' || arguments || '}}', ',' || chr(10) ORDER BY call_index) AS calls
-  FROM calls GROUP BY ALL), (VALUES ('judge_a'), ('judge_b')) j(judge)
+SELECT c.transcript_id, judge, {_JUDGE_SQL} AS prompt FROM (
+  SELECT transcript_id, string_agg('{{"name":"' || tool_name || '","arguments":' || shown || '}}', ',' || chr(10) ORDER BY call_index) AS calls
+  FROM (SELECT *, arguments AS shown FROM calls WHERE json_valid(arguments)
+    UNION ALL SELECT *, '{{}}' FROM calls WHERE NOT coalesce(json_valid(arguments), false)) GROUP BY ALL) c
+LEFT JOIN (SELECT transcript_id, string_agg(text, chr(10) || chr(10) ORDER BY server) AS specs FROM (
+    SELECT DISTINCT transcript_id, server FROM calls JOIN (VALUES {_TOOLS_SQL}) t(tool_name, server) USING (tool_name)
+  ) JOIN (VALUES {_SERVERS_SQL}) v(server, text) USING (server) GROUP BY ALL) s ON s.transcript_id = c.transcript_id, (VALUES ('judge_a'), ('judge_b')) j(judge)
 """,
 )
 def judge_prompts(t: Tables) -> DataFrame:
-    parts = prompts.call_list_parts(t.calls)
-    framed = parts.selectExpr("transcript_id", "part", "text AS calls", "'registry media' AS specs", "concat('Work on transcript ', transcript_id) AS request")
-    return prompts.judge_prompts(framed, [name for name, _ in JUDGES])
+    """One prompt per transcript and judge, with the specifications and matrices of the servers it calls."""
+    spec = t.media_spec
+    placed = spec.tools.withColumn("tool_pos", F.expr("CASE tool_name WHEN 'vid_from_image' THEN 1 ELSE 0 END"))
+    specs = prompts.spec_json(g.tool_rows(placed, spec.params.drop("server")))
+    matrices = literal_table(t.spark, [(s, _matrix(s)) for s in ("img", "vid", "av")], "server string, matrix string")
+    requests = t.calls.select("transcript_id").distinct().selectExpr("transcript_id", "concat('Work on transcript ', transcript_id) AS request")
+    cases = prompts.judge_cases(t.calls, requests, spec.tools, prompts.server_texts(specs, matrices))
+    return prompts.judge_prompts(cases, [name for name, _ in JUDGES])
 
 
 CTES["pair_blocks"] = """
-SELECT conv_id, turn, chr(10) || 'Turn ' || turn || ':' || chr(10) || 'USER: ' || text || CASE WHEN turn % 3 = 0 THEN chr(10) || 'AGENT TOOL CALLS: look(flag=True, q=''x'')' ELSE '' END
-  || CASE WHEN next_role = 'assistant' THEN chr(10) || 'ASSISTANT: ' || next_text ELSE '' END AS block
-FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user'
+SELECT conv_id, turn, chr(10) || 'Turn ' || turn || ':' || CASE WHEN role <> 'assistant' THEN chr(10) || 'USER: ' || text ELSE '' END
+  || CASE WHEN role = 'user' AND turn % 3 = 0 THEN chr(10) || 'AGENT TOOL CALLS: look(flag=True, q=''x'')' ELSE '' END
+  || CASE WHEN role = 'assistant' THEN chr(10) || 'ASSISTANT: ' || text WHEN role = 'user' AND next_role = 'assistant' THEN chr(10) || 'ASSISTANT: ' || next_text ELSE '' END AS block
+FROM (SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS next_text, lag(role) OVER w AS last_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+WHERE role <> 'assistant' OR last_role IS DISTINCT FROM 'user'
 """
+_WHOLE_SQL = "'Conversation ' || conv_id || chr(10) || string_agg(block, chr(10) ORDER BY turn)"
 
 
-@query(
-    "transcript_text",
-    "SELECT conv_id AS transcript_id, CAST(turn // 200 AS INTEGER) AS part, string_agg(block, chr(10) ORDER BY turn) AS text FROM pair_blocks GROUP BY ALL",
-)
+@query("transcript_text", f"SELECT conv_id AS transcript_id, {_WHOLE_SQL} AS text FROM pair_blocks GROUP BY conv_id")
 def transcript_text(t: Tables) -> DataFrame:
-    turns = with_next(t.read("conversations"), ["conv_id"], "turn", number_slice("turn"), ["role", "text"])
+    """Every row of a conversation: a user row takes the answer after it, other rows are turns of their own."""
+    rows_of = t.read("conversations")
+    following = with_next(rows_of, ["conv_id"], "turn", number_slice("turn"), ["role", "text"])
+    answers = with_next(rows_of.withColumn("turn", -F.col("turn")), ["conv_id"], "turn", number_slice("turn"), ["role"])
+    led = answers.where("role = 'assistant' AND next_role = 'user'").selectExpr("conv_id", "-turn AS turn")
     calls = "concat('look(', " + prompts.call_text("'{\"q\":\"x\",\"flag\":true}'") + ", ')')"
-    named = turns.where("role = 'user'").selectExpr(
-        "conv_id AS transcript_id", "turn AS turn_index", "text AS user_message",
-        f"CASE WHEN turn % 3 = 0 THEN {calls} END AS tool_calls",
-        "CASE WHEN next_role = 'assistant' THEN next_text END AS agent_response",
+    turns = following.join(led, ["conv_id", "turn"], "left_anti").selectExpr(
+        "conv_id AS transcript_id", "turn AS turn_index",
+        "CASE WHEN role <> 'assistant' THEN text END AS user_message",
+        f"CASE WHEN role = 'user' AND turn % 3 = 0 THEN {calls} END AS tool_calls",
+        "CASE WHEN role = 'assistant' THEN text WHEN role = 'user' AND next_role = 'assistant' THEN next_text END AS agent_response",
     )
-    return prompts.transcript_parts(named)
+    return prompts.transcript_texts(turns)
 
 
 @query(
     "coherence_prompts",
-    "SELECT conv_id AS transcript_id, CAST(turn // 200 AS INTEGER) AS part, "
-    + _duck_fill(prompts.COHERENCE_PROMPT, transcript="string_agg(block, chr(10) ORDER BY turn)")
-    + " AS prompt FROM pair_blocks GROUP BY ALL",
+    "SELECT conv_id AS transcript_id, " + _duck_fill(prompts.COHERENCE_PROMPT, transcript=_WHOLE_SQL) + " AS prompt FROM pair_blocks GROUP BY conv_id",
 )
 def coherence_prompts(t: Tables) -> DataFrame:
-    return transcript_text(t).selectExpr("transcript_id", "part", f"{prompts.fill(prompts.COHERENCE_PROMPT, transcript='text')} AS prompt")
+    return transcript_text(t).selectExpr("transcript_id", f"{prompts.fill(prompts.COHERENCE_PROMPT, transcript='text')} AS prompt")
 
 
 @query(

@@ -31,13 +31,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
+    """The folder every executor can reach: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where the session names none (tests on one machine) is a local folder
-    made and remembered in the session.
+    Where neither is set, a session on one machine (``local[..]``, as in tests) makes a local folder; a cluster has to name one.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("callgauge.scratch.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("callgauge.scratch.dir", None)
     if base is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="callgauge-")
         spark.conf.set("callgauge.scratch.dir", base)
     return base.rstrip("/")

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+import pytest
+
 from callgauge.operators import dataflow
 
 PIC = ("pic_make", {"aspect_ratio": "16:9", "gcs_bucket_uri": "gs://mybucket/outputs/", "output_filename": "car.png"})
@@ -73,3 +75,22 @@ def test_levels_of_chains_and_of_graphs(spark):
         nodes = spark.createDataFrame([(1, i) for i in range(n)], "transcript_id bigint, node int")
         links = spark.createDataFrame([(1, c, p) for c, p in edges], "transcript_id bigint, node int, parent int")
         assert {r.node: r.level for r in dataflow.levels(nodes, links).collect()} == depth(edges, n)
+
+
+def test_a_cycle_is_an_error(spark):
+    nodes = spark.createDataFrame([(1, i) for i in range(4)], "transcript_id bigint, node int")
+    for edges in ([(1, 2), (2, 1)], [(1, 2), (2, 1), (1, 0), (3, 2)]):
+        links = spark.createDataFrame([(1, c, p) for c, p in edges], "transcript_id bigint, node int, parent int")
+        with pytest.raises(ValueError, match="cycle"):
+            dataflow.levels(nodes, links).count()
+
+
+def test_the_last_writer_before_a_read_counts(spark):
+    writes = [(1, "u", i, "16:9" if i < 600 else "21:9") for i in (0, 2, 300, 600, 900)]
+    produced = spark.createDataFrame(writes, "transcript_id bigint, uri string, call_index int, ratio string")
+    consumed = spark.createDataFrame([(1, "u", i, "16:9") for i in (0, 1, 2, 3, 299, 599, 600, 601, 2000)] + [(1, "v", 5, "16:9")], produced.schema)
+    got = {(r.uri, r.call_index): r.producer_index for r in dataflow.provenance(consumed, produced, ["ratio"]).collect()}
+    assert got == {
+        ("u", i): max((w[2] for w in writes if w[2] < i), default=None) for i in (0, 1, 2, 3, 299, 599, 600, 601, 2000)
+    } | {("v", 5): None}
+    assert {r.call_index for r in dataflow.setting_mismatch(consumed, produced, "ratio").collect()} == {601, 2000}

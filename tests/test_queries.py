@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import contextlib
 import io
+import json
 import re
 
 import pytest
 
 import __spark_entry__ as contract
+from callgauge.operators import prompts
+from callgauge.plans import catalog
 from tests.conftest import SF
 from tools.check import compare, duck
 
@@ -26,7 +29,7 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
 
 
 def test_entry(spark):
@@ -58,3 +61,18 @@ def test_generated_methods_can_be_compiled(spark, name):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
     assert max(sizes, default=0) < 8000
+
+
+def test_texts_of_many_rows_are_whole(spark):
+    calls = spark.range(2501).selectExpr("7L AS transcript_id", "id AS call_index", "concat('t', id) AS tool_name", "'{}' AS arguments")
+    row = prompts.call_lists(calls).collect()
+    assert len(row) == 1 and row[0].n == 2501
+    assert row[0].text == ",\n".join(f'{{"name":"t{i}","arguments":{{}}}}' for i in range(2501))
+
+
+def test_spec_json_survives_quotes(spark):
+    rows = spark.sql("""SELECT 's' AS server, 'a"b' AS tool_name, 0 AS tool_pos, 'say "x"\nand \\\\ go' AS description,
+        array(named_struct('param_pos', 0, 'param_name', 'p"q', 'param_type', 'string', 'required', true, 'enum', array('"u"', '1'))) AS args""")
+    made = json.loads(prompts.spec_json(rows).collect()[0].spec)
+    assert made["name"] == 'a"b' and made["description"].startswith('say "x"\n') and made["inputSchema"]["required"] == ['p"q']
+    assert made["inputSchema"]["properties"] == {'p"q': {"type": "string", "enum": ["u", 1]}}
