@@ -45,6 +45,17 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+BROADCAST_ROWS = 2_000_000
+
+
+def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``frame`` (written, of a few narrow columns) marked for broadcast if it has at most so many rows, else as it is.
+
+    Rows of two longs take about 32 bytes in the broadcast table, so the bound is about 64 MB.
+    """
+    return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

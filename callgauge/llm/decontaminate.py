@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callgauge.llm.common import fresh, text_or_empty, written
+from callgauge.llm.common import fresh, small, text_or_empty, written
 
 # 1: the word counts. Any substitution of every fourth, fifth, .. word leaves hits of the first mask, every third word of the
 # second, and words substituted at random of any.
@@ -86,7 +86,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataF
     items = written(_items(benchmark), "items")
     found = written(hits(docs, items, text).unionByName(_short_hits(docs, items, text)), "seed-hits")
     keys = found.select("h1", "h2").distinct()
-    rows = _keys(docs.select(F.col(text).alias("text")), "text").join(written(keys, "hit-texts"), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    rows = _keys(docs.select(F.col(text).alias("text")), "text").join(small(written(keys, "hit-texts")), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     rows = rows.select("h1", "h2", words(F.col("text")).alias("own"))
     aligned = found.join(rows, ["h1", "h2"]).join(items, "item_key")
     equal = F.transform("item", lambda w, j: F.when((F.col("shift") + j >= 0) & (F.get("own", F.greatest(F.col("shift") + j, F.lit(0))) == w), 1).otherwise(0))
@@ -120,6 +120,7 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the rows whose text overlaps an item; columns stay as they are, rows without text stay."""
     bad = overlaps(docs, benchmark, text).select("h1", "h2").distinct()
+    bad = small(written(bad, "contaminated"))
     h1, h2 = fresh(docs, "_h1"), fresh(docs, "_h2")
     keyed = docs.withColumns({h1: F.xxhash64(text), h2: F.hash(text)})
     return keyed.join(bad.toDF(h1, h2), [h1, h2], "left_anti").select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.llm.arrays import mix, segment_hash
-from callgauge.llm.common import text_or_empty, written
+from callgauge.llm.common import small, text_or_empty, written
 from callgauge.llm.components import components
 
 WORDS = 5
@@ -241,7 +241,8 @@ def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     """Those pairs (a, b) of classes whose sets are similar. Sets are made anew for the classes that occur, from one document each."""
     classes = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     wanted = written(reps.join(classes, "c").select("doc_id"), "candidate-docs")
-    sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, SETS).dropDuplicates(["c"])
+    # Texts stay where they are while the ids are few enough to be sent to them.
+    sets = rows.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets, SETS).dropDuplicates(["c"])
     sets = written(sets, "candidate-sets")
     left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
 
@@ -338,4 +339,4 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component, the one of the smallest id; columns and rows without words or id stay."""
     gone = written(similar_documents(docs).filter("doc_id <> component_id").select("doc_id").distinct(), "similar-docs")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
