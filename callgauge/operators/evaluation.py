@@ -1,13 +1,14 @@
-"""From judge replies to a verdict per case: parse, collapse, average, pass mark."""
+"""From judge replies to a verdict per case: parse, collapse, average, pass mark; and the same for whole conversations."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgauge.operators import gates, lint
+from callgauge import fixed
+from callgauge.operators import gates, lint, scoring
 from callgauge.operators.lint import Spec
-from callgauge.operators.replies import raw_scores
+from callgauge.operators.replies import raw_coherence, raw_scores
 
 RESULT = ("usage", "selection", "arguments", "ordering", "tc", "collapsed", "n_violations", "passed", "rationale")
 
@@ -25,3 +26,15 @@ def evaluate(calls: DataFrame, spec: Spec, replies: DataFrame) -> tuple[DataFram
     keys = [c for c in replies.columns if c != "reply"]
     results = done.withColumn("n_violations", F.coalesce("n_violations", F.lit(0))).select(*keys, *RESULT)
     return results, parsed.where("rejected").select(*keys)
+
+
+COHERENCE = ("logical_flow", "completeness", "conciseness", "topic_relevance", "context_retention", "overall", "passed", "rationale")
+
+
+def evaluate_coherence(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(results, rejects) of coherence replies (reply, and any keys); a reply without JSON is rejected and not scored."""
+    parsed = raw_coherence(replies)
+    keys = [c for c in replies.columns if c != "reply"]
+    scored = scoring.coherence(parsed.where("NOT rejected"))
+    results = scored.withColumn("passed", F.col("overall") >= fixed.PASS_COHERENCE).select(*keys, *COHERENCE)
+    return results, parsed.where("rejected").select(*keys)

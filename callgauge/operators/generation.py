@@ -35,11 +35,12 @@ DEFAULT_TIERS = ("simple", "complex")
 
 def tool_rows(tools: DataFrame, params: DataFrame) -> DataFrame:
     """One row per tool with ``args``: its own parameters in order (one specification document)."""
-    grouped = params.groupBy("tool_name").agg(
+    own = ["server", "tool_name"] if "server" in params.columns else ["tool_name"]
+    grouped = params.groupBy(*own).agg(
         F.expr("sort_array(collect_list(struct(param_pos, param_name, param_type, required, enum)))").alias("args")
     )
     empty = "CAST(array() AS array<struct<param_pos:int,param_name:string,param_type:string,required:boolean,enum:array<string>>>)"
-    return tools.join(grouped, "tool_name", "left").withColumn("args", F.expr(f"coalesce(args, {empty})"))
+    return tools.join(grouped, own, "left").withColumn("args", F.expr(f"coalesce(args, {empty})"))
 
 
 def _names(condition: str) -> str:

@@ -63,28 +63,35 @@ class Spec:
         """
         small = self.bounded
         if small is None:
-            small = is_small(self.params) and is_small(self.capabilities) and is_small(self.tools)
+            small = all(is_small(table) for table in (self.params, self.capabilities, self.tools, self.rules)) and is_small(self._attached())
         if not small:
             return Spec(self.tools, self.params, self.capabilities, self.rules, False)
+        # Each is at most BROADCAST_ROWS rows, so one partition is enough for it.
         one = (self.tools, self.params, self.capabilities, self.rules)
         return Spec(*[table.coalesce(1) for table in one], bounded=True)
 
+    def _attached(self) -> DataFrame:
+        """Parameters times the rules on their name: what the broadcast of ``param_dim`` grows with."""
+        return self.params.select("param_name").join(self.rules.select("param_name"), "param_name")
+
 
 def tool_dim(spec: Spec) -> DataFrame:
-    """One row per tool: its parameter names, its required ones and its model parameter."""
-    listed = spec.params.groupBy("tool_name").agg(
+    """One row per (server, tool): its parameter names, its required ones and its model parameter."""
+    own = ["server", "tool_name"]
+    listed = spec.params.groupBy(*own).agg(
         F.expr("sort_array(collect_list(struct(param_pos, param_name, required)))").alias("ps")
     )
     model_param = (
-        spec.params.select("tool_name", "param_name")
+        spec.params.select(*own, "param_name")
         .join(spec.rules.where("check = 'known_model'").select("tool_pattern", "param_name"), "param_name")
         .where("tool_name rlike concat('^(', tool_pattern, ')$')")
-        .groupBy("tool_name")
+        .groupBy(*own)
         .agg(F.min("param_name").alias("model_param"))
     )
     return (
-        spec.tools.join(listed, "tool_name", "left")
-        .join(model_param, "tool_name", "left")
+        spec.tools.dropDuplicates(own)
+        .join(listed, own, "left")
+        .join(model_param, own, "left")
         .selectExpr(
             "tool_name",
             "server AS spec_server",
@@ -97,13 +104,19 @@ def tool_dim(spec: Spec) -> DataFrame:
     )
 
 
+def only_by_name(tools: DataFrame) -> DataFrame:
+    """One row per tool name, for calls that do not say their server: of servers with a tool of one name, the last wins."""
+    return tools.groupBy("tool_name").agg(F.max_by(F.struct(*[c for c in tools.columns if c != "tool_name"]), "spec_server").alias("_t")).select("tool_name", "_t.*")
+
+
 def param_dim(spec: Spec) -> DataFrame:
-    """One row per (tool, parameter, capability rule); ``rule_no`` 0 is there for every parameter."""
+    """One row per (server, tool, parameter, capability rule); ``rule_no`` 0 is there for every parameter."""
+    own = ["server", "tool_name", "param_name"]
     attached = (
-        spec.params.select("tool_name", "param_name")
+        spec.params.select(*own)
         .join(spec.rules, "param_name")
         .where("tool_name rlike concat('^(', tool_pattern, ')$')")
-        .groupBy("tool_name", "param_name")
+        .groupBy(*own)
         .agg(
             F.expr(
                 "collect_list(struct(check, capability, min_value, max_value, allowed, rule_id, severity, phrase))"
@@ -120,8 +133,10 @@ def param_dim(spec: Spec) -> DataFrame:
             f" 'invalid_value' AS rule_id, '{fixed.ERROR}' AS severity, 'is out of range' AS phrase)) ELSE array() END)"
         )
     return (
-        spec.params.join(attached, ["tool_name", "param_name"], "left")
+        spec.params.dropDuplicates(own)
+        .join(attached, own, "left")
         .selectExpr(
+            "server AS spec_server",
             "tool_name",
             "param_name AS arg_name",
             f"{ptype} AS param_type",
@@ -176,7 +191,12 @@ def argument_frame(calls: DataFrame, spec: Spec) -> DataFrame:
     spec = spec.checked()
     if "is_object" not in calls.columns:
         calls = calls.withColumn("is_object", F.lit(True))
-    frame = join_spec(calls, tool_dim(spec), ["tool_name"], "left", small=spec.bounded, spread="call_id")
+    # A call that names its server is judged by that server's tool, any other by the one tool of its name.
+    if "server" in calls.columns:
+        tools, on = tool_dim(spec).withColumn("server", F.col("spec_server")), ["tool_name", "server"]
+    else:
+        tools, on = only_by_name(tool_dim(spec)), ["tool_name"]
+    frame = join_spec(calls, tools, on, "left", small=spec.bounded, spread="call_id")
     frame = frame.selectExpr("*", "try_parse_json(coalesce(arguments, '{}')) AS _args")
     frame = frame.selectExpr("*", "schema_of_variant(_args) AS _full")
     kept = [c for c in frame.columns if c not in ("_args", "_full", "arguments", "spec_required", "model_param")]
@@ -209,7 +229,7 @@ def argument_frame(calls: DataFrame, spec: Spec) -> DataFrame:
         "coalesce(pos, 0) AS arg_pos", "key AS arg_name", "value AS arg"
     )
     frame = frame.lateralJoin(explode).drop("_args")
-    return join_spec(frame, param_dim(spec), ["tool_name", "arg_name"], "left", small=spec.bounded, spread="call_id")
+    return join_spec(frame, param_dim(spec), ["spec_server", "tool_name", "arg_name"], "left", small=spec.bounded, spread="call_id")
 
 
 # One flag per rule. ``head`` marks one row per call, ``base`` one row per argument.

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.functions.variants import kind
-from callgauge.operators.dims import join_spec
 
 _BLANKS = r"' \t\r\n'"
 _FENCE = r"'(?s)```(?:json)?\\s*(.*?)\\s*```'"
@@ -137,17 +136,32 @@ def stage_replies(replies: DataFrame) -> DataFrame:
     )
 
 
+def _score(value: str) -> str:
+    """A score leaf as a number: NULL where it is absent or null, NaN where it is no number (text, list, object).
+
+    Numbers in text and booleans count as numbers.
+    """
+    shown = f"to_json({value})"
+    number = f"coalesce(try_cast(trim(BOTH '\"' FROM {shown}) AS DOUBLE), CASE {shown} WHEN 'true' THEN 1D WHEN 'false' THEN 0D END, double('NaN'))"
+    return f"CASE WHEN {value} IS NOT NULL AND NOT is_variant_null({value}) THEN {number} END"
+
+
+def _at(path: str, of: str = "variant") -> str:
+    return f"try_variant_get(payload, '$.{path}', '{of}')"
+
+
 def raw_scores(replies: DataFrame, text: str = "reply") -> DataFrame:
     """Judge replies as raw score columns; rows whose text holds no JSON have NULL in ``payload``."""
     found = with_json(replies, text)
-    leaf = lambda path, name: f"try_variant_get(payload, '$.{path}', 'double') AS {name}"
+    leaf = lambda path, name: f"{_score(_at(path))} AS {name}"
     arguments = ("completeness", "name_accuracy", "value_accuracy", "type_compliance", "format_compliance", "relevancy")
     ordering = ("sequence_logic", "dependency_handling", "execution_efficiency")
     return found.selectExpr(
         *[c for c in replies.columns if c != text],
         leaf("usage.necessity", "necessity"),
-        "coalesce(try_variant_get(payload, '$.usage.overuse_detection', 'double'),"
-        " try_variant_get(payload, '$.usage.overuse', 'double'), 0D) AS overuse",
+        # An absent overuse is 0, a null one is missing.
+        f"CASE WHEN {_at('usage.overuse_detection')} IS NOT NULL THEN {_score(_at('usage.overuse_detection'))}"
+        f" WHEN {_at('usage.overuse')} IS NOT NULL THEN {_score(_at('usage.overuse'))} ELSE 0D END AS overuse",
         *[leaf(f"selection.{c}", f"sel_{c}") for c in ("correctness", "specificity", "completeness")],
         "coalesce(try_variant_get(payload, '$.ordering.not_applicable', 'boolean'), true) AS ordering_na",
         *[leaf(f"ordering.{c}", c) for c in ordering],
@@ -158,6 +172,21 @@ def raw_scores(replies: DataFrame, text: str = "reply") -> DataFrame:
     )
 
 
+def raw_coherence(replies: DataFrame, text: str = "reply") -> DataFrame:
+    """Coherence replies as raw score columns (see ``raw_scores``); ``retention_na`` is true unless the reply says otherwise."""
+    found = with_json(replies, text)
+    four = ("logical_flow", "completeness", "conciseness", "topic_relevance")
+    return found.selectExpr(
+        *[c for c in replies.columns if c != text],
+        *[f"{_score(_at(c))} AS {c}" for c in four],
+        f"coalesce({_at('context_retention.not_applicable', 'boolean')}, true) AS retention_na",
+        f"{_score(_at('context_retention.score'))} AS context_retention",
+        f"coalesce({_at('manifestations', 'array<string>')}, array()) AS manifestations",
+        f"coalesce({_at('rationale', 'string')}, '') AS rationale",
+        "payload IS NULL AS rejected",
+    )
+
+
 # ---- judges ---------------------------------------------------------------------------
 
 
@@ -193,6 +222,12 @@ def pattern_replies(prompts: DataFrame, patterns: list[tuple[str, str]], prompt:
     return prompts.withColumn("reply", F.expr(f"CASE {cases} END"))
 
 
-def replies_by_pattern(prompts: DataFrame, replies: DataFrame, key: str) -> DataFrame:
-    """Reply table lookup by an exact key, for reply sets too large for a pattern list."""
-    return join_spec(prompts, replies, [key], "left")
+def replies_from_table(prompts: DataFrame, patterns: DataFrame, keys: list[str], prompt: str = "prompt") -> DataFrame:
+    """Reply of the first pattern, by priority, that a prompt contains or matches; NULL where none does.
+
+    patterns: priority (unique), pattern, reply; a short table, which is sent to all prompts.
+    """
+    asked = prompts.select(*keys, prompt).distinct()
+    met = asked.join(F.broadcast(patterns), F.expr(f"contains({prompt}, pattern) OR regexp_like({prompt}, pattern)"))
+    best = met.groupBy(*keys, prompt).agg(F.min_by("reply", "priority").alias("reply"))
+    return prompts.join(best, [*keys, prompt], "left")

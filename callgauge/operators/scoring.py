@@ -117,7 +117,7 @@ def tool_calling(raw: DataFrame, ordering: str = "false") -> DataFrame:
 
 
 def coherence(raw: DataFrame) -> DataFrame:
-    """Coherence per row from raw 1-3 scores, given as numbers or as text.
+    """Coherence per row from raw 1-3 scores, given as numbers (NaN: no number) or as text.
 
     ``retention_na`` tells that context retention does not apply.
     """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from callgauge.operators import formats, gates, lint
 from callgauge.plans.fixtures import Tables
 from callgauge.plans.registry import CTES, query
+from callgauge.session import literal_table
 from callgauge.sources.transcripts import normalize_calls
 
 COLUMNS = "call_id, transcript_id, tool_name, parameter_name, rule_id, severity"
@@ -40,6 +41,30 @@ def lint_summary(t: Tables) -> DataFrame:
     return lint.summary(t.calls_unordered, t.media_spec)
 
 
+@query(
+    "lint_same_name",
+    """
+SELECT transcript_id, CAST(count(*) AS BIGINT) AS total_calls, CAST(sum(v) AS BIGINT) AS total_violations, sum(v) = 0 AS is_valid FROM (
+  SELECT transcript_id, CASE WHEN call_id % 6 = 5 THEN 1 WHEN (call_id % 2 = 0) = (call_id % 3 = 0) THEN 0 ELSE 2 END AS v FROM calls) GROUP BY transcript_id
+""",
+)
+def lint_same_name(t: Tables) -> DataFrame:
+    """Two servers have a tool of one name with other parameters; each call names its server."""
+    tools = literal_table(t.spark, [(s, "search", "") for s in ("one", "two")], "server string, tool_name string, description string")
+    params = [("one", "search", 0, "query", "string", True, None, False), ("two", "search", 0, "text", "string", True, None, False)]
+    params = literal_table(
+        t.spark, params,
+        "server string, tool_name string, param_pos int, param_name string, param_type string, required boolean, enum array<string>, is_uri boolean",
+    )
+    spec = lint.Spec(tools, params, t.media_spec.capabilities.limit(0), t.media_spec.rules.limit(0), bounded=True)
+    calls = t.call_keys.selectExpr(
+        "call_id", "transcript_id", "'search' AS tool_name",
+        "CASE WHEN call_id % 6 = 5 THEN 'none' WHEN call_id % 2 = 0 THEN 'one' ELSE 'two' END AS server",
+        "CASE WHEN call_id % 3 = 0 THEN '{\"query\":\"x\"}' ELSE '{\"text\":\"x\"}' END AS arguments",
+    )
+    return lint.summary(calls, spec)
+
+
 @query(
     "lint_all",
     f"SELECT {COLUMNS}, phase, call_index FROM violations JOIN (SELECT call_id, call_index FROM calls) USING (call_id)",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from callgauge.operators import generation as g
 from callgauge.operators import evaluation, prompts, replies
 from callgauge.operators.ordering import number_slice, with_next
+from callgauge.operators.scoring import norm10
 from callgauge.plans.fixtures import JUDGES, MEDIA_PARAMS, MEDIA_TOOLS, MODELS, Tables
 from callgauge.plans.generation_queries import rows
 from callgauge.plans.registry import CTES, query
@@ -169,6 +170,62 @@ def judge_reply_scores(t: Tables) -> DataFrame:
     )
 
 
+_LEAVES = (
+    ('{"usage":{}}', 1.0, 0.0),
+    ('{"usage":{"necessity":null,"overuse_detection":null}}', 1.0, 1.0),
+    ('{"usage":{"necessity":"8","overuse_detection":"7"}}', 0.8, 0.7),
+    ('{"usage":{"necessity":"bad","overuse_detection":[1]}}', 0.0, 0.0),
+    ('{"usage":{"necessity":{"a":1},"overuse":5}}', 0.0, 0.5),
+    ('{"usage":{"necessity":true,"overuse_detection":false}}', 0.1, 0.0),
+    ('{"usage":{"necessity":"NaN","overuse_detection":12}}', 0.0, 1.0),
+    ('{"usage":{"necessity":4.5,"overuse_detection":-3}}', 0.45, 0.0),
+)
+
+
+def _by_call(values) -> str:
+    return "CASE call_id % 8 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+@query(
+    "judge_reply_leaves",
+    f"SELECT call_id, judge, CAST({_by_call(n for _, n, _ in _LEAVES)} AS DOUBLE) AS necessity, CAST({_by_call(o for _, _, o in _LEAVES)} AS DOUBLE) AS overuse FROM judge_scores",
+)
+def judge_reply_leaves(t: Tables) -> DataFrame:
+    """Leaves that are absent, null, text, lists, objects, booleans, not finite or out of range."""
+    texts = t.judge_scores.selectExpr("call_id", "judge", _by_call(f"'{body}'" for body, _, _ in _LEAVES) + " AS reply")
+    return replies.raw_scores(texts).selectExpr("call_id", "judge", f"{norm10('necessity')} AS necessity", f"{norm10('overuse')} AS overuse")
+
+
+_COHERENCE_REPLIES = (
+    ('{"logical_flow":3,"completeness":2,"conciseness":1,"topic_relevance":"3","context_retention":{"not_applicable":false,"score":2}}', 0.6),
+    ('Reply: {"logical_flow":3,"completeness":3,"context_retention":null,"rationale":"r"}', 1.0),
+    ('{"logical_flow":"bad","completeness":[3],"conciseness":null,"topic_relevance":9}', 0.5),
+    ('{"logical_flow":2,"completeness":2,"conciseness":2,"topic_relevance":2,"context_retention":{"not_applicable":true,"score":3}}', 0.5),
+    ('{"context_retention":{"not_applicable":false,"score":"x"}}', 0.8),
+    ("no scores here", None),
+)
+
+
+def _by_conversation(values) -> str:
+    return "CASE conv_id % 6 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+CTES["coherence_verdicts"] = f"""
+SELECT conv_id, CAST({_by_conversation('NULL' if o is None else o for _, o in _COHERENCE_REPLIES)} AS DOUBLE) AS overall FROM (SELECT DISTINCT conv_id FROM conversations)
+"""
+
+
+@query("evaluate_coherence", "SELECT conv_id, overall, overall >= 0.8 AS passed, overall IS NULL AS rejected FROM coherence_verdicts")
+def evaluate_coherence(t: Tables) -> DataFrame:
+    """Coherence replies to verdicts; a reply without JSON is rejected."""
+    texts = t.read("conversations").select("conv_id").distinct().selectExpr(
+        "conv_id", _by_conversation("'" + body + "'" for body, _ in _COHERENCE_REPLIES) + " AS reply"
+    )
+    results, rejects = evaluation.evaluate_coherence(texts)
+    shown = results.select("conv_id", "overall", "passed", F.lit(False).alias("rejected"))
+    return shown.unionByName(rejects.withColumn("rejected", F.lit(True)), allowMissingColumns=True)
+
+
 CTES["reply_cases"] = """
 SELECT j.call_id, j.judge, j.necessity, j.sel_correctness, j.sel_specificity, j.name_accuracy, coalesce(f.name_fault, false) AS name_fault,
   coalesce(f.value_fault, false) AS value_fault, coalesce(f.n, 0) AS n_violations
@@ -409,6 +466,16 @@ def pattern_replies(t: Tables) -> DataFrame:
     return replies.pattern_replies(named, [("the", "has-the"), ("[0-9]{3}", "digits")]).select("doc_id", "reply")
 
 
+@query(
+    "pattern_table_replies",
+    "SELECT doc_id, CASE WHEN contains(text, 'the') THEN 'has-the' WHEN regexp_matches(text, '[0-9]{3}') THEN 'digits' END AS reply FROM documents",
+)
+def pattern_table_replies(t: Tables) -> DataFrame:
+    patterns = literal_table(t.spark, [(2, "[0-9]{3}", "digits"), (1, "the", "has-the")], "priority int, pattern string, reply string")
+    named = t.read("documents").select("doc_id", F.col("text").alias("prompt"))
+    return replies.replies_from_table(named, patterns, ["doc_id"]).select("doc_id", "reply")
+
+
 @query(
     "ask_judge",
     "SELECT call_id, judge, CASE WHEN call_id % 50 <> 0 THEN CAST(length(reply) AS VARCHAR) END AS reply,"

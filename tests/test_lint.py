@@ -114,3 +114,17 @@ def test_call_aliases(spark):
     assert rows[1].tool_name is None and rows[1].call_name == "n"
     assert rows[2].tool_name == "n" and rows[2].arguments == '{"a":1}'
     assert rows[3].is_object is False
+
+
+def test_tools_of_one_name(spark):
+    columns = "server string, tool_name string, param_pos int, param_name string, param_type string, required boolean, enum array<string>, is_uri boolean"
+    tools = spark.createDataFrame([("a", "search", ""), ("b", "search", "")], "server string, tool_name string, description string")
+    params = spark.createDataFrame([("a", "search", 0, "query", "string", True, None, False), ("b", "search", 0, "text", "string", True, None, False)], columns)
+    plain = registry.spec(spark)
+    spec = lint.Spec(tools, params, plain.capabilities, plain.rules, bounded=True)
+    calls = registry.calls(spark, [("search", {"text": "x"}), ("search", {"query": "x"})])
+    row = lint.summary(calls, spec).collect()
+    # Without a server the last one's tool counts, and each call is judged once.
+    assert [(r.total_calls, r.total_violations) for r in row] == [(2, 2)]
+    named = calls.selectExpr("*", "CASE call_id WHEN 0 THEN 'b' ELSE 'a' END AS server")
+    assert [(r.total_calls, r.total_violations) for r in lint.summary(named, spec).collect()] == [(2, 0)]
