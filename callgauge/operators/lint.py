@@ -198,7 +198,11 @@ def argument_frame(calls: DataFrame, spec: Spec) -> DataFrame:
         tools, on = only_by_name(tool_dim(spec)), ["tool_name"]
     frame = join_spec(calls, tools, on, "left", small=spec.bounded, spread="call_id")
     frame = frame.selectExpr("*", "try_parse_json(coalesce(arguments, '{}')) AS _args")
-    frame = frame.selectExpr("*", "schema_of_variant(_args) AS _full")
+    # The kind of a whole object needs no look at its fields; the full type is worked out for the others alone.
+    frame = frame.selectExpr(
+        "*",
+        "CASE WHEN startswith(ltrim(' \t\n\r', coalesce(arguments, '{}')), '{') AND _args IS NOT NULL THEN 'OBJECT' ELSE schema_of_variant(_args) END AS _full",
+    )
     kept = [c for c in frame.columns if c not in ("_args", "_full", "arguments", "spec_required", "model_param")]
     frame = frame.selectExpr(
         *kept,
@@ -206,7 +210,7 @@ def argument_frame(calls: DataFrame, spec: Spec) -> DataFrame:
         "CASE WHEN _full NOT LIKE 'OBJECT%' THEN _full END AS args_type",
         "CASE WHEN _full LIKE 'OBJECT%' THEN _args END AS _args",
         "CASE WHEN _full LIKE 'OBJECT%' AND size(spec_required) > 0"
-        " THEN array_except(spec_required, json_object_keys(coalesce(arguments, '{}'))) END AS absent",
+        f" THEN filter(spec_required, p -> try_variant_get(_args, {key_path('p')}, 'variant') IS NULL) END AS absent",
         f"{_model_value()} AS _model",
     )
     frame = frame.withColumn("_text", F.expr(_as_text("_model")))
