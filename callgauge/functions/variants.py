@@ -24,6 +24,12 @@ def kind(value: str) -> str:
     return f"left(schema_of_variant({value}), 3)"
 
 
+def kind_of_json(text: str) -> str:
+    """The same from the JSON text of a value, told by its first sign; every number is BIG."""
+    signs = {'"': "STR", "{": "OBJ", "[": "ARR", "t": "BOO", "f": "BOO", "n": "VOI"}
+    return f"CASE left({text}, 1) " + " ".join(f"WHEN '{sign}' THEN '{name}'" for sign, name in signs.items()) + f" ELSE if({text} IS NULL, NULL, 'BIG') END"
+
+
 def kinds_of_type(name: str) -> str:
     """The kinds a parameter type takes; NULL for a type that is not checked."""
     return f"CASE {name} " + " ".join(f"WHEN '{n}' THEN {k}" for n, k in KINDS.items()) + " END"

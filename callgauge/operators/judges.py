@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from callgauge import fixed
 from callgauge.operators.dims import join_spec
+from callgauge.operators.ordering import unit_slice, with_running
 from callgauge.operators.scoring import ARGUMENTS
 
 STRICT_HIT = "exists(failures, f -> contains(f, expected_taxonomy) OR contains(expected_taxonomy, f))"
@@ -67,8 +68,15 @@ def pairs(scores: DataFrame, judge_a: str, judge_b: str, value: str = "tc") -> D
 def average_rank(values: DataFrame, value: str) -> DataFrame:
     """Each distinct value with its average rank: ranks are worked out on counts, not on rows."""
     counts = values.groupBy(value).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return counts.select(value, (F.coalesce(upto, F.lit(0)) + (F.col("n") + 1) / 2).alias(f"rank_{value}"))
+    placed = with_running(counts, F.col(value), "n", unit_slice(value), "_below")
+    return placed.select(value, (F.col("_below") + (F.col("n") + 1) / 2).alias(f"rank_{value}"))
+
+
+def ranking(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Rank of each row by ``value``, the highest first, equal values alike; values lie between 0 and 1."""
+    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
+    above = with_running(counts, -F.col(value), "_n", -unit_slice(value), "_above")
+    return rows.join(above.select(value, (F.col("_above") + 1).cast("int").alias(name)), value)
 
 
 def pearson(both: DataFrame) -> DataFrame:

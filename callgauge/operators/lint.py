@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callgauge import fixed
-from callgauge.functions.variants import NUMBER, comparable, key_path, kind, kinds_of_type, python_type, quoted_list
+from callgauge.functions.variants import NUMBER, comparable, key_path, kind, kind_of_json, kinds_of_type, python_type, quoted_list
 from callgauge.operators.dims import is_small, join_spec
 
 RULE_COLUMNS = (
@@ -271,7 +271,7 @@ def flag_frame(calls: DataFrame, spec: Spec) -> DataFrame:
     frame = argument_frame(calls, spec)
     frame = frame.selectExpr(
         "*",
-        f"{kind('arg')} AS arg_kind",
+        f"{kind_of_json('to_json(arg)')} AS arg_kind",
         "coalesce(rule_no, 0) = 0 AS base",
         "call_state = 'open' AS is_open",
     )

@@ -66,3 +66,26 @@ def with_next(rows: DataFrame, key: list[str], order: str, cut: Column, columns:
     for c in columns:
         out = out.withColumn(f"next_{c}", found[c])
     return out.drop("_slice", "_next", "_next_head")
+
+
+UNIT_SLICES = 4096
+
+
+def unit_slice(value: str) -> Column:
+    """Slices of values between 0 and 1 (others fall into the first or last): at most ``UNIT_SLICES`` + 1."""
+    return F.greatest(F.lit(0), F.least(F.lit(UNIT_SLICES), F.floor(F.col(value) * UNIT_SLICES))).cast("bigint")
+
+
+def with_running(rows: DataFrame, order: Column, amount: str, cut: Column, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``amount`` over all rows before this one in a global order of unique values.
+
+    ``cut`` cuts the order into a bounded number of slices, whose sums alone meet in one place; rows are summed inside
+    their slice. Slices have to ascend with ``order``.
+    """
+    sliced = rows.withColumn("_slice", cut)
+    sums = sliced.groupBy("_slice").agg(F.sum(amount).alias("_sum"))
+    upto = F.sum("_sum").over(Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select("_slice", F.coalesce(upto, F.lit(0)).alias("_before"))
+    inside = F.sum(amount).over(Window.partitionBy("_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    placed = sliced.withColumn("_inside", F.coalesce(inside, F.lit(0))).join(before, "_slice")
+    return placed.withColumn(name, F.col("_before") + F.col("_inside")).drop("_slice", "_inside", "_before")

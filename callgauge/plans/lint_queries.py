@@ -117,7 +117,7 @@ SELECT v.call_id, v.rule_id, v.parameter_name,
     WHEN 'unknown_tool' THEN 'Tool ''' || v.tool_name || ''' is not in the registry'
     WHEN 'missing_required' THEN 'Required parameter ''' || v.parameter_name || ''' is missing or empty'
     WHEN 'unknown_param' THEN 'Parameter ''' || v.parameter_name || ''' not in schema. Allowed: '
-      || (SELECT '[''' || string_agg(p.param_name, ''', ''' ORDER BY p.param_pos) || ''']' FROM tool_params p WHERE p.tool_name = v.tool_name)
+      || l.allowed
     WHEN 'type_mismatch' THEN 'Parameter ''' || v.parameter_name || ''' expected ' || p.param_type || ', got '
       || CASE a.jtype WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'NoneType' WHEN 'ARRAY' THEN 'list'
               WHEN 'OBJECT' THEN 'dict' WHEN 'DOUBLE' THEN 'float' ELSE 'int' END
@@ -130,6 +130,7 @@ FROM violations v
 LEFT JOIN tool_params p ON p.tool_name = v.tool_name AND p.param_name = v.parameter_name
 LEFT JOIN args a ON a.call_id = v.call_id AND a.arg_name = v.parameter_name
 LEFT JOIN call_models m ON m.call_id = v.call_id
+LEFT JOIN (SELECT tool_name, '[''' || string_agg(param_name, ''', ''' ORDER BY param_pos) || ''']' AS allowed FROM tool_params GROUP BY tool_name) l ON l.tool_name = v.tool_name
 """,
 )
 def violation_messages(t: Tables) -> DataFrame:

@@ -369,7 +369,8 @@ def _server_means(t: Tables) -> DataFrame:
     "SELECT server, round(mean_tc, 6) AS mean_tc, CAST(rank() OVER (ORDER BY mean_tc DESC) AS INTEGER) AS place FROM server_means",
 )
 def server_ranking(t: Tables) -> DataFrame:
-    return _server_means(t).selectExpr("server", "round(mean_tc, 6) AS mean_tc", "rank() OVER (ORDER BY mean_tc DESC) AS place")
+    ranked = judges.ranking(_server_means(t).select("server", "mean_tc"), "mean_tc", "place")
+    return ranked.selectExpr("server", "round(mean_tc, 6) AS mean_tc", "place")
 
 
 @query(
