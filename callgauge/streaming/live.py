@@ -22,12 +22,12 @@ def lint_stream(calls: DataFrame, spec: Spec, accepted: str, rejected: str, chec
     spec = spec.checked()
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist()
-        verdicts = lint.call_verdicts(kept, spec)
-        clean = kept.join(verdicts.where("n_violations = 0").select("call_id"), "call_id", "left_semi")
+        # One lint per batch: its violations are kept while both tables are written.
+        found = lint.violations(batch, spec).persist()
+        found.write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
+        clean = batch.join(found.select("call_id").distinct(), "call_id", "left_anti")
         clean.write.mode("overwrite").parquet(f"{accepted}/batch_id={batch_id}")
-        lint.violations(kept, spec).write.mode("overwrite").parquet(f"{rejected}/batch_id={batch_id}")
-        kept.unpersist()
+        found.unpersist()
 
     return calls.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -66,7 +66,13 @@ def drop_repeats(calls: DataFrame, delay: str) -> DataFrame:
 
 
 class _Dangling(StatefulProcessor):
-    """State of one (transcript, URI): the earliest write, and reads waiting for the watermark."""
+    """State of one (transcript, URI): the earliest write, and reads waiting for the watermark.
+
+    The write is forgotten when the watermark is ``keep_ms`` past it, so state does not grow for ever.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -85,7 +91,9 @@ class _Dangling(StatefulProcessor):
                 self.waiting.appendList([(int(i), at.to_pydatetime()) for i, at in zip(reads["call_id"], reads["ts"])])
                 timers.update(int(at.timestamp() * 1000) + 1 for at in reads["ts"])
         if known is not None:
-            self.first_write.update((pd.Timestamp(known).to_pydatetime(),))
+            known = pd.Timestamp(known)
+            self.first_write.update((known.to_pydatetime(),))
+            timers.add(self._end(known))
         for at in timers:
             self.handle.registerTimer(at)
         yield from ()
@@ -104,23 +112,28 @@ class _Dangling(StatefulProcessor):
             self.waiting.put(later)
         else:
             self.waiting.clear()
+        if known is not None and self._end(known) <= due:
+            self.first_write.clear()
         yield pd.DataFrame(lost, columns=["transcript_id", "uri", "call_id", "ts"])
 
+    def _end(self, known: pd.Timestamp) -> int:
+        return int(known.timestamp() * 1000) + self.keep_ms
+
     def close(self) -> None:
         pass
 
 
-def dangling_stream(uris: DataFrame, delay: str) -> DataFrame:
+def dangling_stream(uris: DataFrame, delay: str, keep_days: int = 7) -> DataFrame:
     """Reads of a URI that no earlier call of the transcript wrote.
 
     uris: transcript_id, uri, call_id, ts, writes. The state is kept per
     (transcript, URI), so one long transcript is spread over many keys. A read is
     judged only when the watermark has passed it: calls out of order within the
-    delay give no false alarm.
+    delay give no false alarm. A write counts for reads up to ``keep_days`` after it.
     """
     keyed = uris.withWatermark("ts", delay).groupBy("transcript_id", "uri")
     return keyed.transformWithStateInPandas(
-        statefulProcessor=_Dangling(),
+        statefulProcessor=_Dangling(keep_days * 86_400_000),
         outputStructType="transcript_id bigint, uri string, call_id bigint, ts timestamp",
         outputMode="Append",
         timeMode="EventTime",

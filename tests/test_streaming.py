@@ -41,3 +41,23 @@ def test_out_of_order_write_is_no_false_alarm(spark, tmp_path):
     out = live.dangling_stream(stream, "2 hours").writeStream.format("parquet").outputMode("append")
     out.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert [r.call_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [3]
+
+
+def test_an_old_write_is_forgotten(spark, tmp_path):
+    rows = [
+        (1, "a", 1, "2024-01-01 00:00:00", True),
+        (1, "z", 2, "2024-01-06 00:00:00", True),
+        (1, "z", 3, "2024-01-06 01:00:00", True),
+        (1, "a", 4, "2024-01-07 00:00:00", False),
+        (1, "z", 5, "2024-01-09 00:00:00", False),
+        (1, "z", 6, "2024-01-20 00:00:00", True),
+    ]
+    names = ["transcript_id", "uri", "call_id", "ts", "writes"]
+    source = str(tmp_path / "in")
+    for row in rows:
+        spark.createDataFrame([row], names).selectExpr("transcript_id", "uri", "call_id", "CAST(ts AS timestamp) AS ts", "writes").write.mode("append").parquet(source)
+    schema = "transcript_id bigint, uri string, call_id bigint, ts timestamp, writes boolean"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = live.dangling_stream(stream, "2 hours", keep_days=4).writeStream.format("parquet").outputMode("append")
+    out.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    assert [r.call_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [4]
