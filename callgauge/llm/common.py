@@ -13,6 +13,9 @@ import callgauge
 from callgauge.session import configure, scratch_path
 
 
+ARROW_ROWS = 1000
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """The session with the settings of the library, its code sent to the Python workers."""
     context = spark.sparkContext
@@ -26,6 +29,8 @@ def prepared(spark: SparkSession) -> SparkSession:
                     out.write(path, os.path.relpath(path, os.path.dirname(root)))
         context.addPyFile(archive)
         context._callgauge_sent = True
+    # Rows hold whole texts: batches of few rows keep the workers' memory low.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return configure(spark)
 
 

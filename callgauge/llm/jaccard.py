@@ -34,7 +34,8 @@ WORDS = 5
 LEAST_FREQUENT = 32
 MAX_FREQUENT = 1 << 21
 STAR_ROUNDS = 2
-PART_CHARS = 2_000_000
+PART_CHARS = 1_000_000
+HELD_TOKENS = 1_500_000
 SHARD_TOKENS = 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -180,8 +181,8 @@ def _frequent_tokens(rows: DataFrame, total: int) -> np.ndarray:
     def flush(held):
         tokens, times = np.unique(np.concatenate(held), return_counts=True)
         edges = np.searchsorted(tokens, (np.arange(1, shards) * (2**64 // shards)).astype(np.uint64)) if shards > 1 else np.empty(0, dtype=int)
-        parts = [(t[k == 1], t[k > 1], k[k > 1].astype(np.int64)) for t, k in zip(np.split(tokens, edges), np.split(times, edges), strict=True)]
-        return _batch(COUNTS, np.arange(shards, dtype=np.int32), *[[p[i].tobytes() for p in parts] for i in range(3)])
+        parts = [(n, t[k == 1], t[k > 1], k[k > 1].astype(np.int64)) for n, (t, k) in enumerate(zip(np.split(tokens, edges), np.split(times, edges), strict=True)) if len(t)]
+        return _batch(COUNTS, [p[0] for p in parts], *[[p[i].tobytes() for p in parts] for i in (1, 2, 3)])
 
     def count(batches):
         held, size = [], 0
@@ -190,7 +191,7 @@ def _frequent_tokens(rows: DataFrame, total: int) -> np.ndarray:
                 half = tokens[: len(tokens) // 2 + 1]
                 held.append(half)
                 size += len(half)
-            if size >= 4_000_000:
+            if size >= HELD_TOKENS:
                 yield flush(held)
                 held, size = [], 0
         if held:

@@ -192,7 +192,7 @@ def predict(docs: DataFrame, network: Network | None, text: str = "text") -> Dat
             at = 0
             while at < len(values):  # portions of bounded size
                 end, chars = at, 0
-                while end < len(values) and (end == at or chars + len(values[end]) <= 4_000_000):
+                while end < len(values) and (end == at or chars + len(values[end]) <= 1_000_000):
                     chars += len(values[end])
                     end += 1
                 made.append(network.documents(values[at:end]))
