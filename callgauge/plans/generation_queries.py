@@ -89,6 +89,20 @@ def tool_interpretations(t: Tables) -> DataFrame:
     return g.interpretations(rows(t)).withColumn("enterprise_context", F.array_join("enterprise_context", "|"))
 
 
+@query(
+    "interpretation_replies",
+    "SELECT n.server, n.tool_name, CASE WHEN p.tool_pos % 3 = 0 THEN 'told ' || p.tool_pos ELSE coalesce(nullif(n.description, ''), 'Executes ' || n.tool_name) END AS what_it_does,"
+    " p.tool_pos % 3 = 0 AS from_reply FROM spec_needs n JOIN spec_tools p ON p.tool_name = n.tool_name",
+)
+def interpretation_replies(t: Tables) -> DataFrame:
+    """Stage replies where they can be used, offline interpretations for the other tools."""
+    answers = rows(t).selectExpr(
+        "server", "tool_name",
+        "CASE tool_pos % 3 WHEN 0 THEN concat('Here: {\"what_it_does\":\"told ', tool_pos, '\",\"enterprise_context\":\"c\"}') WHEN 1 THEN 'sorry' ELSE '{\"other\":1}' END AS reply",
+    )
+    return g.interpretations_from(rows(t), answers).select("server", "tool_name", "what_it_does", "from_reply")
+
+
 @query(
     "scenarios_simple",
     "SELECT t.server, 'Execute ' || t.tool_name AS title, 'Please call ' || t.tool_name || ' with standard parameters' AS prompt, 'simple' AS tier,"

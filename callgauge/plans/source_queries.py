@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callgauge.operators import generation as g
+from callgauge.operators import lint, generation as g
 from callgauge.operators import prompts
 from callgauge.plans.fixtures import Tables
 from callgauge.plans.generation_queries import rows
@@ -210,6 +210,33 @@ def stage_rows(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "turn_call_rows",
+    "SELECT p_partkey, 1 AS turn_index, i AS step_index, CASE i WHEN 0 THEN 'f' ELSE 'g' END AS tool_name, CASE i WHEN 0 THEN '{\"n\":' || p_partkey || '}' ELSE '{}' END AS parameters"
+    " FROM part, (VALUES (0), (1)) s(i)",
+)
+def turn_call_rows(t: Tables) -> DataFrame:
+    """Calls of saved turns come back as rows."""
+    doc = (
+        "concat('{\"turns\":[{\"agent_tool_calls\":[{\"name\":\"f\",\"arguments\":{\"n\":', p_partkey, '}},{\"function_name\":\"g\"}],"
+        "\"tool_responses\":[{\"ok\":true}]},{\"turn_index\":7}]}') AS doc"
+    )
+    return stages.turn_calls(stages.turn_rows(t.read("part").selectExpr("p_partkey", doc)), ["p_partkey"])
+
+
+@query(
+    "violation_ingest",
+    "SELECT call_id, rule_id, parameter_name, tool_name, CASE WHEN call_id % 3 = 0 THEN 'ERROR' ELSE severity END AS severity FROM violations",
+)
+def violation_ingest(t: Tables) -> DataFrame:
+    """Saved violations under either set of key names, read back."""
+    found = lint.violations(t.calls_unordered, t.media_spec)
+    alias = "to_json(named_struct('tool_name', tool_name, 'parameter', parameter_name, 'category', rule_id))"
+    plain = "to_json(named_struct('tool_name', tool_name, 'parameter_name', parameter_name, 'rule_id', rule_id, 'severity', severity))"
+    saved = found.selectExpr("call_id", f"CASE WHEN call_id % 3 = 0 THEN {alias} ELSE {plain} END AS doc")
+    return stages.violation_rows(saved).select("call_id", "rule_id", "parameter_name", "tool_name", "severity")
+
+
 @query(
     "score_ingest",
     """

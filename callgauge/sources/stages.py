@@ -92,6 +92,7 @@ def turn_rows(docs: DataFrame, column: str = "doc") -> DataFrame:
         "coalesce(try_variant_get(_t, '$.turn_index', 'int'), _pos + 1) AS turn_index",
         f"{_text('_t', 'user_message')} AS user_message",
         "coalesce(size(try_variant_get(_t, '$.agent_tool_calls', 'array<variant>')), 0) AS n_calls",
+        *[f"to_json(coalesce(try_variant_get(_t, '$.{c}', 'variant'), parse_json('[]'))) AS {c}" for c in ("agent_tool_calls", "tool_responses")],
         f"{_text('_t', 'agent_response')} AS agent_response",
     )
 
@@ -115,3 +116,28 @@ def score_rows(docs: DataFrame, column: str = "doc") -> DataFrame:
         f"coalesce({get('overall_coherence')}, {get('coh_overall')}, 1D) AS overall_coherence",
         "array_join(coalesce(try_variant_get(_v, '$.failures', 'array<string>'), array()), '|') AS failures",
     )
+
+
+def turn_calls(turns: DataFrame, keys: list[str]) -> DataFrame:
+    """The calls inside the turns of ``turn_rows``, one row each: keys, turn_index, step_index, tool_name, parameters.
+
+    They are what lint, rendering and export work on after a saved transcript is loaded.
+    """
+    docs = turns.selectExpr(*keys, "turn_index", "concat('{\"calls\":', agent_tool_calls, '}') AS doc")
+    return step_rows(docs, "doc", "calls").where("step_index IS NOT NULL").select(*keys, "turn_index", "step_index", "tool_name", "parameters")
+
+
+def violation_rows(docs: DataFrame, column: str = "doc") -> DataFrame:
+    """Saved violations; ``parameter`` and ``category`` are other names of parameter_name and rule_id."""
+    v = docs.selectExpr("*", f"parse_json({column}) AS _v")
+    first = lambda *keys: ", ".join(f"nullif(try_variant_get(_v, '$.{k}', 'string'), '')" for k in keys)
+    kept = [c for c in docs.columns if c != column]
+    return v.selectExpr(
+        *kept,
+        "coalesce(try_variant_get(_v, '$.call_index', 'int'), 0) AS call_index",
+        f"{_text('_v', 'tool_name')} AS tool_name",
+        f"coalesce({first('parameter_name', 'parameter')}) AS parameter_name",
+        f"coalesce({first('rule_id', 'category')}, 'unknown') AS rule_id",
+        f"{_text('_v', 'message')} AS message",
+        f"{_text('_v', 'severity', repr('ERROR'))} AS severity",
+    )
