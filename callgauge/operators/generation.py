@@ -49,6 +49,8 @@ def _names(condition: str) -> str:
     return f"array_join(transform(filter(args, a -> {condition}), a -> a.param_name), ', ')"
 
 
+# The texts of offline output (here, in ``interpretations``, ``single_tool``, ``fallback``, ``chain_steps``,
+# ``coverage_scenarios`` and ``turns``) are part of the results users compare and stay as they are.
 NEEDS_TEXT = (
     "CASE WHEN size(args) = 0 THEN 'No parameters required.' ELSE concat_ws('; ',"
     f" CASE WHEN exists(args, a -> a.required) THEN concat('Required parameters: ', {_names('a.required')}) END,"

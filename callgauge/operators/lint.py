@@ -322,19 +322,19 @@ _FINDINGS = {
     "f_empty": _finding("'missing_required'", "arg_name", _ERROR, 1, _MISSING.format("arg_name")),
     "f_unknown": _finding(
         "'unknown_param'", "arg_name", _ERROR, 2,
-        f"concat(\"Parameter '\", arg_name, \"' not in schema. Allowed: \", {quoted_list('spec_params')})",
+        f"concat(\"The tool has no parameter '\", arg_name, \"'; it takes \", {quoted_list('spec_params')})",
     ),
     "f_type": _finding(
         "'type_mismatch'", "arg_name", _ERROR, 3,
-        f"concat(\"Parameter '\", arg_name, \"' expected \", param_type, ', got ', {python_type('schema_of_variant(arg)')})",
+        f"concat(\"'\", arg_name, \"' should be \", param_type, ' but is ', {python_type('schema_of_variant(arg)')})",
     ),
     "f_enum": _finding(
         "'illegal_enum'", "arg_name", _ERROR, 4,
-        f"concat(\"Value '\", coalesce(arg_text, to_json(arg)), \"' not in allowed enum: \", {quoted_list('enum_shown')})",
+        f"concat(\"'\", coalesce(arg_text, to_json(arg)), \"' is none of the values \", {quoted_list('enum_shown')})",
     ),
     "f_uri": _finding(
         "'invalid_uri'", "arg_name", _ERROR, 5,
-        "concat(\"URI '\", arg_text, \"' must be absolute path, gs://, s3://, or http(s):// URI\")",
+        "concat(\"'\", arg_text, \"' is neither a full path nor a bucket or web address\")",
     ),
     "f_rule": _finding("rule.rule_id", "arg_name", "rule.severity", 6, _RULE_TEXT),
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from callgauge.functions.variants import kind
 
+# What counts as a fence and as a trailing comma in a reply.
 _BLANKS = r"' \t\r\n'"
 _FENCE = r"'(?s)```(?:json)?\\s*(.*?)\\s*```'"
 _COMMA = r"',\\s*([\\]}])', '$1'"

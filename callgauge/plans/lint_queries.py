@@ -116,13 +116,13 @@ SELECT v.call_id, v.rule_id, v.parameter_name,
   CASE v.rule_id
     WHEN 'unknown_tool' THEN 'Tool ''' || v.tool_name || ''' is not in the registry'
     WHEN 'missing_required' THEN 'Required parameter ''' || v.parameter_name || ''' is missing or empty'
-    WHEN 'unknown_param' THEN 'Parameter ''' || v.parameter_name || ''' not in schema. Allowed: '
+    WHEN 'unknown_param' THEN 'The tool has no parameter ''' || v.parameter_name || '''; it takes '
       || l.allowed
-    WHEN 'type_mismatch' THEN 'Parameter ''' || v.parameter_name || ''' expected ' || p.param_type || ', got '
+    WHEN 'type_mismatch' THEN '''' || v.parameter_name || ''' should be ' || p.param_type || ' but is '
       || CASE a.jtype WHEN 'VARCHAR' THEN 'str' WHEN 'BOOLEAN' THEN 'bool' WHEN 'NULL' THEN 'NoneType' WHEN 'ARRAY' THEN 'list'
               WHEN 'OBJECT' THEN 'dict' WHEN 'DOUBLE' THEN 'float' ELSE 'int' END
-    WHEN 'illegal_enum' THEN 'Value ''' || a.arg_text || ''' not in allowed enum: [''' || replace(p.enum_values, '|', ''', ''') || ''']'
-    WHEN 'invalid_uri' THEN 'URI ''' || a.arg_text || ''' must be absolute path, gs://, s3://, or http(s):// URI'
+    WHEN 'illegal_enum' THEN '''' || a.arg_text || ''' is none of the values [''' || replace(p.enum_values, '|', ''', ''') || ''']'
+    WHEN 'invalid_uri' THEN '''' || a.arg_text || ''' is neither a full path nor a bucket or web address'
     WHEN 'unknown_model' THEN 'model ''' || a.arg_text || ''' is not a known model'
     WHEN 'invalid_value' THEN 'sample_count ''' || a.arg_text || ''' is below 1'
     ELSE v.parameter_name || ' ''' || a.arg_text || ''' is not supported on ''' || m.model || '''' END AS message
