@@ -28,6 +28,28 @@ def evaluate(calls: DataFrame, spec: Spec, replies: DataFrame) -> tuple[DataFram
     return results, parsed.where("rejected").select(*keys)
 
 
+def report(calls: DataFrame, spec: Spec, raw: DataFrame, ordering: str = "false") -> DataFrame:
+    """Per transcript: calls, violations, and the scores of its judged cases, from one lint of the calls.
+
+    raw: call_id, judge and raw scores (see ``scoring.collapse``). A transcript without scores has NULL means.
+    """
+    verdicts = lint.call_verdicts(calls, spec)
+    judged = calls.select("call_id", "transcript_id").join(verdicts, "call_id").join(raw.drop("transcript_id"), "call_id", "left")
+    scored = scoring.tool_calling(scoring.collapse(judged), ordering)
+    case = F.when(F.col("judge").isNotNull(), F.col("overall"))
+    per_call = scored.groupBy("call_id", "transcript_id").agg(
+        F.first("n_violations").alias("n_violations"), F.sum(case).alias("total"), F.min(case).alias("low"), F.count(case).alias("n")
+    )
+    return per_call.groupBy("transcript_id").agg(
+        F.count("*").alias("total_calls"),
+        F.sum("n_violations").alias("total_violations"),
+        F.expr("sum(n_violations) = 0").alias("is_valid"),
+        F.expr("round(try_divide(sum(total), sum(n)), 8)").alias("mean_tc"),
+        F.min("low").alias("min_tc"),
+        F.expr("nullif(sum(n), 0)").alias("cases"),
+    )
+
+
 COHERENCE = ("logical_flow", "completeness", "conciseness", "topic_relevance", "context_retention", "overall", "passed", "rationale")
 
 

@@ -368,8 +368,9 @@ def summary(calls: DataFrame, spec: Spec, transcripts: DataFrame | None = None)
     return out.withColumn("is_valid", F.expr("total_violations = 0"))
 
 
-_NAME_FAULT = "f_empty OR f_unknown OR n_absent > 0 OR (f_call AND call_state IN ('not_object', 'no_name', 'not_json'))"
-_VALUE_FAULT = "f_type OR f_enum OR f_uri OR f_rule OR (f_call AND call_state = 'not_dict')"
+_named = lambda rules: "(f_rule AND rule.rule_id IN (" + ", ".join(f"'{r}'" for r in rules) + "))"
+_NAME_FAULT = _named(fixed.NAME_RULES) + " OR f_empty OR f_unknown OR n_absent > 0 OR (f_call AND call_state IN ('not_object', 'no_name', 'not_json'))"
+_VALUE_FAULT = _named(fixed.VALUE_RULES) + " OR f_type OR f_enum OR f_uri OR (f_call AND call_state = 'not_dict')"
 
 
 def call_verdicts(calls: DataFrame, spec: Spec) -> DataFrame:

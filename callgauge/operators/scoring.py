@@ -57,9 +57,11 @@ def collapse(raw: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
 
     ``raw`` has call_id, failures array<string> and the six argument columns;
     ``verdicts`` (call_id, name_fault, value_fault, n_violations) comes from the linter
-    and may be left out. Adds ``collapsed``: name, value or none.
+    and may be left out, also where ``raw`` holds its columns already. Adds ``collapsed``: name, value or none.
     """
-    if verdicts is None:
+    if verdicts is None and "name_fault" in raw.columns:
+        frame = raw
+    elif verdicts is None:
         frame = raw.withColumns({"name_fault": F.lit(False), "value_fault": F.lit(False)})
     else:
         frame = raw.join(verdicts, "call_id", "left")

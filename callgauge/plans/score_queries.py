@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgauge import fixed
-from callgauge.operators import gates, judges, lint, scoring
+from callgauge.operators import evaluation, gates, judges, lint, scoring
 from callgauge.plans.fixtures import Tables
 from callgauge.plans.registry import CTES, query
 
@@ -507,7 +507,4 @@ FROM lint_by_transcript l LEFT JOIN (SELECT transcript_id, avg(tc) AS mean_tc, m
 """,
 )
 def evaluation_report(t: Tables) -> DataFrame:
-    per_transcript = scored(t, True).groupBy("transcript_id").agg(
-        F.round(F.avg("tc"), 8).alias("mean_tc"), F.min("tc").alias("min_tc"), F.count("*").alias("cases")
-    )
-    return lint.summary(t.calls_unordered, t.media_spec).join(per_transcript, "transcript_id", "left")
+    return evaluation.report(t.calls_unordered, t.media_spec, t.judge_scores)
