@@ -18,7 +18,8 @@ def vocabulary_path() -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.round_trip(table(spark, sf_dir, "pages")).select(*columns)
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,5 +81,35 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {build.__name__: configured(build) for build in _all()}
 
 
+_WARC_SQL = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size FROM pages),
+g AS (SELECT digest, min(page_id) AS first_id FROM p WHERE size >= 100 GROUP BY digest)
+SELECT page_id, size AS payload_bytes, digest AS payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to FROM p LEFT JOIN g USING (digest)
+"""
+_REACH = """
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(id, low) AS (SELECT id, id FROM nodes UNION SELECT b.y, r.low FROM reach r JOIN both_ways b ON b.x = r.id WHERE r.low < b.y),
+lows AS (SELECT id, min(low) AS low FROM reach GROUP BY id)
+"""
+_VECTOR_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+nodes AS (SELECT id FROM v),
+links AS (SELECT a.id AS x, b.id AS y FROM v a JOIN v b ON a.id < b.id WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+{_REACH}
+SELECT n.id AS vec_id, (SELECT count(*) FROM both_ways b WHERE b.x = n.id) AS n_links, l.low AS component_id, n.id = l.low AS kept FROM nodes n JOIN lows l ON l.id = n.id
+"""
+_JACCARD_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+nodes AS (SELECT id FROM w),
+sizes AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+common AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY a.id, b.id),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.id = x JOIN sizes q ON q.id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+{_REACH}
+SELECT n.id AS doc_id, coalesce(z.n, 0) AS n_shingles, l.low AS component_id FROM nodes n JOIN lows l ON l.id = n.id LEFT JOIN sizes z ON z.id = n.id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": line_dedup.SQL}
+    return {"op1_warc": _WARC_SQL, "op5_embedding_duplicates": _VECTOR_SQL, "op9_line_dedup": line_dedup.SQL, "op10_jaccard": _JACCARD_SQL}
