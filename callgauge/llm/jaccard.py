@@ -11,7 +11,8 @@ prefixes ends first. With Jaccard at least 4/5, o is 8/9 of the shorter set and
 
 Equal sets are one class. A parity sketch (the parity of the number of tokens at each of 512 places) bounds the symmetric
 difference of two sets from below, so pairs that differ in more places than similar sets can are dropped inside the joins,
-without being emitted; no similar pair is. Candidates are verified on whole sets of 64-bit hashes. Classes that share a key first meet one
+without being emitted; no similar pair is. A wider sketch follows for the
+pairs that are left. Candidates are verified on whole sets of 64-bit hashes. Classes that share a key first meet one
 leader of the key; what is linked then is one component, and the exact round compares only pairs that are still apart.
 """
 
@@ -84,6 +85,11 @@ def parity_sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_sketch(tokens: np.ndarray) -> bytes:
+    """The parity sketch of 8192 places, which tells long sets apart too."""
+    return np.packbits((np.bincount((tokens >> np.uint64(51)).astype(np.int64), minlength=8192) & 1).astype(np.uint8)).tobytes()
+
+
 def long_prefix(n):
     return n - (4 * n + 4) // 5 + 1
 
@@ -160,7 +166,7 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
 
 
 SKETCH = tuple(f"k{i}" for i in range(8))
-CLASSES, COUNTS, FREQUENT, POSTINGS, SETS = "doc_id long, n long, c long, " + ", ".join(f"{k} long" for k in SKETCH), "shard int, once binary, more binary, times binary", "token long", "key long, c long, n int, short boolean", "c long, tokens binary"
+CLASSES, COUNTS, FREQUENT, POSTINGS, SETS = "doc_id long, n long, c long, " + ", ".join(f"{k} long" for k in SKETCH), "shard int, once binary, more binary, times binary", "token long", "key long, c long, n int, short boolean", "c long, n long, wide binary, tokens binary"
 
 
 def _classes(batches):
@@ -169,8 +175,12 @@ def _classes(batches):
 
 
 def _sets(batches):
+    seen = set()  # classes this task has given: equal texts are one set
     for _, sets in _portions(batches):
-        yield _batch(SETS, [class_key(s) for s in sets], [s.tobytes() for s in sets])
+        fresh = {class_key(s): s for s in sets if len(s)}
+        fresh = {c: s for c, s in fresh.items() if c not in seen}
+        seen.update(fresh)
+        yield _batch(SETS, list(fresh), [len(s) for s in fresh.values()], [wide_sketch(s) for s in fresh.values()], [s.tobytes() for s in fresh.values()])
 
 
 def _frequent_tokens(rows: DataFrame, total: int) -> np.ndarray:
@@ -243,9 +253,21 @@ def _verified(pairs: DataFrame, rows: DataFrame, reps: DataFrame) -> DataFrame:
     classes = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     wanted = written(reps.join(classes, "c").select("doc_id"), "candidate-docs")
     # Texts stay where they are while the ids are few enough to be sent to them.
-    sets = rows.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets, SETS).dropDuplicates(["c"])
-    sets = written(sets, "candidate-sets")
-    left, right = sets.toDF("a", "left"), sets.toDF("b", "right")
+    sets = written(rows.join(small(wanted), "doc_id", "left_semi").mapInArrow(_sets, SETS), "candidate-sets")
+
+    def alike(batches):
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, 128) for i in (3, 5))
+            odd = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+            keep = 9 * odd <= batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            yield _batch("a long, b long", batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep])
+
+    # Wide sketches first: whole sets travel only for pairs that are nearly sure to be similar.
+    told = pairs.join(sets.select(F.col("c").alias("a"), "n", "wide"), "a").join(sets.selectExpr("c AS b", "n AS n2", "wide AS wide2"), "b")
+    pairs = written(told.select("a", "b", "n", "wide", "n2", "wide2").mapInArrow(alike, "a long, b long").distinct(), "likely-pairs")
+    likely = small(written(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "likely-classes"))
+    whole = sets.join(likely, "c", "left_semi").select("c", "tokens")
+    left, right = whole.toDF("a", "left"), whole.toDF("b", "right")
 
     def similar(batches):
         for batch in batches:
