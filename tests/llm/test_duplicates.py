@@ -197,6 +197,54 @@ def test_contamination(spark):
     assert [r.item_id for r in decontaminate.report(one, bench).collect()] == [5]
 
 
+def leaves_hit(n, gone, masks):
+    return any(not any(at + i in gone for i, m in enumerate(mask) if m == "1") for mask in masks for at in range(n - len(mask) + 1))
+
+
+def test_masks_hit_every_overlap():
+    for n in range(decontaminate.SPAN, 17):
+        masks = decontaminate.LONG_MASKS if n >= decontaminate.WINDOW else decontaminate.SHORT_MASKS
+        most = min(n, decontaminate.WINDOW) // 4
+        assert all(leaves_hit(n, set(gone), masks) for k in range(most + 1) for gone in combinations(range(n), k)), n
+    assert all(m[0] == m[-1] == "1" for m in decontaminate.LONG_MASKS + decontaminate.SHORT_MASKS)
+
+
+def accepted_overlap(doc, item):
+    """The criterion alone: some aligned window with three quarters equal."""
+    d, t = plain_words(doc), plain_words(item)
+    window = min(decontaminate.WINDOW, len(t))
+    for shift in range(-len(t), len(d)):
+        equal = [0 <= shift + j < len(d) and d[shift + j] == w for j, w in enumerate(t)]
+        if any(4 * sum(equal[s : s + window]) >= 3 * window for s in range(len(t) - window + 1)):
+            return True
+    return False
+
+
+@pytest.mark.parametrize("lengths", ((13, 16, 25), (8, 9, 12, 30)))
+def test_contamination_needs_no_luck(spark, lengths):
+    draw = random.Random(8)
+    items = [[f"i{n}w{j}" for j in range(n)] for n in lengths]
+    docs = []
+    for item in items:
+        window = min(decontaminate.WINDOW, len(item))
+        for k in (window // 4, window // 4 + 1):
+            for _ in range(40):
+                at = draw.randint(0, len(item) - window)
+                text = item[at : at + window]
+                first = draw.randrange(window)
+                # Neighbouring words, words at random, and words cut off by an end of the text.
+                for i in [(first + i) % window for i in range(k)] if draw.random() < 0.5 else draw.sample(range(window), k):
+                    text[i] = "other"
+                docs.append(" ".join([*["before"] * draw.choice([0, 4]), *text, *["after"] * draw.choice([0, 4])]))
+            docs += [" ".join(item[k:window]), " ".join(item[: window - k])]
+    words = items[0]
+    docs.append(" ".join(w if i not in (5, 6) else "other" for i, w in enumerate(words)))
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    want = {(d, i) for d, t in enumerate(docs) for i, item in enumerate(items) if accepted_overlap(t, " ".join(item))}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.report(frame, bench).collect()} == want and 100 < len(want) < len(docs)
+
+
 # ---- lines ---------------------------------------------------------------------
 
 
