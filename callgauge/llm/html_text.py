@@ -2,8 +2,9 @@
 
 A page is read into a tree. Every paragraph gives points (one, one for each comma, up to three for its length) to its
 parent and half of them to its grandparent; a container's points are discounted by the share of its text inside links.
-The best container and those of its siblings that score well are kept, and their blocks, without the parts that are not
-the article, are joined in page order.
+Points of the parts of a table, list or quotation go to the container around it. The whole article or main element around
+the best container is kept or, on pages without one, the container and those of its siblings that score well; their
+blocks, without the parts that are not the article, are joined in page order.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ BOILERPLATE_WORDS = frozenset(
 # "has-sidebar" and the like describe the layout around the article.
 LAYOUT_WORDS = frozenset("has no with without".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog form toolbar".split())
+# Parts of a table, list or quotation: no article by themselves, what they hold belongs to the container around them.
+PARTS = frozenset("tr tbody thead tfoot table ul ol menu dl li dt dd blockquote".split())
 NO_VETO = frozenset("html body article main".split())
 
 TOKEN = re.compile(
@@ -183,6 +186,32 @@ def _score(root: Node) -> list[Node]:
     return scored
 
 
+def _container(node: Node) -> Node:
+    """The nearest node around a part of a table, list or quotation, or the node itself."""
+    while node.tag in PARTS and node.parent is not None:
+        node = node.parent
+    return node
+
+
+def _lifted(scored: list[Node]) -> list[Node]:
+    """Containers that are no parts; each has the points of the best part of every table, list or quotation in it."""
+    whole, tops = [node for node in scored if node.tag not in PARTS], {}
+    for node in scored:
+        if node.tag in PARTS:
+            top = node
+            while top.parent is not None and top.parent.tag in PARTS:
+                top = top.parent
+            tops[top] = max(tops.get(top, 0.0), node.points)
+    known = set(whole)
+    for top, points in tops.items():
+        home = _container(top)
+        home.points += points
+        if home not in known:
+            known.add(home)
+            whole.append(home)
+    return whole
+
+
 def _own_text(node: Node) -> bool:
     """Whether a container holds prose directly, not in paragraphs."""
     return sum(len(kid) for kid in node.kids if isinstance(kid, str) and not kid.isspace()) >= 25
@@ -220,9 +249,13 @@ def main_text(page: str) -> str:
     scored = _score(root)
     if not scored:
         return "\n\n".join(_blocks([root]))
-    best = max(scored, key=lambda n: n.points)
+    best = max(_lifted(scored), key=lambda n: n.points)
+    around = best
+    while around is not None and around.tag not in ("article", "main"):
+        around = around.parent
+    best = around or best  # a part of the article, at any depth: its whole stands
     while best.parent is not None and (best.parent.tag == "article" or best.parent.tag == "main" and best.tag != "article"):
-        best = best.parent  # a section of the article: its whole stands
+        best = best.parent
     if best.parent is None or best.tag in ("body", "html", "article", "main"):
         kept = [best]
     else:

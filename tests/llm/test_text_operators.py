@@ -100,6 +100,26 @@ def test_main_text(page, text):
     assert (html_text.main_text(page) if page else "") == text
 
 
+ROWS = "".join(f"<tr><td>row {i}</td><td>a, b</td><td>{i * i}</td></tr>" for i in range(50))
+CELLS = "\n\n".join(f"row {i}\n\na, b\n\n{i * i}" for i in range(50))
+ITEMS = "".join(f"<li>item {i}, with some words</li>" for i in range(50))
+LISTED = "\n\n".join(f"item {i}, with some words" for i in range(50))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><h1>Title</h1><p>First.</p><table><tbody>{ROWS}</tbody></table><p>Last.</p></article><p>Beside, beside</p>", f"Title\n\nFirst.\n\n{CELLS}\n\nLast."),
+        (f"<article><h4>Title</h4><div class=body><ul>{ITEMS}</ul></div><figure><figcaption>Figure</figcaption></figure><div>End</div></article>", f"Title\n\n{LISTED}\n\nFigure\n\nEnd"),
+        (f"<main><section><div><blockquote><ol>{ITEMS}</ol></blockquote></div></section><h5>Note</h5></main><div>Out</div>", f"{LISTED}\n\nNote"),
+        # Without an article the container around the table stands.
+        (f"<body><div id=post><h4>Title</h4><p>First.</p><table>{ROWS}</table></div>", f"Title\n\nFirst.\n\n{CELLS}"),
+    ],
+)
+def test_parts_of_an_article_do_not_replace_it(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_main_text_query(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = queries.queries()["op2_main_text"](spark, SF).collect()
