@@ -3,7 +3,7 @@
 A page is read into a tree. Every paragraph gives points (one, one for each comma, up to three for its length) to its
 parent and half of them to its grandparent; a container's points are discounted by the share of its text inside links.
 Points of the parts of a table, list or quotation go to the container around it. The whole article or main element around
-the best container is kept or, on pages without one, the container and those of its siblings that score well; their
+the best container is kept or, on pages without one, the container and its siblings that hold text and few links; their
 blocks, without the parts that are not the article, are joined in page order.
 """
 
@@ -28,6 +28,7 @@ BLOCKS = frozenset(
 ENDS_P = BLOCKS - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 FORMATTING = frozenset("a b i em strong u s small big font code tt span strike nobr".split())
+INLINE = FORMATTING | VOID - {"hr"} | frozenset("abbr bdi bdo cite data del dfn ins kbd mark q samp sub sup time var".split())
 # Elements that end an open element of the same group.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -56,6 +57,10 @@ SPACE = re.compile(r"\s+")
 LETTERS = re.compile(r"[a-z]+")
 
 
+# A sibling of the best container with a larger share of its text inside links is navigation.
+MOST_LINKS = 0.3
+
+
 class Node:
     __slots__ = ("tag", "parent", "kids", "out", "points", "n_text", "n_link")
 
@@ -244,6 +249,25 @@ def _blocks(roots: list[Node]) -> list[str]:
     return found
 
 
+def _neighbours(best: Node) -> list[Node]:
+    """The blocks beside ``best`` in page order, itself among them; text and inline elements side by side are one."""
+    found: list[Node] = []
+    for kid in best.parent.kids:
+        if isinstance(kid, str) or kid.tag in INLINE and kid is not best:
+            if not found or found[-1].tag != "#run":
+                found.append(Node("#run", None, False))
+            run = found[-1]
+            run.kids.append(kid)
+            if isinstance(kid, str):
+                run.n_text += len(SPACE.sub(" ", kid).strip())
+            elif not kid.out:
+                run.n_text += kid.n_text
+                run.n_link += kid.n_link
+        elif not kid.out:
+            found.append(kid)
+    return found
+
+
 def main_text(page: str) -> str:
     root = parse(page)
     scored = _score(root)
@@ -259,13 +283,7 @@ def main_text(page: str) -> str:
     if best.parent is None or best.tag in ("body", "html", "article", "main"):
         kept = [best]
     else:
-        mark, kept = max(5.0, best.points * 0.2), []
-        for kid in best.parent.kids:
-            if isinstance(kid, str) or kid.out:
-                continue
-            prose = kid.tag in PARAGRAPHS | {"h1", "h2", "h3"} and kid.n_link <= 0.3 * kid.n_text and kid.n_text > 0
-            if kid is best or kid.points >= mark or prose:
-                kept.append(kid)
+        kept = [kid for kid in _neighbours(best) if kid is best or kid.n_text > 0 and kid.n_link <= MOST_LINKS * kid.n_text]
     return "\n\n".join(_blocks(kept))
 
 

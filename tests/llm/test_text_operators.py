@@ -120,6 +120,29 @@ def test_parts_of_an_article_do_not_replace_it(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "<div class=part>" + "<p>A long, long, long, long, long, long paragraph</p>" * 9 + "</div>"
+SHOWN = "\n\n".join(["A long, long, long, long, long, long paragraph"] * 9)
+
+
+@pytest.mark.parametrize(
+    "beside, text",
+    [
+        ("<div class=part><p>One short paragraph.</p></div>", "One short paragraph."),
+        ("<h4>Heading</h4>", "Heading"),
+        ("<ul><li>one</li><li>two</li></ul>", "one\n\ntwo"),
+        ("<table><tr><td>cell</td></tr></table>", "cell"),
+        ("<figure><img src=x><figcaption>Figure</figcaption></figure>", "Figure"),
+        ("See <b>this</b> text and <a href=x>that</a> too.", "See this text and that too."),
+        ("<ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>", None),
+        ("<a href=x>one</a> <a href=y>two</a>", None),
+        ("<div class=sidebar><p>Side</p></div>", None),
+    ],
+)
+def test_short_neighbours_of_the_best_container_stay(beside, text):
+    assert html_text.main_text(f"<body>{beside}{LONG}</body>") == (f"{text}\n\n{SHOWN}" if text else SHOWN)
+    assert html_text.main_text(f"<body>{LONG}{beside}</body>") == (f"{SHOWN}\n\n{text}" if text else SHOWN)
+
+
 def test_main_text_query(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = queries.queries()["op2_main_text"](spark, SF).collect()
