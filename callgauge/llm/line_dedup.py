@@ -28,10 +28,21 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """Hashes (line) of the non-empty lines that appear on at least ``min_sites`` distinct sites. Null sites do not count."""
-    own = F.transform(F.filter(_lines(text_or_empty(text)), lambda x: F.trim(x) != ""), _key)
-    rows = docs.filter(F.col(site).isNotNull()).select(F.explode(F.array_distinct(own)).alias("line"), F.col(site).cast("string").alias("site"))
+def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, texts_once: bool = False) -> DataFrame:
+    """Hashes (line) of the non-empty lines that appear on at least ``min_sites`` distinct sites. Null sites do not count.
+
+    With ``texts_once`` equal texts count as one, on one of their sites (drawn by a hash of text and site), so that copies of
+    a text do not make its own lines spread.
+    """
+    own = F.array_distinct(F.transform(F.filter(_lines(text_or_empty(text)), lambda x: F.trim(x) != ""), _key))
+    placed = docs.filter(F.col(site).isNotNull())
+    if texts_once:
+        placed = placed.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), own.alias("own"), F.col(site).cast("string").alias("site"))
+        placed = placed.groupBy("h1", "h2").agg(F.min(F.struct(F.xxhash64("h1", "site").alias("draw"), "site", "own")).alias("one"))
+        placed = written(placed.select(F.col("one.own").alias("own"), F.col("one.site").alias("site")), "distinct-texts")
+    else:
+        placed = placed.select(own.alias("own"), F.col(site).cast("string").alias("site"))
+    rows = placed.select(F.explode("own").alias("line"), "site")
     sketches = rows.groupBy("line").agg(F.hll_sketch_agg("site", LG_REGISTERS).alias("sketch"), F.count("*").alias("n"))
     estimate = F.when(F.col("n") < min_sites, 0).otherwise(F.hll_sketch_estimate("sketch"))
     rated = sketches.select("line", estimate.alias("sites")).filter(F.col("sites") >= min_sites * (1 - NEAR))
@@ -42,7 +53,7 @@ def spread_lines(docs: DataFrame, text: str = "text", site: str = "source", min_
     return written(sure.union(exact.select("line")), "spread-lines")
 
 
-def clean(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def clean(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, texts_once: bool = False) -> DataFrame:
     """``docs`` without spread lines in ``text``, plus ``n_lines`` and ``n_removed``.
 
     What is removed depends on the text alone, so equal texts are treated alike and results meet their rows by two hashes of
@@ -51,7 +62,7 @@ def clean(docs: DataFrame, text: str = "text", site: str = "source", min_sites:
     """
     docs = docs.drop("n_lines", "n_removed")
     h1, h2, gone = (fresh(docs, c) for c in ("_h1", "_h2", "_gone"))
-    spread = spread_lines(docs, text, site, min_sites)
+    spread = spread_lines(docs, text, site, min_sites, texts_once)
     keyed = docs.withColumn(h1, F.xxhash64(text)).withColumn(h2, F.hash(text))
     lines = keyed.filter(F.col(text).isNotNull()).select(F.col(h1).alias("h1"), F.col(h2).alias("h2"), F.explode(F.array_distinct(F.transform(_lines(F.col(text)), _key))).alias("line"))
     found = lines.join(spread, "line").groupBy("h1", "h2").agg(F.collect_set("line").alias("gone"))
@@ -72,9 +83,12 @@ def clean(docs: DataFrame, text: str = "text", site: str = "source", min_sites:
 
 
 def cleaned_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` (text, source, perhaps n_chars) with cleaned texts and the columns they had; a text that changed gets its new length."""
+    """``docs`` (text, source, perhaps n_chars) with cleaned texts and the columns they had; a text that changed gets its new length.
+
+    Equal texts count once, so that copies of a document and its near copies stay alike for the stages that follow.
+    """
     before = fresh(docs, "_before")
-    made = clean(docs.withColumn(before, F.col("text")))
+    made = clean(docs.withColumn(before, F.col("text")), texts_once=True)
     if "n_chars" in docs.columns:
         same = F.col("text").eqNullSafe(F.col(before))
         made = made.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(F.length("text").cast("long")))

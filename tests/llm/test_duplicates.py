@@ -268,6 +268,26 @@ def test_spread_lines(spark):
     assert line_dedup.clean(docs.limit(0)).count() == 0
 
 
+def test_near_copies_of_a_copied_document_still_link(spark):
+    prepared(spark)
+    draw = random.Random(21)
+    sentence = lambda: " ".join(draw.choice("abcdefghijklmnop") * 3 + str(draw.randint(0, 999)) for _ in range(12))
+    # More than half of the characters stand in one line, in which the near copies have another word.
+    base = [" ".join(sentence() for _ in range(20)), *[sentence() for _ in range(14)]]
+    near = [[base[0].replace(base[0].split()[at], "edited"), *base[1:]] for at in (40, 170)]
+    rows = [(i, "\n".join(base), f"site{i}") for i in range(12)] + [(50 + i, "\n".join(t), f"site{i}") for i, t in enumerate(near)]
+    rows += [(100 + i, f"{sentence()}\nall rights reserved\n{sentence()}", f"site{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    made = {r.doc_id: r.text for r in line_dedup.cleaned_documents(docs).collect()}
+    assert all(made[i] == text for i, text, _ in rows if i < 100) and not any("rights" in made[i] for i in range(100, 109))
+    assert all(similar(shingles(made[0]), shingles(made[i])) for i in (50, 51))
+    by_rows = {r.doc_id: r.text for r in line_dedup.clean(docs).collect()}
+    assert not any(similar(shingles(by_rows[0]), shingles(by_rows[i])) for i in (50, 51))
+    # Different texts on one site each: their sites count, not a favoured one of the copies'.
+    many = spark.createDataFrame([(f"{n} own\nmenu", f"s{i}") for n in range(200) for i in range(10)], "text string, source string")
+    assert line_dedup.spread_lines(many, texts_once=True).count() == 1
+
+
 # ---- languages -----------------------------------------------------------------
 
 
