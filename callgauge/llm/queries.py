@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callgauge.llm import decontaminate, embed_dedup, html_text, jaccard, language, line_dedup, packing, pii, url_rules, warc
+from callgauge.llm import (
+    decontaminate,
+    embed_dedup,
+    html_text,
+    jaccard,
+    language,
+    licenses,
+    line_dedup,
+    negatives,
+    packing,
+    pii,
+    runs,
+    url_rules,
+    warc,
+)
 from callgauge.llm.common import prepared, table
 
 
@@ -59,6 +73,18 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(table(spark, sf_dir, "documents"))
+
+
 def _all() -> tuple[Callable[[SparkSession, str], DataFrame], ...]:
     return (
         op1_warc,
@@ -71,6 +97,9 @@ def _all() -> tuple[Callable[[SparkSession, str], DataFrame], ...]:
         op8_url_rules,
         op9_line_dedup,
         op10_jaccard,
+        op11_licenses,
+        op12_hard_negatives,
+        op13_periodic_runs,
     )
 
 
@@ -109,7 +138,26 @@ links AS (SELECT x, y FROM common JOIN sizes p ON p.id = x JOIN sizes q ON q.id
 {_REACH}
 SELECT n.id AS doc_id, coalesce(z.n, 0) AS n_shingles, l.low AS component_id FROM nodes n JOIN lows l ON l.id = n.id LEFT JOIN sizes z ON z.id = n.id
 """
+_NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike,
+    CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+),
+p AS (SELECT anchor_id, other_id, score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other_id ORDER BY n.score DESC, n.other_id) AS INTEGER) AS rank,
+  n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.alike AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _WARC_SQL, "op5_embedding_duplicates": _VECTOR_SQL, "op9_line_dedup": line_dedup.SQL, "op10_jaccard": _JACCARD_SQL}
+    return {"op1_warc": _WARC_SQL, "op5_embedding_duplicates": _VECTOR_SQL, "op9_line_dedup": line_dedup.SQL, "op10_jaccard": _JACCARD_SQL, "op11_licenses": licenses.sql(), "op12_hard_negatives": _NEGATIVES_SQL}
