@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.functions.variants import kind
+from callgauge.operators import patterns
 
 # What counts as a fence and as a trailing comma in a reply.
 _BLANKS = r"' \t\r\n'"
@@ -214,21 +215,18 @@ def ask(prompts: DataFrame, judge: Callable[[str], str], keys: list[str], prompt
     return prompts.select(*keys, prompt).mapInPandas(run, schema)
 
 
-def pattern_replies(prompts: DataFrame, patterns: list[tuple[str, str]], prompt: str = "prompt") -> DataFrame:
+def pattern_replies(prompts: DataFrame, cases: list[tuple[str, str]], prompt: str = "prompt") -> DataFrame:
     """Reply of the first pattern the prompt contains or matches; the list is short and fixed."""
     quote = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    cases = " ".join(
-        f"WHEN contains({prompt}, {quote(p)}) OR {prompt} RLIKE {quote(p)} THEN {quote(r)}" for p, r in patterns
+    branches = " ".join(
+        f"WHEN contains({prompt}, {quote(p)}) OR {prompt} RLIKE {quote(p)} THEN {quote(r)}" for p, r in cases
     )
-    return prompts.withColumn("reply", F.expr(f"CASE {cases} END"))
+    return prompts.withColumn("reply", F.expr(f"CASE {branches} END"))
 
 
-def replies_from_table(prompts: DataFrame, patterns: DataFrame, keys: list[str], prompt: str = "prompt") -> DataFrame:
+def replies_from_table(prompts: DataFrame, table: DataFrame, prompt: str = "prompt") -> DataFrame:
     """Reply of the first pattern, by priority, that a prompt contains or matches; NULL where none does.
 
-    patterns: priority (unique), pattern, reply; a short table, which is sent to all prompts.
+    table: priority (unique), pattern, reply, of any size (see ``patterns``).
     """
-    asked = prompts.select(*keys, prompt).distinct()
-    met = asked.join(F.broadcast(patterns), F.expr(f"contains({prompt}, pattern) OR regexp_like({prompt}, pattern)"))
-    best = met.groupBy(*keys, prompt).agg(F.min_by("reply", "priority").alias("reply"))
-    return prompts.join(best, [*keys, prompt], "left")
+    return patterns.replies(prompts, table, prompt)

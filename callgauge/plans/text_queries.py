@@ -473,7 +473,38 @@ def pattern_replies(t: Tables) -> DataFrame:
 def pattern_table_replies(t: Tables) -> DataFrame:
     patterns = literal_table(t.spark, [(2, "[0-9]{3}", "digits"), (1, "the", "has-the")], "priority int, pattern string, reply string")
     named = t.read("documents").select("doc_id", F.col("text").alias("prompt"))
-    return replies.replies_from_table(named, patterns, ["doc_id"]).select("doc_id", "reply")
+    return replies.replies_from_table(named, patterns).select("doc_id", "reply")
+
+
+CTES["phrase_patterns"] = r"""
+SELECT item_id AS priority, item_id % 3 AS form,
+  CASE item_id % 3 WHEN 0 THEN phrase WHEN 1 THEN replace(phrase, ' ', '\s+') ELSE '(?:\b|^)' || replace(phrase, ' ', ' (?:[a-z]{2,40} )?') || 'q?' END AS pattern,
+  'item-' || item_id AS reply
+FROM (SELECT item_id, array_to_string(list_slice(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' '), 3, 6), ' ') AS phrase FROM benchmark)
+"""
+
+
+@query(
+    "indexed_pattern_replies",
+    """
+SELECT d.doc_id, min(p.priority) AS priority, arg_min(p.reply, p.priority) AS reply
+FROM documents d LEFT JOIN phrase_patterns p ON contains(d.text, p.pattern) OR regexp_matches(d.text, p.pattern)
+GROUP BY d.doc_id
+""",
+)
+def indexed_pattern_replies(t: Tables) -> DataFrame:
+    """A pattern for each benchmark item: four of its words as they are, with any blanks, or with words in between."""
+    words = "array_join(slice(split(regexp_replace(text, '[^A-Za-z ]', ''), ' '), 3, 4), ' ')"
+    forms = (
+        r"CASE item_id % 3 WHEN 0 THEN phrase WHEN 1 THEN replace(phrase, ' ', '\\s+')"
+        r" ELSE concat('(?:\\b|^)', replace(phrase, ' ', ' (?:[a-z]{2,40} )?'), 'q?') END"
+    )
+    table = t.read("benchmark").selectExpr("item_id AS priority", f"{words} AS phrase", "item_id").selectExpr(
+        "priority", f"{forms} AS pattern", "concat('item-', item_id) AS reply"
+    )
+    named = t.read("documents").select("doc_id", F.col("text").alias("prompt"))
+    told = replies.replies_from_table(named, table.withColumn("reply", F.struct("priority", "reply")))
+    return told.select("doc_id", "reply.priority", "reply.reply")
 
 
 @query(
