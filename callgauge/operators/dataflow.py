@@ -6,12 +6,14 @@ side reduced to one row per key, so no pairs are listed inside a transcript.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callgauge.functions.variants import kind
-from callgauge.operators.dims import join_spec
-from callgauge.session import use_checkpoints
+from callgauge.operators.dims import BROADCAST_ROWS, join_spec
+from callgauge.session import saved
 
 KEY = ["transcript_id", "uri"]
 
@@ -124,60 +126,76 @@ def tool_set_diff(expected: DataFrame, emitted: DataFrame) -> DataFrame:
 # ---- dependency depth -------------------------------------------------------------
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Depth of each call in the dependency graph; calls of one level can run together.
-
-    nodes: transcript_id, node; edges: transcript_id, node, parent. When every call
-    has at most one parent the pointers are doubled, so a chain of n calls takes
-    log2(n) rounds; otherwise levels are settled one after the other. Each round
-    ends in a reliable checkpoint.
-    """
-    use_checkpoints(nodes.sparkSession)
-    edges = edges.distinct().checkpoint()
-    single = edges.groupBy("transcript_id", "node").count().where("count > 1").isEmpty()
-    return _double(nodes, edges) if single else _settle(nodes, edges)
-
-
+# How many pointers a round may make for each node and edge of the graph; beyond that only single ones are followed.
+GROWTH = 4
+MERGED_ROUNDS = 32
 CYCLE = "the dependencies hold a cycle"
 
 
-def _double(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    state = nodes.join(edges, ["transcript_id", "node"], "left").selectExpr(
-        "transcript_id", "node", "parent AS up", "CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS level"
-    )
-    state = state.checkpoint()
-    open_before = None
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Depth of each call in the dependency graph (its longest path to a root); calls of one level can run together.
+
+    nodes: transcript_id, node; edges: transcript_id, node, parent. Edges to or from something that is no node are ignored,
+    repeated ones count once.
+
+    Paths are doubled in max-plus arithmetic: a node keeps, for each ancestor it points at, the longest path there, and
+    the longest path that has reached a root. A round replaces each pointer by those of the ancestor, so paths
+    that join again are one pointer, and a graph of depth d is done in about log2(d) rounds however chains and diamonds
+    alternate. Where that would make more pointers than ``GROWTH`` times the graph's size (wide, tangled graphs), a
+    round ends the pointers to finished nodes, which then leave, and follows only single pointers: that makes none. Each
+    round finishes at least the open nodes nearest to the roots, or there is a cycle, which is an error. Rounds end in a
+    table in the shared folder.
+    """
+    ends = ["transcript_id", "node"]
+    nodes = saved(nodes.select(*ends).distinct(), "graph-nodes")
+    kind = nodes.schema["node"].dataType.simpleString()
+    edges = edges.select(*ends, "parent").distinct().join(nodes, ends, "left_semi")
+    edges = saved(edges.join(nodes.withColumnRenamed("node", "parent"), ["transcript_id", "parent"], "left_semi"), "graph-edges")
+    roots = nodes.join(edges, ends, "left_anti").selectExpr(*ends, f"CAST(NULL AS {kind}) AS up", "0 AS far")
+    # A row is a pointer (up, longest path to it), or, without up, the longest path that ends at a root.
+    state = saved(edges.selectExpr(*ends, f"CAST(parent AS {kind}) AS up", "1 AS far").unionByName(roots), "pointers")
+    done: list[DataFrame] = []
+    most = open_before = None
     while True:
-        still_open = state.where("up IS NOT NULL").count()
+        per_node = state.groupBy(*ends).agg(F.count("*").alias("n"), F.count("up").alias("pointers"))
+        rows, widest, still_open = per_node.agg(F.sum("n"), F.max("n"), F.count_if(F.col("pointers") > 0)).first()
         if not still_open:
-            return state.select("transcript_id", "node", "level")
-        if still_open == open_before:  # each round settles the nodes nearest to a root
-            raise ValueError(CYCLE)
-        open_before = still_open
-        above = state.selectExpr("transcript_id", "node AS up", "up AS next_up", "level AS more")
-        state = (
-            state.join(above, ["transcript_id", "up"], "left")
-            .selectExpr("transcript_id", "node", "next_up AS up", "level + coalesce(more, 0) AS level")
-            .checkpoint()
-        )
-
-
-def _settle(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Settle the nodes without open parents, take their edges away, and go on: every edge is used once."""
-    known = nodes.selectExpr("transcript_id", "node AS parent")
-    rest = edges.join(known, ["transcript_id", "parent"], "left_semi").checkpoint()
-    front = nodes.join(rest, ["transcript_id", "node"], "left_anti").selectExpr("transcript_id", "node", "0 AS level").checkpoint()
-    settled, level = front, 0
-    while not rest.isEmpty():
-        if front.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, state.selectExpr(*ends, "far AS level")])
+        if still_open == open_before:
             raise ValueError(CYCLE)
-        level += 1
-        done = front.selectExpr("transcript_id", "node AS parent")
-        freed = rest.join(done, ["transcript_id", "parent"], "left_semi").select("transcript_id", "node").distinct()
-        rest = rest.join(done, ["transcript_id", "parent"], "left_anti").checkpoint()
-        front = freed.join(rest, ["transcript_id", "node"], "left_anti").selectExpr("transcript_id", "node", f"{level} AS level").checkpoint()
-        settled = settled.union(front)
-    return settled
+        open_before, most = still_open, most or GROWTH * rows
+        small = rows <= BROADCAST_ROWS
+        if widest > 1 and _after_doubling(state, per_node, small) > most:
+            ended = state.join(per_node.where("pointers = 0"), ends, "left_semi").selectExpr(*ends, "far AS level")
+            ended = saved(ended, "levels")
+            done.append(ended)
+            if len(done) == MERGED_ROUNDS:
+                done = [saved(reduce(DataFrame.unionByName, done), "levels")]
+            left = join_spec(state, ended.withColumnRenamed("node", "up"), ["transcript_id", "up"], "left", small, "node")
+            left = left.join(ended.select(*ends), ends, "left_anti")
+            state = _longest(left.selectExpr(*ends, "CASE WHEN level IS NULL THEN up END AS up", "far + coalesce(level, 0) AS far"))
+            single = state.groupBy(*ends).count().where("count = 1")
+            state = _followed(state, state.join(single, ends, "left_semi"), small)
+        else:
+            state = _followed(state, state, small)
+
+
+def _after_doubling(state: DataFrame, per_node: DataFrame, small: bool) -> int:
+    """How many rows there would be if each pointer were replaced by all of its ancestor's (before equal ones are merged)."""
+    held = per_node.selectExpr("transcript_id", "node AS up", "n")
+    met = join_spec(state.where("up IS NOT NULL"), held, ["transcript_id", "up"], "inner", small, "node")
+    return met.agg(F.sum("n")).first()[0] or 0
+
+
+def _followed(state: DataFrame, through: DataFrame, small: bool) -> DataFrame:
+    """``state`` with the pointers to nodes of ``through`` replaced by the rows of these nodes; of equal pointers the longest stays."""
+    above = through.selectExpr("transcript_id", "node AS up", "up AS next_up", "far AS more")
+    met = join_spec(state, above, ["transcript_id", "up"], "left", small, "node")
+    return _longest(met.selectExpr("transcript_id", "node", "CASE WHEN more IS NULL THEN up ELSE next_up END AS up", "far + coalesce(more, 0) AS far"))
+
+
+def _longest(state: DataFrame) -> DataFrame:
+    return saved(state.groupBy("transcript_id", "node", "up").agg(F.max("far").alias("far")), "pointers")
 
 
 # ---- reading what calls write and read out of their arguments -----------------------

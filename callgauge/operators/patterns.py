@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callgauge.operators.dims import is_small, join_spec
-from callgauge.session import use_checkpoints
+from callgauge.session import saved
 
 LENGTHS = (8, 4, 2, 1)
 PIECE = 32_768
@@ -85,12 +85,12 @@ def _text_grams(texts: DataFrame, lengths: list[int]) -> DataFrame:
 def _indexed(texts: DataFrame, needed: DataFrame, lengths: list[int]) -> DataFrame:
     """(id, priority) candidates: the text holds the rarest gram of an alternative of the pattern."""
     cut = _text_grams(texts, lengths)
-    known = needed.select("gram").distinct().checkpoint()
+    known = saved(needed.select("gram").distinct(), "pattern-grams")
     times = join_spec(cut, known, ["gram"], "inner", spread="id").groupBy("gram").agg(F.count("*").alias("times"))
     # A gram that no text holds rules its alternative out: it is the rarest.
     rarity = F.struct(F.coalesce("times", F.lit(0)).alias("times"), -F.length("gram"), "gram")
     rarest = needed.join(times, "gram", "left").groupBy("priority", "alternative").agg(F.min(rarity).alias("least"))
-    index = rarest.where("least.times > 0").select("priority", F.col("least.gram").alias("gram")).distinct().checkpoint()
+    index = saved(rarest.where("least.times > 0").select("priority", F.col("least.gram").alias("gram")).distinct(), "gram-index")
     return join_spec(cut, index, ["gram"], "inner", spread="id").select("id", "priority").distinct()
 
 
@@ -115,10 +115,9 @@ def first_matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
     texts: id, text (an id for each different text); patterns: priority (unique), pattern, and any further columns.
     """
-    use_checkpoints(texts.sparkSession)
     patterns = patterns.select("priority", "pattern")
-    needed = required_grams(patterns).checkpoint()
-    blind = needed.where("gram IS NULL").select("priority").distinct().checkpoint()
+    needed = saved(required_grams(patterns), "required-grams")
+    blind = saved(needed.where("gram IS NULL").select("priority").distinct(), "blind-patterns")
     sighted = needed.join(blind, "priority", "left_anti")
     lengths = [r[0] for r in sighted.select(F.length("gram").alias("n")).distinct().collect()]  # at most one row for each of LENGTHS
     found = None
@@ -145,5 +144,5 @@ def replies(prompts: DataFrame, patterns: DataFrame, prompt: str = "prompt") ->
     key = "_prompt_key"
     keyed = prompts.withColumn(key, F.md5(prompt))
     texts = keyed.where(F.col(prompt).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.first(prompt).alias("text"))
-    best = first_matches(texts, patterns).checkpoint().join(patterns.select("priority", "reply"), "priority").select(F.col("id").alias(key), "reply")
+    best = saved(first_matches(texts, patterns), "first-matches").join(patterns.select("priority", "reply"), "priority").select(F.col("id").alias(key), "reply")
     return join_spec(keyed, best, [key], "left").drop(key)

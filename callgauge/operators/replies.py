@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from callgauge.functions.variants import kind
 from callgauge.operators import patterns
+from callgauge.session import ship_code
 
 # What counts as a fence and as a trailing comma in a reply.
 _BLANKS = r"' \t\r\n'"
@@ -210,6 +211,7 @@ def ask(prompts: DataFrame, judge: Callable[[str], str], keys: list[str], prompt
                     errors.append(f"{type(error).__name__}: {error}")
             yield batch[keys].assign(reply=replies, error=errors)
 
+    ship_code(prompts.sparkSession)
     types = dict(prompts.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", reply string, error string"
     return prompts.select(*keys, prompt).mapInPandas(run, schema)

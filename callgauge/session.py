@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,10 +51,31 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint`` usable on this session."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def saved(frame: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write ``frame`` to the shared folder and read it back.
+
+    It survives a lost executor. Unlike after ``checkpoint``, which hands on the estimated size of the plan before it, the
+    planner then knows the size; in a loop of joins the estimate would grow to numbers of thousands of digits.
+    """
+    path = scratch_path(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this library to the Python workers, once for each session; a cluster's machines need not have it."""
+    context = spark.sparkContext
+    if getattr(context, "_callgauge_sent", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="callgauge-code-"), "callgauge-code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._callgauge_sent = True
 
 
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

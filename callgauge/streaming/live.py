@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from callgauge.operators import lint
 from callgauge.operators.lint import Spec
+from callgauge.session import ship_code
 
 
 def lint_stream(calls: DataFrame, spec: Spec, accepted: str, rejected: str, checkpoint: str) -> StreamingQuery:
@@ -66,9 +67,12 @@ def drop_repeats(calls: DataFrame, delay: str) -> DataFrame:
 
 
 class _Dangling(StatefulProcessor):
-    """State of one (transcript, URI): the earliest write, and reads waiting for the watermark.
+    """State of one (transcript, URI): rows that wait for the watermark, by millisecond, and the last write before it.
 
-    The write is forgotten when the watermark is ``keep_ms`` past it, so state does not grow for ever.
+    A timer for each millisecond that holds rows hands them out once, in order: reads meet the last write before
+    them, writes become the last write. So a write history never holds more than the writes ahead of the watermark and
+    one behind it, and no row is looked at twice. The last write is forgotten ``keep_ms`` after itself; of
+    the timers for that only one is open, which moves on if a later write has come.
     """
 
     def __init__(self, keep_ms: int):
@@ -76,61 +80,71 @@ class _Dangling(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.first_write = handle.getValueState("first_write", "at timestamp")
-        self.waiting = handle.getListState("waiting", "call_id bigint, at timestamp")
+        self.last_write = handle.getValueState("last_write", "micros bigint, forget_at bigint")
+        self.waiting = handle.getMapState("waiting", "ms bigint", "calls array<bigint>, reads array<bigint>, writes array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.first_write.get()[0] if self.first_write.exists() else None
-        timers = set()
+        arrived: dict[int, tuple[list, list, list]] = {}
         for batch in rows:
-            writes = batch.loc[batch["writes"], "ts"]
-            if len(writes) and (known is None or writes.min() < known):
-                known = writes.min()
-            reads = batch.loc[~batch["writes"], ["call_id", "ts"]]
-            if len(reads):
-                self.waiting.appendList([(int(i), at.to_pydatetime()) for i, at in zip(reads["call_id"], reads["ts"])])
-                timers.update(int(at.timestamp() * 1000) + 1 for at in reads["ts"])
-        if known is not None:
-            known = pd.Timestamp(known)
-            self.first_write.update((known.to_pydatetime(),))
-            timers.add(self._end(known))
-        for at in timers:
-            self.handle.registerTimer(at)
+            micros = batch["ts"].astype("datetime64[us]").astype("int64")
+            for call_id, at, writes in zip(batch["call_id"], micros, batch["writes"], strict=True):
+                calls, reads, written = arrived.setdefault(at // 1000, ([], [], []))
+                if writes:
+                    written.append(at)
+                else:
+                    calls.append(int(call_id))
+                    reads.append(at)
+        for ms, lists in arrived.items():
+            if self.waiting.containsKey((ms,)):
+                lists = tuple([*old, *new] for old, new in zip(self.waiting.getValue((ms,)), lists, strict=True))
+            else:
+                self.handle.registerTimer(ms + 1)
+            self.waiting.updateValue((ms,), lists)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         due = expiredTimerInfo.getExpiryTimeInMs()
-        known = pd.Timestamp(self.first_write.get()[0]) if self.first_write.exists() else None
-        lost, later = [], []
-        for call_id, at in list(self.waiting.get()) if self.waiting.exists() else []:
-            at = pd.Timestamp(at)
-            if int(at.timestamp() * 1000) + 1 > due:
-                later.append((call_id, at.to_pydatetime()))
-            elif known is None or known >= at:
-                lost.append((key[0], key[1], call_id, at))
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        if known is not None and self._end(known) <= due:
-            self.first_write.clear()
+        last, forget_at = self.last_write.get() if self.last_write.exists() else (None, None)
+        before = last
+        lost = []
+        ms = (due - 1,)
+        if self.waiting.containsKey(ms):
+            calls, reads, writes = self.waiting.getValue(ms)
+            self.waiting.removeKey(ms)
+            # A write at the very time of a read comes after it.
+            for at, is_write, call_id in sorted([*((r, 0, c) for r, c in zip(reads, calls, strict=True)), *((w, 1, 0) for w in writes)]):
+                if is_write:
+                    last = at
+                elif last is None or last >= at or at - last > self.keep_ms * 1000:
+                    lost.append((key[0], key[1], call_id, pd.Timestamp(at, unit="us")))
+        if last is not None and forget_at in (None, due):
+            forget_at = self._end(last)
+            if forget_at <= due:
+                last = None
+            else:
+                self.handle.registerTimer(forget_at)
+        if last is None:
+            self.last_write.clear()
+        elif last != before or forget_at != due:
+            self.last_write.update((last, forget_at))
         yield pd.DataFrame(lost, columns=["transcript_id", "uri", "call_id", "ts"])
 
-    def _end(self, known: pd.Timestamp) -> int:
-        return int(known.timestamp() * 1000) + self.keep_ms
+    def _end(self, micros: int) -> int:
+        return micros // 1000 + self.keep_ms + 2
 
     def close(self) -> None:
         pass
 
 
 def dangling_stream(uris: DataFrame, delay: str, keep_days: int = 7) -> DataFrame:
-    """Reads of a URI that no earlier call of the transcript wrote.
+    """Reads of a URI that no earlier call of the transcript wrote in the ``keep_days`` before it.
 
     uris: transcript_id, uri, call_id, ts, writes. The state is kept per
     (transcript, URI), so one long transcript is spread over many keys. A read is
     judged only when the watermark has passed it: calls out of order within the
-    delay give no false alarm. A write counts for reads up to ``keep_days`` after it.
+    delay give no false alarm. Every write counts for reads up to ``keep_days`` after it, however many there are.
     """
+    ship_code(uris.sparkSession)
     keyed = uris.withWatermark("ts", delay).groupBy("transcript_id", "uri")
     return keyed.transformWithStateInPandas(
         statefulProcessor=_Dangling(keep_days * 86_400_000),

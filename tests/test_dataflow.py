@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
@@ -61,20 +62,48 @@ def test_setting_mismatch(spark):
     assert [r.transcript_id for r in bad.collect()] == [2]
 
 
-def test_levels_of_chains_and_of_graphs(spark):
-    def depth(edges, n):
-        best = {}
-        for node in range(n):
-            parents = [p for c, p in edges if c == node]
-            best[node] = 1 + max(best[p] for p in parents) if parents else 0
-        return best
+def depths(edges, nodes):
+    parents = {n: [p for c, p in edges if c == n and p in nodes] for n in nodes}
+    best = {}
+    for node in sorted(nodes):  # parents have smaller numbers
+        best[node] = max((1 + best[p] for p in parents[node]), default=0)
+    return best
 
+
+def graph_levels(spark, edges, nodes):
+    made = spark.createDataFrame([(1, i) for i in nodes], "transcript_id bigint, node int")
+    links = spark.createDataFrame([(1, c, p) for c, p in edges], "transcript_id bigint, node int, parent int")
+    return {r.node: r.level for r in dataflow.levels(made, links).collect()}
+
+
+def random_graph(seed, n, parents):
+    draw = random.Random(seed)
+    return {(c, draw.randrange(max(0, c - 6), c)) for c in range(1, n) for _ in range(draw.randrange(0, parents + 1))}
+
+
+def test_levels_of_chains_and_of_graphs(spark, monkeypatch):
     chain = [(i, i - 1) for i in range(1, 40)]
     graph = [(1, 0), (2, 0), (3, 1), (3, 2), (4, 0), (5, 3), (5, 4)]
-    for edges, n in ((chain, 40), (graph, 6)):
-        nodes = spark.createDataFrame([(1, i) for i in range(n)], "transcript_id bigint, node int")
-        links = spark.createDataFrame([(1, c, p) for c, p in edges], "transcript_id bigint, node int, parent int")
-        assert {r.node: r.level for r in dataflow.levels(nodes, links).collect()} == depth(edges, n)
+    outside = [(1, 0), (2, 99), (98, 1), (2, 1), (2, 1)]
+    for edges, n in ((chain, 40), (graph, 6), (outside, 3), ([], 2), (random_graph(1, 60, 3), 60)):
+        assert graph_levels(spark, edges, range(n)) == depths(edges, range(n))
+    monkeypatch.setattr(dataflow, "GROWTH", 0)  # single pointers only
+    monkeypatch.setattr(dataflow, "MERGED_ROUNDS", 3)
+    for edges, n in ((graph, 6), (random_graph(2, 20, 2), 20)):
+        assert graph_levels(spark, edges, range(n)) == depths(edges, range(n))
+
+
+def test_a_long_chain_with_diamonds_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = dataflow._followed
+    monkeypatch.setattr(dataflow, "_followed", lambda *a: rounds.append(1) or real(*a))
+    n = 5000
+    chain = [(i, i - 1) for i in range(1, n)]
+    # Every 100 steps a step can be skipped, once by a short cut of three.
+    diamonds = [(i, i - 2) for i in range(102, n, 100)] + [(4000, 3997)]
+    edges = chain + diamonds
+    assert graph_levels(spark, edges, range(n)) == {i: i for i in range(n)}
+    assert len(rounds) <= 20
 
 
 def test_a_cycle_is_an_error(spark):

@@ -81,7 +81,6 @@ def test_ten_thousand_patterns(spark):
     # Candidates stay near the matches: the rarest gram, not any gram.
     texts_by_id = frame.select(F.md5("prompt").alias("id"), F.col("prompt").alias("text")).distinct()
     needed = patterns.required_grams(table).where("gram IS NOT NULL")
-    patterns.use_checkpoints(spark)
     candidates = patterns._indexed(texts_by_id, needed, [8, 4, 2]).count()
     assert candidates < len(known) * len(made) / 10
 

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import datetime
+import random
+
 from callgauge.operators import lint
 from callgauge.streaming import live
 from tests import registry
@@ -61,3 +64,51 @@ def test_an_old_write_is_forgotten(spark, tmp_path):
     out = live.dangling_stream(stream, "2 hours", keep_days=4).writeStream.format("parquet").outputMode("append")
     out.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     assert [r.call_id for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [4]
+
+
+def run_dangling(spark, tmp_path, batches, keep_days):
+    names = ["transcript_id", "uri", "call_id", "ts", "writes"]
+    source = str(tmp_path / "in")
+    for rows in batches:
+        made = spark.createDataFrame(rows, names).selectExpr("transcript_id", "uri", "call_id", "CAST(ts AS timestamp) AS ts", "writes")
+        made.coalesce(1).write.mode("append").parquet(source)
+    schema = "transcript_id bigint, uri string, call_id bigint, ts timestamp, writes boolean"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    out = live.dangling_stream(stream, "2 hours", keep_days=keep_days).writeStream.format("parquet").outputMode("append")
+    out.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    return sorted(r.call_id for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+
+def test_a_later_write_is_not_forgotten_with_the_first(spark, tmp_path):
+    day = lambda n, time="00:00:00": f"2024-01-{n + 1:02d} {time}"
+    batches = [
+        [(1, "a", 1, day(0), True)],
+        [(1, "a", 2, day(6), True)],
+        [(1, "z", 3, day(7, "12:00:00"), True)],
+        [(1, "a", 4, day(8), False), (1, "b", 5, day(8), False)],
+        [(1, "z", 6, day(12, "23:00:00"), True), (1, "a", 7, day(13, "00:00:00"), False)],
+        [(1, "a", 8, day(13, "00:00:01"), False)],
+        [(1, "z", 9, day(25), True)],
+    ]
+    assert run_dangling(spark, tmp_path, batches, 7) == [5, 8]
+
+
+def test_many_writes_and_reads_equal_a_plain_history(spark, tmp_path):
+    draw = random.Random(9)
+    begin = datetime.datetime(2024, 1, 1)
+    rows = []
+    for call_id in range(400):
+        # Some calls share a time to the millisecond, or altogether.
+        at = begin + datetime.timedelta(hours=draw.randrange(200), milliseconds=draw.randrange(2), microseconds=draw.choice([0, 1, 999]))
+        rows.append((draw.randrange(2), draw.choice("ab"), call_id, at, draw.random() < 0.3))
+    rows.sort(key=lambda r: r[3])
+    batches, last = [], [(9, "z", 999, begin + datetime.timedelta(days=60), True)]
+    for i in range(0, len(rows), 80):
+        batches.append([(*r[:3], r[3].isoformat(sep=" "), r[4]) for r in rows[i : i + 80]])
+    batches.append([(*r[:3], r[3].isoformat(sep=" "), r[4]) for r in last])
+    keep = datetime.timedelta(days=1)
+    want = []
+    for t, uri, call_id, at, writes in rows:
+        if not writes and not any(w[:2] == (t, uri) and w[4] and w[3] < at <= w[3] + keep for w in rows):
+            want.append(call_id)
+    assert run_dangling(spark, tmp_path, batches, 1) == sorted(want)
