@@ -296,14 +296,6 @@ def flag_frame(calls: DataFrame, spec: Spec) -> DataFrame:
     return frame.selectExpr("*", f"{_COUNT} AS n_found")
 
 
-def _finding(rule: str, parameter: str, severity: str, phase: int, message: str) -> str:
-    return (
-        f"struct({rule} AS rule_id, {parameter} AS parameter_name, {severity} AS severity,"
-        f" {phase} AS phase, {message} AS message)"
-    )
-
-
-_ERROR = f"'{fixed.ERROR}'"
 _MISSING = "concat(\"Required parameter '\", {0}, \"' is missing or empty\")"
 _CALL_RULE = "CASE call_state WHEN 'unknown_tool' THEN 'unknown_tool' WHEN 'not_dict' THEN 'type_mismatch' ELSE 'malformed_call' END"
 _CALL_TEXT = (
@@ -317,42 +309,46 @@ _RULE_TEXT = (
     "concat_ws(' ', arg_name, concat(\"'\", coalesce(arg_text, to_json(arg)), \"'\"), rule.phrase,"
     " CASE WHEN rule.check IN ('flag', 'model_set', 'model_max') THEN concat(\"on '\", model_name, \"'\") END)"
 )
+# For each flag the rule id and the message of its finding; the place in this list is the finding's phase.
 _FINDINGS = {
-    "f_call": _finding(_CALL_RULE, "CAST(NULL AS STRING)", _ERROR, 0, _CALL_TEXT),
-    "f_empty": _finding("'missing_required'", "arg_name", _ERROR, 1, _MISSING.format("arg_name")),
-    "f_unknown": _finding(
-        "'unknown_param'", "arg_name", _ERROR, 2,
-        f"concat(\"The tool has no parameter '\", arg_name, \"'; it takes \", {quoted_list('spec_params')})",
-    ),
-    "f_type": _finding(
-        "'type_mismatch'", "arg_name", _ERROR, 3,
-        f"concat(\"'\", arg_name, \"' should be \", param_type, ' but is ', {python_type('schema_of_variant(arg)')})",
-    ),
-    "f_enum": _finding(
-        "'illegal_enum'", "arg_name", _ERROR, 4,
-        f"concat(\"'\", coalesce(arg_text, to_json(arg)), \"' is none of the values \", {quoted_list('enum_shown')})",
-    ),
-    "f_uri": _finding(
-        "'invalid_uri'", "arg_name", _ERROR, 5,
-        "concat(\"'\", arg_text, \"' is neither a full path nor a bucket or web address\")",
-    ),
-    "f_rule": _finding("rule.rule_id", "arg_name", "rule.severity", 6, _RULE_TEXT),
+    "f_call": (_CALL_RULE, _CALL_TEXT),
+    "f_empty": ("'missing_required'", _MISSING.format("arg_name")),
+    "f_unknown": ("'unknown_param'", f"concat(\"The tool has no parameter '\", arg_name, \"'; it takes \", {quoted_list('spec_params')})"),
+    "f_type": ("'type_mismatch'", f"concat(\"'\", arg_name, \"' should be \", param_type, ' but is ', {python_type('schema_of_variant(arg)')})"),
+    "f_enum": ("'illegal_enum'", f"concat(\"'\", coalesce(arg_text, to_json(arg)), \"' is none of the values \", {quoted_list('enum_shown')})"),
+    "f_uri": ("'invalid_uri'", "concat(\"'\", arg_text, \"' is neither a full path nor a bucket or web address\")"),
+    "f_rule": ("rule.rule_id", _RULE_TEXT),
 }
+_CODES = {flag: code for code, flag in enumerate(_FINDINGS)}
+_ABSENT = len(_FINDINGS)
 _FOUND = (
     f"CASE WHEN {' OR '.join(_FLAGS)} OR n_absent > 0 THEN concat(array("
-    + ", ".join(f"CASE WHEN {flag} THEN {made} END" for flag, made in _FINDINGS.items())
-    + "), CASE WHEN n_absent > 0 THEN transform(absent, a -> "
-    + _finding("'missing_required'", "a", _ERROR, 1, _MISSING.format("a"))
-    + ") ELSE array() END) END"
+    + ", ".join(f"CASE WHEN {flag} THEN struct({code} AS _code, CAST(NULL AS STRING) AS _absent) END" for flag, code in _CODES.items())
+    + f"), CASE WHEN n_absent > 0 THEN transform(absent, a -> struct({_ABSENT} AS _code, a AS _absent)) ELSE array() END) END"
 )
 
 
 def violations(calls: DataFrame, spec: Spec) -> DataFrame:
-    """One row per violation, with every column of ``calls`` but the argument text."""
+    """One row per violation, with every column of ``calls`` but the argument text.
+
+    The flags of a row become a list of codes; a finding's texts are put together behind the generator, for findings alone,
+    which also keeps the generated methods small.
+    """
     kept = [c for c in calls.columns if c not in ("arguments", "is_object")]
+    of = lambda values, absent: "CASE _code " + " ".join(f"WHEN {_CODES[f]} THEN {v}" for f, v in values.items()) + f" ELSE {absent} END"
+    rules = of({flag: rule for flag, (rule, _) in _FINDINGS.items()}, "'missing_required'")
+    texts = of({flag: text for flag, (_, text) in _FINDINGS.items()}, _MISSING.format("_absent"))
     # The outer form with a filter behind it: a filter before it would be pushed below
     # the flags and work every one of them out twice.
-    return flag_frame(calls, spec).selectExpr(*kept, f"inline_outer({_FOUND})").where("rule_id IS NOT NULL")
+    found = flag_frame(calls, spec).selectExpr("*", f"inline_outer({_FOUND})").where("_code IS NOT NULL")
+    return found.selectExpr(
+        *kept,
+        f"{rules} AS rule_id",
+        f"CASE _code WHEN {_CODES['f_call']} THEN NULL WHEN {_ABSENT} THEN _absent ELSE arg_name END AS parameter_name",
+        f"CASE WHEN _code = {_CODES['f_rule']} THEN rule.severity ELSE '{fixed.ERROR}' END AS severity",
+        f"CASE _code WHEN {_ABSENT} THEN {_CODES['f_empty']} ELSE _code END AS phase",
+        f"{texts} AS message",
+    )
 
 
 def summary(calls: DataFrame, spec: Spec, transcripts: DataFrame | None = None) -> DataFrame:

@@ -48,7 +48,7 @@ def test_plan_shape(spark, name):
         assert "BroadcastHashJoin" in plan
 
 
-@pytest.mark.parametrize("name", ("lint_summary", "lint_all", "lint_cap_tool", "tc_score"))
+@pytest.mark.parametrize("name", ("lint_summary", "lint_all", "lint_cap_tool", "lint_capability_rules", "violations_by_rule", "fault_injection", "tc_score"))
 def test_generated_methods_can_be_compiled(spark, name):
     """The JVM leaves methods above 8000 bytes uncompiled, which makes a query several times slower."""
     out = io.StringIO()
@@ -60,7 +60,7 @@ def test_generated_methods_can_be_compiled(spark, name):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
-    assert max(sizes, default=0) < 8000
+    assert max(sizes, default=0) < 7500
 
 
 def test_texts_of_many_rows_are_whole(spark):
