@@ -112,6 +112,9 @@ def first_violation(t: Tables) -> DataFrame:
 @query(
     "violation_messages",
     """
+WITH found AS MATERIALIZED (SELECT call_id, rule_id, parameter_name, tool_name FROM violations),
+own_args AS MATERIALIZED (SELECT call_id, arg_name, jtype, arg_text FROM args WHERE call_id IN (SELECT call_id FROM found)),
+own_models AS MATERIALIZED (SELECT call_id, model FROM call_models WHERE call_id IN (SELECT call_id FROM found))
 SELECT v.call_id, v.rule_id, v.parameter_name,
   CASE v.rule_id
     WHEN 'unknown_tool' THEN 'Tool ''' || v.tool_name || ''' is not in the registry'
@@ -126,10 +129,10 @@ SELECT v.call_id, v.rule_id, v.parameter_name,
     WHEN 'unknown_model' THEN 'model ''' || a.arg_text || ''' is not a known model'
     WHEN 'invalid_value' THEN 'sample_count ''' || a.arg_text || ''' is below 1'
     ELSE v.parameter_name || ' ''' || a.arg_text || ''' is not supported on ''' || m.model || '''' END AS message
-FROM violations v
+FROM found v
 LEFT JOIN tool_params p ON p.tool_name = v.tool_name AND p.param_name = v.parameter_name
-LEFT JOIN args a ON a.call_id = v.call_id AND a.arg_name = v.parameter_name
-LEFT JOIN call_models m ON m.call_id = v.call_id
+LEFT JOIN own_args a ON a.call_id = v.call_id AND a.arg_name = v.parameter_name
+LEFT JOIN own_models m ON m.call_id = v.call_id
 LEFT JOIN (SELECT tool_name, '[''' || string_agg(param_name, ''', ''' ORDER BY param_pos) || ''']' AS allowed FROM tool_params GROUP BY tool_name) l ON l.tool_name = v.tool_name
 """,
 )
