@@ -30,8 +30,10 @@ from callgauge.llm.common import small, text_or_empty, written
 from callgauge.llm.components import components
 
 WORDS = 5
-# Tokens held by at least this many documents (in the lower half of their hashes) are frequent, or by so many that no more
-# than MAX_FREQUENT can be: that bounds what is sent to every task (8 bytes each).
+# Tokens held by at least LEAST_FREQUENT documents are frequent, or by so many that no more than MAX_FREQUENT can be: that
+# bounds what is sent to every task (8 bytes each). Counting goes by the first 48 bits of a token, so tokens that share them
+# are frequent together.
+PREFIX = np.uint64(0xFFFF_FFFF_FFFF_0000)
 LEAST_FREQUENT = 32
 MAX_FREQUENT = 1 << 21
 STAR_ROUNDS = 2
@@ -98,10 +100,13 @@ def short_prefix(n):
     return n - (8 * n + 8) // 9 + 1
 
 
+def _sub_classes(band: int) -> int:
+    return max(1, int(_BANDS[band] / 10))
+
+
 def _combined(tokens: np.ndarray, need: int, band: int) -> np.ndarray:
     """Keys of the pairs of frequent tokens (by hash) of one sub-class in the prefix that misses ``need`` tokens."""
-    n_classes = max(1, int(_BANDS[band] / 10))
-    sub = (mix(tokens) % np.uint64(n_classes)).astype(np.int64)
+    sub = (mix(tokens) % np.uint64(_sub_classes(band))).astype(np.int64)
     order = np.argsort(sub, kind="stable")
     starts = np.r_[True, sub[order][1:] != sub[order][:-1]]
     beyond = np.empty(len(tokens), dtype=bool)
@@ -183,24 +188,40 @@ def _sets(batches):
         yield _batch(SETS, list(fresh), [len(s) for s in fresh.values()], [wide_sketch(s) for s in fresh.values()], [s.tobytes() for s in fresh.values()])
 
 
+def _packed(prefixes: np.ndarray) -> bytes:
+    """Ascending prefixes as one number and the steps between them, of four bytes each if they fit."""
+    if not len(prefixes):
+        return b""
+    values = prefixes >> np.uint64(16)
+    steps = np.diff(values)
+    kind = np.uint32 if int(steps.max(initial=0)) < 1 << 32 else np.uint64
+    return bytes([np.dtype(kind).itemsize]) + values[:1].tobytes() + steps.astype(kind).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if not data:
+        return np.empty(0, dtype=np.uint64)
+    steps = np.frombuffer(data[9:], dtype=np.uint32 if data[0] == 4 else np.uint64)
+    return np.cumsum(np.append(np.frombuffer(data[1:9], dtype=np.uint64), steps.astype(np.uint64)), dtype=np.uint64) << np.uint64(16)
+
+
 def _frequent_tokens(rows: DataFrame, total: int) -> np.ndarray:
-    """Tokens counted in the lower half (by hash) of every document's set; sorted, at most ``MAX_FREQUENT``."""
-    shards = max(8, -(-total // 2 // SHARD_TOKENS))
+    """Prefixes (see ``PREFIX``) of the frequent ones tokens of all documents; sorted, at most ``MAX_FREQUENT``."""
+    shards = max(8, -(-total // SHARD_TOKENS))
     least = max(LEAST_FREQUENT, -(-total // MAX_FREQUENT))
 
     def flush(held):
         tokens, times = np.unique(np.concatenate(held), return_counts=True)
         edges = np.searchsorted(tokens, (np.arange(1, shards) * (2**64 // shards)).astype(np.uint64)) if shards > 1 else np.empty(0, dtype=int)
         parts = [(n, t[k == 1], t[k > 1], k[k > 1].astype(np.int64)) for n, (t, k) in enumerate(zip(np.split(tokens, edges), np.split(times, edges), strict=True)) if len(t)]
-        return _batch(COUNTS, [p[0] for p in parts], *[[p[i].tobytes() for p in parts] for i in (1, 2, 3)])
+        return _batch(COUNTS, [p[0] for p in parts], *[[_packed(p[i]) for p in parts] for i in (1, 2)], [p[3].tobytes() for p in parts])
 
     def count(batches):
         held, size = [], 0
         for _, sets in _portions(batches):
             for tokens in sets:
-                half = tokens[: len(tokens) // 2 + 1]
-                held.append(half)
-                size += len(half)
+                held.append(tokens & PREFIX)
+                size += len(tokens)
             if size >= HELD_TOKENS:
                 yield flush(held)
                 held, size = [], 0
@@ -208,10 +229,10 @@ def _frequent_tokens(rows: DataFrame, total: int) -> np.ndarray:
             yield flush(held)
 
     def add(part: pa.Table) -> pa.Table:
-        once, more, times = (b"".join(x for x in part.column(c).to_pylist()) for c in ("once", "more", "times"))
-        once = np.frombuffer(once, dtype=np.uint64)
-        tokens = np.concatenate([once, np.frombuffer(more, dtype=np.uint64)])
-        weights = np.concatenate([np.ones(len(once), dtype=np.int64), np.frombuffer(times, dtype=np.int64)])
+        once, more = (np.concatenate([_unpacked(x) for x in part.column(c).to_pylist()]) for c in ("once", "more"))
+        times = np.frombuffer(b"".join(part.column("times").to_pylist()), dtype=np.int64)
+        tokens = np.concatenate([once, more])
+        weights = np.concatenate([np.ones(len(once), dtype=np.int64), times])
         order = np.argsort(tokens)
         tokens, weights = tokens[order], weights[order]
         starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]]) if len(tokens) else np.empty(0, dtype=int)
@@ -228,7 +249,7 @@ def _postings(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     def index(batches):
         usual = sent.value
         for _, sets in _portions(batches):
-            joined = np.concatenate(sets)
+            joined = np.concatenate(sets) & PREFIX
             place = np.searchsorted(usual, joined)
             flags = np.zeros(len(joined), dtype=bool)
             if len(usual):

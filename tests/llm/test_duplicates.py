@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -147,6 +148,55 @@ def test_embeddings(spark, monkeypatch):
     assert sorted(map(str, none)) == ["Row(vec_id=1, n_links=0, component_id=1, kept=True)", "Row(vec_id=None, n_links=0, component_id=None, kept=True)"]
 
 
+def posted_keys(spark, texts):
+    """Postings of each key with the frequencies that the operator counts, and how many documents use pairs of frequent tokens."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = jaccard.shingle_sets(texts)
+    frequent = jaccard._frequent_tokens(docs, sum(map(len, sets)))
+    counts, combined = Counter(), 0
+    for tokens in sets:
+        flags = np.isin(tokens & jaccard.PREFIX, frequent)
+        keys, _ = jaccard.signatures(tokens, flags)
+        counts.update(set(keys.tolist()))
+        combined += bool(set(keys.tolist()) - set(tokens.tolist()))
+    return counts, combined
+
+
+def test_frequent_tokens_are_indexed_in_pairs_only(spark):
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    shared = [[draw.choice(words) for _ in range(30)] for _ in range(12)]
+    # Three quarters of each text are passages that many texts hold, in one order; a quarter is its own.
+    boilerplate = [" ".join(sum(shared[:9], []) + [draw.choice(words) for _ in range(90)]) for _ in range(300)]
+    counts, combined = posted_keys(spark, boilerplate)
+    assert max(counts.values()) <= 10 and combined <= 5  # the own quarter is the prefix
+    # Nine tenths are shared: the prefix needs pairs, and no single frequent token is a key.
+    mixed = [" ".join(sum(draw.sample(shared, 9), []) + [draw.choice(words) for _ in range(20)]) for _ in range(300)]
+    counts, combined = posted_keys(spark, mixed)
+    assert combined == len(mixed)
+    tokens = Counter(t for s in jaccard.shingle_sets(mixed) for t in s.tolist())
+    hot = {t for t, n in tokens.items() if n >= jaccard.LEAST_FREQUENT}
+    assert hot and not hot & set(counts)
+    # Edits of one template: all are similar, so keys may be common, but single tokens of it are none.
+    template = [draw.choice(words) for _ in range(200)]
+    edits = []
+    for _ in range(300):
+        text = list(template)
+        for _ in range(3):
+            text[draw.randrange(200)] = draw.choice(words)
+        edits.append(" ".join(text))
+    counts, combined = posted_keys(spark, edits)
+    tokens = Counter(t for s in jaccard.shingle_sets(edits) for t in s.tolist())
+    assert combined == len(edits) and not {t for t, n in tokens.items() if n >= jaccard.LEAST_FREQUENT} & set(counts)
+
+
+def test_counted_prefixes_survive_packing():
+    tokens = jaccard.mix(np.arange(1000, dtype=np.uint64)) & jaccard.PREFIX
+    for part in (tokens, np.sort(tokens), np.sort(tokens)[::97], np.sort(tokens)[:1], tokens[:0], np.arange(5, dtype=np.uint64) << np.uint64(16)):
+        part = np.sort(part)
+        assert (jaccard._unpacked(jaccard._packed(part)) == part).all()
+
+
 # ---- benchmark passages --------------------------------------------------------
 
 
