@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callgauge.llm.common import fresh
@@ -162,18 +162,25 @@ def held_out(doc_id: Column) -> Column:
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Network | None:
     """Learn from text and lang of rows of ``docs`` that are not held out and have both; None if there are no such rows.
 
-    The sample is chosen by a hash of the id, about ``rows_per_language`` of each language, and gives one excerpt a row.
+    The sample has at most ``rows_per_language`` different rows of each language, those of the smallest hashes of id and text,
+    and gives one excerpt a row. Texts without a letter teach nothing and do not count.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    lettered = F.col("text").rlike(r"\p{L}")
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & lettered & ~held_out(F.col("doc_id")))
+    order = F.xxhash64("doc_id", "text", F.lit("language"))
+    counts = {r.lang: max(r.n, 1) for r in usable.groupBy("lang").agg(F.approx_count_distinct(order).alias("n")).collect()}
     if not counts:
         return None
     languages = sorted(counts)
-    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, rows_per_language / counts[k]))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) / 1_000_003
+    # A draw of about twice the rows goes on, so that little is sorted.
+    share = F.element_at(F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, 2 * rows_per_language / counts[k]))]), F.col("lang"))
+    draw = F.pmod(order, F.lit(1_000_003)) / 1_000_003
     start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.length("text") - EXCERPT_CHARS, F.lit(0)) + 1).cast("int") + 1
-    sample = usable.filter((draw < share) & (F.length("text") > 0)).select("lang", "doc_id", F.substring("text", start, F.lit(EXCERPT_CHARS)).alias("excerpt"))
-    rows = sorted(sample.collect(), key=lambda r: (r.lang, r.doc_id, r.excerpt))
+    excerpt = F.substring("text", start, F.lit(EXCERPT_CHARS)).alias("excerpt")
+    drawn = usable.filter(draw < share).select("lang", "doc_id", order.alias("place"), excerpt).distinct()
+    first = Window.partitionBy("lang").orderBy("place", "excerpt")
+    sample = drawn.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= rows_per_language)
+    rows = sorted(sample.select("lang", "doc_id", "excerpt").collect(), key=lambda r: (r.lang, r.doc_id, r.excerpt))
     network = Network.start(languages)
     network.fit([r.excerpt.encode() for r in rows], [languages.index(r.lang) for r in rows])
     return network
