@@ -16,8 +16,6 @@ MIN_SITES = 8
 LG_REGISTERS = 8
 # Estimates within this share of the threshold are counted exactly; the sketch's standard error is 1.04 / sqrt(2**8) = 6.5 %.
 NEAR = 0.25
-# A document that is mostly spread lines is a copy or all boilerplate; its text stays, for document-level operators.
-MOST = 0.5
 
 
 def _lines(text: Column) -> Column:
@@ -57,8 +55,8 @@ def clean(docs: DataFrame, text: str = "text", site: str = "source", min_sites:
     """``docs`` without spread lines in ``text``, plus ``n_lines`` and ``n_removed``.
 
     What is removed depends on the text alone, so equal texts are treated alike and results meet their rows by two hashes of
-    the text. Null texts stay null with no lines, empty lines are never removed, and a document of which spread lines hold
-    more than ``MOST`` of the characters keeps its text (n_removed 0). An empty table gives no rows; other columns pass.
+    the text. Null texts stay null with no lines, and empty lines are never removed; a text of spread lines alone becomes
+    empty (its empty lines stay). An empty table gives no rows; other columns pass.
     """
     docs = docs.drop("n_lines", "n_removed")
     h1, h2, gone = (fresh(docs, c) for c in ("_h1", "_h2", "_gone"))
@@ -72,12 +70,11 @@ def clean(docs: DataFrame, text: str = "text", site: str = "source", min_sites:
     is_spread = lambda x: (F.trim(x) != "") & F.array_contains(F.col(gone), _key(x))
     kept = F.array_join(F.filter(whole, lambda x: ~is_spread(x)), "\n")
     removed = F.size(F.filter(whole, is_spread))
-    spread_chars = F.aggregate(F.filter(whole, is_spread), F.lit(0), lambda n, x: n + F.length(x))
-    minor = F.col(gone).isNotNull() & (spread_chars <= MOST * F.length(text))
+    some = F.col(gone).isNotNull()
     return (
         joined.withColumn("n_lines", F.when(F.col(text).isNotNull(), F.size(whole)).otherwise(0).cast("long"))
-        .withColumn("n_removed", F.when(minor, removed).otherwise(0).cast("long"))
-        .withColumn(text, F.when(minor, kept).otherwise(F.col(text)))
+        .withColumn("n_removed", F.when(some, removed).otherwise(0).cast("long"))
+        .withColumn(text, F.when(some, kept).otherwise(F.col(text)))
         .drop(h1, h2, gone)
     )
 
@@ -100,10 +97,10 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text FROM documen
 l AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d WHERE text IS NOT NULL),
 s AS (SELECT trim(line) AS line FROM l WHERE trim(line) <> '' AND source IS NOT NULL GROUP BY trim(line) HAVING count(DISTINCT source) >= {MIN_SITES}),
 m AS (SELECT l.*, s.line IS NOT NULL AS gone FROM l LEFT JOIN s ON trim(l.line) = s.line),
-p AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone, coalesce(sum(length(line)) FILTER (WHERE gone), 0) AS chars,
+p AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_gone,
       string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY rid)
 SELECT d.doc_id, coalesce(p.n_lines, 0) AS n_lines,
-  CASE WHEN n_gone > 0 AND p.chars <= {MOST} * length(d.text) THEN n_gone ELSE 0 END AS n_removed,
-  CASE WHEN n_gone > 0 AND p.chars <= {MOST} * length(d.text) THEN coalesce(p.kept, '') ELSE d.text END AS text
+  coalesce(n_gone, 0) AS n_removed,
+  CASE WHEN n_gone > 0 THEN coalesce(p.kept, '') ELSE d.text END AS text
 FROM d LEFT JOIN p ON d.rid = p.rid
 """
