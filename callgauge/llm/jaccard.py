@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callgauge.llm.arrays import mix, segment_hash
+from callgauge.llm.arrays import mix, powers
 from callgauge.llm.common import small, text_or_empty, written
 from callgauge.llm.components import components
 
@@ -41,26 +41,38 @@ PART_CHARS = 1_000_000
 HELD_TOKENS = 1_500_000
 SHARD_TOKENS = 2_000_000
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# Each byte's sign in a word's hash; A-Z count as a-z, blanks as nothing.
+_SIGNS = mix(np.arange(1, 257, dtype=np.uint64))
+_SIGNS[65:91] = _SIGNS[97:123]
+_SIGNS[_SPACE] = 0
+_BASE = int(powers(2)[1])
+_back = np.ones(1, dtype=np.uint64)
 _PLACES = mix(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 # The smallest set sizes of bands; a set at most 5/4 as large as another is at most one band above it.
 _BANDS = np.unique(np.ceil(1.25 ** np.arange(0, 130)).astype(np.float64))
 
 
+def _inverse_powers(n: int) -> np.ndarray:
+    global _back
+    if len(_back) < n:
+        grown = np.full(max(n, 2 * len(_back)), pow(_BASE, -1, 1 << 64), dtype=np.uint64)
+        grown[0] = 1
+        _back = np.multiply.accumulate(grown)
+    return _back[:n]
+
+
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text; a text of one to four words has its whole sequence as one."""
     encoded = [t.encode() for t in texts]
-    data = _LOWER[np.frombuffer(b" ".join(encoded) + b" ", dtype=np.uint8)]
-    sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded)) + 1
-    begins = np.cumsum(sizes) - sizes
-    solid = ~_SPACE[data]
-    first = solid.copy()
-    first[1:] &= ~solid[:-1]
-    at = np.flatnonzero(first)
-    words = segment_hash(data[solid], np.flatnonzero(first[solid]))
+    data = np.frombuffer(b" " + b" ".join(encoded) + b" ", dtype=np.uint8)
+    begins = np.cumsum([1, *(len(t) + 1 for t in encoded)])[:-1]
+    # Words begin and end where blanks do; their hashes are differences of one running sum, moved to the first power.
+    turns = np.flatnonzero(np.diff(_SPACE[data])) + 1
+    at, ends = turns[::2], turns[1::2]
+    running = np.cumsum(_SIGNS[data] * powers(len(data)))
+    words = mix((running[ends - 1] - running[at - 1]) * _inverse_powers(len(data))[at] + mix((ends - at).astype(np.uint64)))
     edges = np.append(np.searchsorted(at, begins), len(words))
     rolled = np.zeros(max(len(words) - WORDS + 1, 0), dtype=np.uint64)
     for j in range(WORDS):
@@ -333,8 +345,10 @@ def links_of(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if not total:
         return documents, documents.select(F.col("c").alias("a"), F.col("c").alias("b")).limit(0)
     index = _postings(rows.filter("doc_id IS NOT NULL"), _frequent_tokens(rows, total))
-    shared = written(index.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key"), "shared-keys")
-    postings = index.join(shared, "key", "left_semi").groupBy("key", "c", "n").agg(F.max("short").alias("short"))
+    # Dealt by key once: a key of several classes is seen, and its postings taken, where they are. The window's rows spill.
+    ends = Window.partitionBy("key")
+    shared = index.withColumns({"low": F.min("c").over(ends), "high": F.max("c").over(ends)}).filter("low <> high")
+    postings = shared.groupBy("key", "c", "n").agg(F.max("short").alias("short"))
     postings = written(postings, "shared-postings")
     links = None
     for turn in range(STAR_ROUNDS):
