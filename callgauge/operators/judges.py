@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from callgauge import fixed
 from callgauge.operators.dims import join_spec
-from callgauge.operators.ordering import unit_slice, with_running
+from callgauge.operators.ordering import unit_slice, value_slice, with_running
 from callgauge.operators.scoring import ARGUMENTS
+from callgauge.session import saved
 
 STRICT_HIT = "exists(failures, f -> contains(f, expected_taxonomy) OR contains(expected_taxonomy, f))"
 _SUBSCORES = "map_entries(map(" + ", ".join(f"'{c}', {c}" for c in ARGUMENTS) + "))"
@@ -65,18 +66,23 @@ def pairs(scores: DataFrame, judge_a: str, judge_b: str, value: str = "tc") -> D
     return both.agg(pick(judge_a).alias("tc_a"), pick(judge_b).alias("tc_b")).where("tc_a IS NOT NULL AND tc_b IS NOT NULL")
 
 
-def average_rank(values: DataFrame, value: str) -> DataFrame:
-    """Each distinct value with its average rank: ranks are worked out on counts, not on rows."""
+def average_rank(values: DataFrame, value: str, bounded: bool = True) -> DataFrame:
+    """Each distinct value with its average rank: ranks are worked out on counts, not on rows.
+
+    ``bounded`` values lie between 0 and 1 with few decimals. Others are cut into equally full ranges, so that no task gets
+    more than its share of the distinct values, whatever their range.
+    """
     counts = values.groupBy(value).agg(F.count("*").alias("n"))
-    placed = with_running(counts, F.col(value), "n", unit_slice(value), "_below")
+    counts = counts if bounded else saved(counts, "value-counts")
+    placed = with_running(counts, F.col(value), "n", unit_slice(value) if bounded else value_slice(counts, value), "_below")
     return placed.select(value, (F.col("_below") + (F.col("n") + 1) / 2).alias(f"rank_{value}"))
 
 
 def ranking(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Rank of each row by ``value``, the highest first, equal values alike; values lie between 0 and 1."""
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    above = with_running(counts, -F.col(value), "_n", -unit_slice(value), "_above")
-    return rows.join(above.select(value, (F.col("_above") + 1).cast("int").alias(name)), value)
+    """Rank of each row by ``value``, the highest first, equal values alike; values of any range."""
+    counts = saved(rows.groupBy(value).agg(F.count("*").alias("_n")), "value-counts")
+    above = with_running(counts, -F.col(value), "_n", -value_slice(counts, value), "_above")
+    return join_spec(rows, above.select(value, (F.col("_above") + 1).cast("int").alias(name)), [value], "inner")
 
 
 def pearson(both: DataFrame) -> DataFrame:
@@ -90,8 +96,8 @@ def spearman(both: DataFrame, four_decimals: bool = True) -> DataFrame:
     broadcast. For other values the size is counted first.
     """
     known = True if four_decimals else None
-    ranked = join_spec(both, average_rank(both, "tc_a"), ["tc_a"], "inner", small=known)
-    ranked = join_spec(ranked, average_rank(both, "tc_b"), ["tc_b"], "inner", small=known)
+    ranked = join_spec(both, average_rank(both, "tc_a", four_decimals), ["tc_a"], "inner", small=known)
+    ranked = join_spec(ranked, average_rank(both, "tc_b", four_decimals), ["tc_b"], "inner", small=known)
     return ranked.agg(F.count("*").alias("n"), F.round(F.corr("rank_tc_a", "rank_tc_b"), 6).alias("spearman"))
 
 

@@ -13,7 +13,8 @@ from callgauge.plans.registry import CTES, query
 
 @query("call_index", "SELECT call_id, transcript_id, call_index FROM calls")
 def call_index(t: Tables) -> DataFrame:
-    return t.call_order.select("call_id", "transcript_id", "call_index")
+    placed = with_position(t.call_keys, ["transcript_id"], ["ts", "call_id"], None, "call_index")
+    return placed.select("call_id", "transcript_id", "call_index")
 
 
 @query(

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from callgauge.operators import judges, ordering
 from callgauge.operators.dims import is_small, join_spec
 from callgauge.operators.ordering import number_slice, with_next, with_position
 
@@ -49,3 +51,43 @@ def test_salted_join_equals_broadcast(spark):
         b = sorted(map(str, join_spec(frame(spark), spec, ["k"], how, small=False).collect()))
         assert a == b
     assert is_small(spec) and not is_small(spec, 10)
+
+
+def test_a_burst_of_one_key_is_cut_evenly(spark):
+    # 60,000 calls of one key in one second, half of them at the very same time; a null time; light keys beside it.
+    rows = spark.range(60_000).selectExpr(
+        "0 AS k", "CASE WHEN id % 2 = 0 THEN timestamp'2024-01-01 00:00:00.5' ELSE timestampadd(MICROSECOND, id, timestamp'2024-01-01 00:00:00') END AS t", "(id * 7919) % 60000 AS v"
+    )
+    light = spark.range(300).selectExpr("1 + id % 9 AS k", "timestampadd(HOUR, CAST(id AS INT), timestamp'2024-01-01 00:00:00') AS t", "id AS v")
+    odd = spark.sql("SELECT 0 AS k, CAST(NULL AS timestamp) AS t, 99999999L AS v")
+    rows = rows.union(light).union(odd)
+    cut = ordering.with_even_slices(rows, ["k"], ["t", "v"], most=1000)
+    sizes = [r.n for r in cut.where("k = 0").groupBy("_slice").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 32 and max(sizes) <= 2000
+    assert {tuple(r[0]) for r in cut.where("k > 0").select("_slice").distinct().collect()} == {(0, 0)}
+    placed = ordering.with_position(rows, ["k"], ["t", "v"], None, "at", most=1000)
+    plain = rows.withColumn("want", F.row_number().over(Window.partitionBy("k").orderBy("t", "v")) - 1)
+    assert placed.join(plain.drop("t"), ["k", "v"]).where("at <> want").count() == 0 and placed.count() == 60_301
+    assert placed.columns == ["k", "t", "v", "at"]
+
+
+def test_ranks_of_values_of_any_range(spark):
+    values = spark.range(40_000).selectExpr("CASE WHEN id % 3 = 0 THEN -pow(1.001, id % 9000) ELSE 1e6 * sin(id) + id % 7 END AS x")
+    got = {r.x: r.rank_x for r in judges.average_rank(values, "x", bounded=False).collect()}
+    listed = sorted(r.x for r in values.collect())
+    want, i = {}, 0
+    while i < len(listed):
+        j = i
+        while j < len(listed) and listed[j] == listed[i]:
+            j += 1
+        want[listed[i]] = (i + 1 + j) / 2
+        i = j
+    assert got == want
+    counts = values.groupBy("x").count()
+    sizes = [r.n for r in counts.groupBy(ordering.value_slice(counts, "x").alias("s")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) > 200 and max(sizes) <= 4 * sorted(sizes)[len(sizes) // 2]
+    both = values.selectExpr("x AS tc_a", "-pow(x / 1e6, 3) AS tc_b")
+    assert judges.spearman(both, four_decimals=False).first().spearman == -1
+    placed = judges.ranking(spark.createDataFrame([(-5.0,), (7.5,), (7.5,), (1e9,)], "x double"), "x", "place")
+    assert sorted((r.x, r.place) for r in placed.collect()) == [(-5.0, 4), (7.5, 2), (7.5, 2), (1e9, 1)]
+    assert judges.average_rank(values.limit(0), "x", bounded=False).count() == 0
