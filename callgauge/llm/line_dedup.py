@@ -65,7 +65,8 @@ def clean(docs: DataFrame, text: str = "text", site: str = "source", min_sites:
     lines = keyed.filter(F.col(text).isNotNull()).select(F.col(h1).alias("h1"), F.col(h2).alias("h2"), F.explode(F.array_distinct(F.transform(_lines(F.col(text)), _key))).alias("line"))
     found = lines.join(spread, "line").groupBy("h1", "h2").agg(F.collect_set("line").alias("gone"))
     found = written(found, "lines-found").select(F.col("h1").alias(h1), F.col("h2").alias(h2), F.col("gone").alias(gone))
-    joined = keyed.join(found, [h1, h2], "left")
+    # Sets of lines have no size bound, so they are dealt, not broadcast, at every size.
+    joined = keyed.join(found.hint("merge"), [h1, h2], "left")
     whole = _lines(F.col(text))
     is_spread = lambda x: (F.trim(x) != "") & F.array_contains(F.col(gone), _key(x))
     kept = F.array_join(F.filter(whole, lambda x: ~is_spread(x)), "\n")
