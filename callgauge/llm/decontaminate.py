@@ -3,7 +3,8 @@
 A mask names which of some neighbouring words count; the others are ignored, so a hit survives substituted words. Every
 window of every benchmark item and of every document is hashed under the masks for the item's length, equal hashes meet in a join, and each
 hit fixes an alignment of a document with an item. Around it the aligned words are compared one by one: an overlap is
-verified if some ``WINDOW`` neighbouring words (or the whole of a shorter item) hold at least ``SHARE`` equal ones.
+verified if some ``WINDOW`` neighbouring words (or the whole of a shorter item) hold at least ``SHARE`` equal ones. Items of
+fewer words than ``LEAST_MASKED`` have none to spare: they are looked up whole.
 
 What is found depends on the text alone, so equal texts are treated alike and hits meet their rows by two hashes of the
 text. All of it is SQL expressions.
@@ -19,23 +20,23 @@ from pyspark.sql import functions as F
 from callgauge.llm.common import fresh, small, text_or_empty, written
 
 # 1: the word counts. Every mask begins and ends with a word that counts. Found by enumeration (tests/llm proves it again): any
-# 3 of 13 words substituted leave a window that one of LONG_MASKS hits, and any quarter of 8 to 12 words, rounded down, one
-# of SHORT_MASKS. A passage cut off by an end of the text counts as substituted there.
+# 3 of 13 words substituted leave a window that one of LONG_MASKS hits, any quarter of 8 to 12 words, rounded down, one
+# of SHORT_MASKS, and any one of 5 to 7 words one of BRIEF_MASKS. A passage cut off by an end of the text counts as substituted there.
 LONG_MASKS = ("1111011", "1100010111", "110100111", "11101011", "1100010001011")
 SHORT_MASKS = ("111011", "1001111", "1111001", "10101011", "10110101", "11000111", "11011001")
-SPAN = 8
-# SHORT_MASKS at each place in eight words.
-MASKS = tuple(f"{mask:0>{end}}".ljust(SPAN, "0") for mask in SHORT_MASKS for end in range(len(mask), SPAN + 1))
+BRIEF_MASKS = ("1111", "10111", "11011", "11101")
 WINDOW = 13
 SHARE = 0.75
-LEAST_WORDS = 5
+# Fewest words of an item for each family of masks.
+FAMILIES = ((5, BRIEF_MASKS), (8, SHORT_MASKS), (WINDOW, LONG_MASKS))
+LEAST_MASKED = FAMILIES[0][0]
 # A benchmark of more seeds than this (about 64 MB) is joined by a shuffle, not broadcast.
 BROADCAST_SEEDS = 2_000_000
 
 
 def words(text: Column) -> Column:
-    """64-bit hashes of the lower-case words (runs of letters and digits)."""
-    return F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    """64-bit hashes of the lower-case words (runs of letters and digits); what stands before the first word is none."""
+    return F.transform(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""), lambda w: F.xxhash64(w))
 
 
 def _seeds(own: Column, at: Column, masks: tuple[str, ...]) -> list[Column]:
@@ -51,8 +52,7 @@ def _starts(own: Column, masks: tuple[str, ...]) -> Column:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    own = F.transform(F.filter(F.split(F.lower(text_or_empty("text")), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
-    items = benchmark.select("item_id", own.alias("item")).filter(F.size("item") >= LEAST_WORDS).distinct()
+    items = benchmark.select("item_id", words(text_or_empty("text")).alias("item")).filter(F.size("item") > 0).distinct()
     return items.withColumn("item_key", F.xxhash64("item_id", "item"))
 
 
@@ -62,7 +62,8 @@ def _keys(docs: DataFrame, text: str) -> DataFrame:
 
 def hits(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
     """Distinct (h1, h2, item_key, shift): a seed of the item at position p meets one of the text at p + shift."""
-    kinds = {LONG_MASKS: items.filter(F.size("item") >= WINDOW), SHORT_MASKS: items.filter((F.size("item") >= SPAN) & (F.size("item") < WINDOW))}
+    ends = [least for least, _ in FAMILIES[1:]] + [1 << 30]
+    kinds = {masks: items.filter(F.size("item").between(least, end - 1)) for (least, masks), end in zip(FAMILIES, ends, strict=True)}
     kinds = {masks: long for masks, long in kinds.items() if not long.isEmpty()}
     if not kinds:
         return items.selectExpr("0L AS h1", "0 AS h2", "item_key", "0 AS shift").limit(0)
@@ -78,15 +79,15 @@ def hits(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
     return made.join(seeds, "seed").select("h1", "h2", "item_key", (F.col("pos") - F.col("at")).alias("shift")).distinct()
 
 
-def _short_hits(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
-    """Hits of items with fewer words than a seed spans: their whole sequence of words, by its length."""
-    short = items.filter(F.size("item") < SPAN).select("item_key", F.size("item").alias("n"), F.xxhash64("item").alias("seed"))
+def _whole_hits(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
+    """Hits of items without a word to spare: their whole sequence of words, by its length."""
+    short = items.filter(F.size("item") < LEAST_MASKED).select("item_key", F.size("item").alias("n"), F.xxhash64("item").alias("seed"))
     short = written(short, "short-items")
     if short.isEmpty():
         return short.selectExpr("0L AS h1", "0 AS h2", "item_key", "0 AS shift").limit(0)
-    lengths = sorted(r.n for r in short.select("n").distinct().collect())  # at most SPAN - 1
+    lengths = sorted(r.n for r in short.select("n").distinct().collect())  # fewer than LEAST_MASKED
     rows = _keys(docs.select(F.col(text).alias("text")).filter("text IS NOT NULL"), "text").select("h1", "h2", words(F.col("text")).alias("own"))
-    placed = rows.select("h1", "h2", "own", F.explode(F.sequence(F.lit(0), F.size("own") - 1)).alias("shift"))
+    placed = rows.filter(F.size("own") > 0).select("h1", "h2", "own", F.explode(F.sequence(F.lit(0), F.size("own") - 1)).alias("shift"))
     made = placed.select("h1", "h2", "shift", F.explode(F.array(*[F.xxhash64(F.slice("own", F.col("shift") + 1, F.lit(n))) for n in lengths])).alias("seed"))
     return made.join(short, "seed").select("h1", "h2", "item_key", "shift").distinct()
 
@@ -94,11 +95,11 @@ def _short_hits(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
 def overlaps(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Verified overlaps (h1, h2, item_id, start, n_words, n_equal), the best of each text and item.
 
-    ``h1`` and ``h2`` are the hashes of the text, ``start`` the number of words before the overlap. Null and empty texts or
-    items and items of fewer than ``LEAST_WORDS`` words have no overlaps; repeated items count once; ties go to the first place.
+    ``h1`` and ``h2`` are the hashes of the text, ``start`` the number of words before the overlap. Texts and items that are
+    null or without a word have no overlaps; repeated items count once; ties go to the first place.
     """
     items = written(_items(benchmark), "items")
-    found = written(hits(docs, items, text).unionByName(_short_hits(docs, items, text)), "seed-hits")
+    found = written(hits(docs, items, text).unionByName(_whole_hits(docs, items, text)), "seed-hits")
     keys = found.select("h1", "h2").distinct()
     rows = _keys(docs.select(F.col(text).alias("text")), "text").join(small(written(keys, "hit-texts")), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     rows = rows.select("h1", "h2", words(F.col("text")).alias("own"))

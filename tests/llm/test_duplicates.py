@@ -204,20 +204,16 @@ def plain_words(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
 
-def plain_overlap(doc, item):
-    """Whether some aligned window has enough equal words, and a seed hits on that alignment."""
+def accepted_overlap(doc, item):
+    """The criterion alone: some aligned window with three quarters equal, all of an item of up to four words."""
     d, t = plain_words(doc), plain_words(item)
-    if len(t) < decontaminate.LEAST_WORDS:
-        return False
+    if len(t) < 5:
+        return bool(t) and any(d[i : i + len(t)] == t for i in range(len(d)))
     window = min(decontaminate.WINDOW, len(t))
     for shift in range(-len(t), len(d)):
         equal = [0 <= shift + j < len(d) and d[shift + j] == w for j, w in enumerate(t)]
-        if any(sum(equal[s : s + window]) >= -(-window * 3 // 4) for s in range(len(t) - window + 1)):
-            if len(t) < 8:
-                if all(equal):
-                    return True
-            elif any(all(equal[s + i] for i, m in enumerate(mask) if m == "1") and 0 <= shift + s and shift + s + 8 <= len(d) for mask in decontaminate.MASKS for s in range(len(t) - 7)):
-                return True
+        if any(4 * sum(equal[s : s + window]) >= 3 * window for s in range(len(t) - window + 1)):
+            return True
     return False
 
 
@@ -236,7 +232,7 @@ def test_contamination(spark):
     docs += [None, "", "...", docs[0].upper() + "!", ", ".join(items[5]), "w3 " * 20_000]
     frame = spark.createDataFrame([(i, t, i) for i, t in enumerate(docs)], "doc_id long, text string, h1 int")
     bench = spark.createDataFrame([*enumerate(" ".join(i) for i in items), (99, None), (98, ""), (0, " ".join(items[0]))], "item_id long, text string")
-    want = {(d, i) for d, t in enumerate(docs) for i, item in enumerate(items) if plain_overlap(t, " ".join(item))}
+    want = {(d, i) for d, t in enumerate(docs) for i, item in enumerate(items) if accepted_overlap(t, " ".join(item))}
     assert {(r.doc_id, r.item_id) for r in decontaminate.report(frame, bench).collect()} == want and len(want) > 15
     kept = decontaminate.clean(frame, bench)
     assert kept.columns == frame.columns and {r.doc_id for r in kept.collect()} == set(range(len(docs))) - {d for d, _ in want}
@@ -252,32 +248,21 @@ def leaves_hit(n, gone, masks):
 
 
 def test_masks_hit_every_overlap():
-    for n in range(decontaminate.SPAN, 17):
-        masks = decontaminate.LONG_MASKS if n >= decontaminate.WINDOW else decontaminate.SHORT_MASKS
+    for n in range(decontaminate.LEAST_MASKED, 17):
+        masks = [masks for least, masks in decontaminate.FAMILIES if n >= least][-1]
         most = min(n, decontaminate.WINDOW) // 4
         assert all(leaves_hit(n, set(gone), masks) for k in range(most + 1) for gone in combinations(range(n), k)), n
-    assert all(m[0] == m[-1] == "1" for m in decontaminate.LONG_MASKS + decontaminate.SHORT_MASKS)
-
-
-def accepted_overlap(doc, item):
-    """The criterion alone: some aligned window with three quarters equal."""
-    d, t = plain_words(doc), plain_words(item)
-    window = min(decontaminate.WINDOW, len(t))
-    for shift in range(-len(t), len(d)):
-        equal = [0 <= shift + j < len(d) and d[shift + j] == w for j, w in enumerate(t)]
-        if any(4 * sum(equal[s : s + window]) >= 3 * window for s in range(len(t) - window + 1)):
-            return True
-    return False
+    assert all(m[0] == m[-1] == "1" for _, masks in decontaminate.FAMILIES for m in masks)
 
 
-@pytest.mark.parametrize("lengths", ((13, 16, 25), (8, 9, 12, 30)))
+@pytest.mark.parametrize("lengths", ((13, 16, 25), (8, 9, 12, 30), (5, 6, 7), (1, 2, 3, 4, 5)))
 def test_contamination_needs_no_luck(spark, lengths):
     draw = random.Random(8)
     items = [[f"i{n}w{j}" for j in range(n)] for n in lengths]
     docs = []
     for item in items:
         window = min(decontaminate.WINDOW, len(item))
-        for k in (window // 4, window // 4 + 1):
+        for k in (window // 4, window // 4 + 1)[: window]:
             for _ in range(40):
                 at = draw.randint(0, len(item) - window)
                 text = item[at : at + window]
@@ -289,12 +274,26 @@ def test_contamination_needs_no_luck(spark, lengths):
             docs += [" ".join(item[k:window]), " ".join(item[: window - k])]
     words = items[0]
     docs.append(" ".join(w if i not in (5, 6) else "other" for i, w in enumerate(words)))
+    docs += ["", "?!", f'"{docs[0]}', f"({docs[-1]})"]
     frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
     want = {(d, i) for d, t in enumerate(docs) for i, item in enumerate(items) if accepted_overlap(t, " ".join(item))}
     assert {(r.doc_id, r.item_id) for r in decontaminate.report(frame, bench).collect()} == want and 100 < len(want) < len(docs)
 
 
+def test_overlaps_start_at_their_first_word(spark):
+    item = "one two three four five six"
+    docs = [(1, item), (2, f'"{item}'), (3, f"-- well, {item}"), (4, "x two three four five six"), (5, f"{item} and {item}"), (6, "red"), (7, "a Red. b"), (8, "reddish")]
+    bench = spark.createDataFrame([(0, item), (1, "Red!"), (2, "  ")], "item_id long, text string")
+    made = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id): (r.start, r.n_words, r.n_equal) for r in made} == {
+        **{(d, 0): (at, 6, 6) for d, at in ((1, 0), (2, 0), (3, 1), (5, 0))},
+        (4, 0): (0, 6, 5),
+        (6, 1): (0, 1, 1),
+        (7, 1): (1, 1, 1),
+    }
+
+
 # ---- lines ---------------------------------------------------------------------
 
 
