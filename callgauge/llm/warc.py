@@ -1,7 +1,8 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are sorted by key. A fixed division of the key range, counted in one aggregation of bounded size, is cut into
-shards of about equal bytes, so the same table gives the same files on any cluster. A task writes a shard under
+Records are sorted by key, and a shard is a stretch of about equal bytes of that order, so the same table gives the same
+files on any cluster. Bytes are summed up in slices that follow the data; only where each shard begins goes back to the
+records, by their slice. A task writes a shard under
 temporary names, one gzip member per record, and rolls to a new file when the compressed size passes a limit. Its files
 then take their final names, and the shard's rows go to the manifest. Readers read the files that the manifest names,
 so half-written or repeated attempts are never seen.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callgauge.llm.common import written
@@ -28,9 +29,13 @@ from callgauge.session import scratch_path
 
 ROLL_BYTES = 8 << 20
 # A shard holds a 64th of the table's bytes, but no less and no more than this.
-SHARD_BYTES = (1 << 20, 32 << 20)
-SLICES = 4096
+SHARD_BYTES = (1 << 20, 128 << 20)
+# A shard's first key takes about 200 bytes: at most 100 MB are broadcast.
+BROADCAST_SHARDS = 500_000
+SLICES, DIGITS = 256, 2
 LEAST_REVISIT_BYTES = 100
+CHUNK = 1 << 14
+ROWS = 256
 DATE = "1970-01-01T00:00:00Z"
 SPACE_ID = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 MANIFEST = "shard long, file string, n_records long, compressed_bytes long, first_id long, last_id long, sha256 string"
@@ -54,25 +59,55 @@ def classify(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     return joined.select("page_id", "url", "html", "digest", "size", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
 
-def shards(records: DataFrame, shard_bytes: tuple[int, int] = SHARD_BYTES) -> tuple[Column, int]:
-    """A column giving each record's shard, and their number. The key range is cut into ``SLICES`` equal slices, whose
-    sizes (a bounded table) decide where shards end; a record without a key is in the first."""
-    low, high = records.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        return F.lit(0).cast("long"), 1
-    width = (high - low) // SLICES + 1
-    slice_of = F.coalesce(F.floor((F.col("page_id") - low) / width), F.lit(0)).cast("long")
-    sizes = {r.slice: r.bytes for r in records.groupBy(slice_of.alias("slice")).agg(F.sum(F.col("size") + 512).alias("bytes")).collect()}
-    target = min(max(sum(sizes.values()) // 64, shard_bytes[0]), shard_bytes[1])
-    starts, filled = [0], 0
-    for at in sorted(sizes):
-        if filled >= target:
-            starts.append(at)
-            filled = 0
-        filled += sizes[at]
-    edges = F.array(*[F.lit(low + s * width) for s in starts[1:]]) if len(starts) > 1 else F.array().cast("array<bigint>")
-    shard = F.size(F.filter(edges, lambda e: F.col("page_id") >= e)).cast("long")
-    return F.greatest(shard, F.lit(0).cast("long")), len(starts)
+def with_slice(records: DataFrame, ids: DataFrame, slices: int = SLICES, digits: int = DIGITS) -> DataFrame:
+    """Add ``slice``, an array that ascends with (page_id, digest), nulls first: between which of ``slices`` quantiles of ``ids``
+    a row lies, or on which; ids on a quantile, and nulls, are cut again by the first hexadecimal ``digits`` of the digest.
+
+    So a range full of ids, one outlying id, and an id of very many rows all come apart. The quantiles, one row of bounded
+    size, are a sketch; where shards begin does not depend on them.
+    """
+    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    cuts = sorted(set(ids.agg(F.percentile_approx("page_id", shares, 10 * slices)).first()[0] or []))
+
+    def place(low: int, high: int) -> Column:
+        """A tree of comparisons: 2 * i below the cut i, 2 * i + 1 on it."""
+        if low == high:
+            return F.lit(2 * low)
+        at = (low + high) // 2
+        return F.when(F.col("page_id") == cuts[at], F.lit(2 * at + 1)).when(F.col("page_id") < cuts[at], place(low, at)).otherwise(place(at + 1, high))
+
+    first = F.when(F.col("page_id").isNull(), F.lit(-1)).otherwise(place(0, len(cuts)))
+    second = F.when(first % 2 != 0, F.conv(F.substring("digest", 1, digits), 16, 10).cast("int")).otherwise(F.lit(0))
+    return records.withColumn("slice", F.array(first, second))
+
+
+def with_shard(records: DataFrame, ids: DataFrame, shard_bytes: tuple[int, int] = SHARD_BYTES, most: int = BROADCAST_SHARDS) -> tuple[DataFrame, int]:
+    """``records`` with the column shard, and the number of shards: the bytes before a record in the order of (page_id, digest,
+    url), nulls first, divided by a shard's bytes. Rows equal in all three are together in one shard. Up to ``most`` shards, their first
+    records are broadcast; beyond, records meet their shard by a shuffle."""
+    sliced = with_slice(records, ids)
+    keys = written(sliced.groupBy("slice", "page_id", "digest", "url").agg(F.sum(F.col("size") + 512).alias("bytes")), "warc-keys")
+    # At most two rows for a quantile and 16 ** DIGITS for each of those that stand for one id.
+    sums = keys.groupBy("slice").agg(F.sum("bytes").alias("in_slice"))
+    before = sums.select("slice", F.coalesce(F.sum("in_slice").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    total = sums.agg(F.sum("in_slice")).first()[0] or 0
+    target = min(max(total // 64, shard_bytes[0]), shard_bytes[1])
+    inside = Window.partitionBy("slice").orderBy("page_id", "digest", "url")
+    upto = F.coalesce(F.sum("bytes").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shard = F.floor((F.col("before") + F.col("upto")) / F.lit(target)).cast("long")
+    placed = keys.withColumn("upto", upto).join(before, "slice").withColumn("shard", shard)
+    count = total // target + 1
+    if count > most:
+        names = ("page_id", "digest", "url")
+        dealt = placed.select(*[F.col(n).alias(f"key_{n}") for n in names], "shard")
+        same = [F.col(n).eqNullSafe(F.col(f"key_{n}")) for n in names]
+        return records.join(dealt, same).drop(*[f"key_{n}" for n in names]), count
+    key = F.struct("page_id", "digest", "url")
+    first = placed.groupBy("slice", "shard").agg(F.min(key).alias("key"))
+    starts = first.groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("key", "shard"))).alias("starts"))
+    found = F.element_at(F.filter("starts", lambda start: start["key"] <= key), -1)["shard"]
+    dealt = sliced.join(F.broadcast(written(starts, "warc-shards")), "slice").withColumn("shard", found).drop("starts", "slice")
+    return dealt, count
 
 
 def record_id(page_id: int | None, url: str | None, digest: str) -> str:
@@ -109,7 +144,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_byt
     the committed manifest. A null page is an empty payload; an empty table gives an empty manifest."""
     spark = pages.sparkSession
     records = classify(pages)
-    shard, count = shards(records.select("page_id", "size"), shard_bytes)
+    records, count = with_shard(records, pages.select(F.col("page_id").cast("long").alias("page_id")), shard_bytes)
     file_schema = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("n_records", pa.int64()), ("compressed_bytes", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("sha256", pa.string())])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +164,7 @@ def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_byt
     first, base = pafs.FileSystem.from_uri(folder)
     first.create_dir(base, recursive=True)
     dealt = (
-        records.withColumn("shard", shard)
-        .repartitionById(count, F.col("shard").cast("int"))
+        records.repartitionById(count, F.col("shard").cast("int"))
         .sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", "url")
         .select("shard", "page_id", "url", "html", "digest", "refers_to")
     )
@@ -171,11 +205,16 @@ class _Shard:
 
 
 def parse(data: bytes, file: str) -> Iterator[tuple]:
-    """Rows of ``READ`` from the bytes of an archive; ``fine`` tells whether its digests hold."""
-    at = 0
+    """Rows of ``READ`` and the payload from the bytes of an archive; ``fine`` tells whether its digests hold."""
+    at, whole = 0, memoryview(data)
     while at < len(data):
-        inflate = zlib.decompressobj(31)
-        record = inflate.decompress(memoryview(data)[at:])
+        inflate, parts, fed = zlib.decompressobj(31), [], at
+        while not inflate.eof:
+            if fed >= len(data):
+                raise ValueError(f"{file} ends within a record")
+            parts.append(inflate.decompress(whole[fed : fed + CHUNK]))
+            fed += CHUNK
+        record = b"".join(parts)
         head, _, rest = record.partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         block = rest[: int(fields["Content-Length"])]
@@ -187,19 +226,24 @@ def parse(data: bytes, file: str) -> Iterator[tuple]:
         if kind == "response":
             fine = fine and len(payload) == size and hashlib.sha256(payload).hexdigest() == digest
         url, page, first = fields.get("WARC-Target-URI"), fields.get("Page-ID"), fields.get("Refers-To-Page-ID")
-        yield (page and int(page), url if url is None else _unescaped(url), size, digest, kind, first and int(first), file, at, fine)
-        at = len(data) - len(inflate.unused_data)
+        yield (page and int(page), url if url is None else _unescaped(url), size, digest, kind, first and int(first), file, at, fine, payload if kind == "response" else None)
+        at = min(fed, len(data)) - len(inflate.unused_data)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The records of all files that the manifest names, as ``READ``, without payloads (``payloads`` has them).
+def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
+    """The records of all files that the manifest names, as ``READ``; ``with_payload`` adds the bytes that a record itself holds.
 
     A file is at most the roll size, so it is one task's row. A file that is missing or differs from the manifest, and a
     record whose digests do not hold, end the job with an error.
     """
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("fine", pa.bool_())])
+    columns = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string()}
+    columns |= {"refers_to": pa.int64(), "file": pa.string(), "offset": pa.int64(), "fine": pa.bool_()} | ({"payload": pa.binary()} if with_payload else {})
+    schema = pa.schema(list(columns.items()))
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
         for batch in batches:
@@ -208,17 +252,34 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     data = stream.read()
                 if hashlib.sha256(data).hexdigest() != entry["sha256"]:
                     raise ValueError(f"{entry['file']} differs from the manifest")
-                rows = []
+                rows, n = [], 0
                 for row in parse(data, entry["file"]):
-                    if not row[-1]:
+                    if not row[8]:
                         raise ValueError(f"a digest of page {row[0]} in {entry['file']} does not hold")
-                    rows.append(row)
-                if len(rows) != entry["n_records"]:
-                    raise ValueError(f"{entry['file']} holds {len(rows)} records, not {entry['n_records']}")
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows.append(row if with_payload else row[:9])
+                    n += 1
+                    if len(rows) == ROWS:
+                        yield batch_of(rows)
+                        rows = []
+                if n != entry["n_records"]:
+                    raise ValueError(f"{entry['file']} holds {n} records, not {entry['n_records']}")
+                if rows:
+                    yield batch_of(rows)
 
     files = max(manifest.count(), 1)
-    return manifest.select("file", "sha256", "n_records").repartition(files, "file").mapInArrow(task, READ)
+    return manifest.select("file", "sha256", "n_records").repartition(files, "file").mapInArrow(task, READ + (", payload binary" if with_payload else ""))
+
+
+def payloads(spark: SparkSession, folder: str) -> DataFrame:
+    """(page_id, url, payload) of every record, the payload of a revisit taken from the response that it names."""
+    rows = read(spark, folder, with_payload=True)
+    named = F.col("record_type") == "revisit"
+    asked = rows.filter(named).select("page_id", "url", F.col("refers_to").alias("first_id"), F.col("payload_digest").alias("digest"))
+    wanted = asked.select("first_id", "digest").distinct()
+    held = rows.filter(~named).select(F.col("page_id").alias("first_id"), F.col("payload_digest").alias("digest"), "payload")
+    # A payload that is asked for stands in one row; a much repeated one is split by the join itself.
+    held = held.join(wanted, ["first_id", "digest"], "left_semi").dropDuplicates(["first_id", "digest"])
+    return rows.filter(~named).select("page_id", "url", "payload").unionByName(asked.join(held, ["first_id", "digest"], "left").select("page_id", "url", "payload"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

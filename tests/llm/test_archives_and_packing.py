@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import os
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 
 from callgauge.llm import packing, queries, warc
 from callgauge.llm.common import prepared
+from callgauge.session import scratch_path
 
 SF = "/root/testdata/sf0.001"
 LONG = "<p>" + "payload é " * 30
@@ -49,6 +51,49 @@ def test_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_payloads_come_back(spark):
+    prepared(spark)
+    folder = f"file://{scratch_path(spark, 'warc')}"
+    warc.write(spark.createDataFrame(PAGES, SCHEMA), folder)
+    made = sorted(((str(r.page_id), r.url, bytes(r.payload)) for r in warc.payloads(spark, folder).collect()), key=str)
+    assert made == sorted(((str(i), u, (h or "").encode()) for i, u, h in PAGES), key=str)
+
+
+def test_shards_follow_the_data(spark):
+    """One outlying id, an id and nulls of a third of the rows each: no shard is large, the order holds on both ways."""
+    prepared(spark)
+    rows = [(i, f"u{i}", str(i)) for i in range(2000)] + [(1 << 60, "far", "x")] + [(77, f"v{i}", str(i)) for i in range(2000)] + [(None, f"n{i}", str(i)) for i in range(2000)]
+    pages = spark.createDataFrame(rows, SCHEMA)
+    records = warc.classify(pages)
+    seen = []
+    for most in (1 << 20, 0):
+        dealt, count = warc.with_shard(records, pages.select("page_id"), (20_000, 20_000), most)
+        found = [(r.page_id if r.page_id is not None else -1, r.digest, r.url, r.shard, r.size) for r in dealt.collect()]
+        found.sort()
+        assert len(found) == len(rows) and [r[3] for r in found] == sorted(r[3] for r in found) and found[-1][3] < count
+        held = defaultdict(int)
+        for *_, shard, size in found:
+            held[shard] += size + 512
+        assert len(held) > 100 and max(held.values()) < 21_000
+        seen.append(found)
+    assert seen[0] == seen[1]
+    sizes = [r["count"] for r in warc.with_slice(records, pages.select("page_id")).groupBy("slice").count().collect()]
+    assert max(sizes) < 100
+
+
+def test_parsing_takes_time_in_proportion():
+    record = gzip.compress(warc.make_record(1, "http://a", b"x" * 50, hashlib.sha256(b"x" * 50).hexdigest(), None), 6, mtime=0)
+    taken = {}
+    for n in (500, 8000):
+        data, start = record * n, time.perf_counter()
+        rows = list(warc.parse(data, "f"))
+        taken[n] = time.perf_counter() - start
+        assert [r[7] for r in rows] == [i * len(record) for i in range(n)] and all(r[8] and r[9] == b"x" * 50 for r in rows)
+    assert taken[8000] < 16 * 4 * taken[500]
+    with pytest.raises(ValueError, match="ends within a record"):
+        list(warc.parse(record[:-9], "f"))
+
+
 def test_round_trip_of_the_table(spark):
     pages = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
     assert told(queries.queries()["op1_warc"](spark, SF).collect()) == expected(pages)
