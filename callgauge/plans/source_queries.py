@@ -165,6 +165,22 @@ def transcript_load(t: Tables) -> DataFrame:
     return cases.select("event_id", "case_index", "label", "call_index", "call")
 
 
+@query(
+    "transcript_files",
+    r"""
+SELECT 'L' || event_id AS label, event_type AS prompt, n.call_index, n.call FROM events, LATERAL (SELECT * FROM (VALUES
+  (0, '{"name":"a","text":"{' || event_id || '}}"}'), (1, '{"name":"b","text":"\"}]"}')) x(call_index, call)) n
+""",
+)
+def transcript_files(t: Tables) -> DataFrame:
+    """Cases written to files and read again by byte ranges; their strings hold brackets and quotes."""
+    calls = r"""concat('[{"name":"a","text":"{', event_id, '}}"},{"name":"b","text":"\\"}]"}]')"""
+    lines = t.read("events").selectExpr(f"""concat('{{"label":"L', event_id, '","prompt":"', event_type, '","calls":', {calls}, '}}') AS value""")
+    path = scratch_path(t.spark, "transcripts")
+    lines.write.text(path)
+    return transcripts.load_transcripts(t.spark, path).select("label", "prompt", "call_index", "call")
+
+
 # ---- stage files -----------------------------------------------------------------------
 
 

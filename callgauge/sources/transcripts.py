@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callgauge.functions.variants import kind
+from callgauge.operators.ordering import number_slice
+from callgauge.session import saved
 
 _FALSY_ARGS = "('{}', '[]', 'null', '\"\"', '0', 'false')"
 
@@ -68,10 +70,15 @@ def cases_from_json(docs: DataFrame, column: str = "doc") -> DataFrame:
     wrapped = v.selectExpr(
         "*", f"CASE WHEN {kind('_doc')} = 'ARR' THEN _doc ELSE parse_json(concat('[', {column}, ']')) END AS _list"
     )
-    spark = docs.sparkSession
-    case = spark.tvf.variant_explode(F.col("_list").outer()).selectExpr("pos AS case_index", "value AS _case")
+    case = docs.sparkSession.tvf.variant_explode(F.col("_list").outer()).selectExpr("pos AS case_index", "value AS _case")
     kept = [c for c in docs.columns if c != column]
-    cases = wrapped.lateralJoin(case).selectExpr(
+    return _calls_of(wrapped.lateralJoin(case).select(*kept, "case_index", "_case"), kept)
+
+
+def _calls_of(cases: DataFrame, kept: list[str]) -> DataFrame:
+    """One row per call of each case, a Variant ``_case`` at ``case_index``."""
+    spark = cases.sparkSession
+    cases = cases.selectExpr(
         *kept,
         "case_index",
         "coalesce(try_variant_get(_case, '$.label', 'string'), concat('Case-', case_index + 1)) AS label",
@@ -90,7 +97,96 @@ def cases_from_json(docs: DataFrame, column: str = "doc") -> DataFrame:
     return cases.lateralJoin(call).select(*kept, "case_index", *CASE_FIELDS, "call_index", "call")
 
 
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
+    """The files cut behind every closing brace: (file, block, at, text, depth, inside, list, tail), read by byte ranges.
+
+    ``depth`` and ``inside`` tell how many brackets are open behind a piece and whether a string is; ``tail`` marks what
+    follows the last brace. A range starts behind a brace, so only the quotes and brackets before it have to be known, and
+    these are sums: first of quotes, then of the brackets outside strings, in each range and over the ranges of a file.
+    """
+    raw = spark.read.text(path, lineSep="}").selectExpr(
+        "_metadata.file_path AS file", "_metadata.file_block_start AS block", "monotonically_increasing_id() AS at", "value AS text"
+    )
+    # Behind a brace no escape is open, and in JSON a backslash escapes only inside strings.
+    raw = raw.selectExpr("*", r"""regexp_replace(text, r'\\.', '') AS plain""")
+    raw = raw.selectExpr("*", r"""length(plain) - length(replace(plain, '"', '')) AS quotes""")
+    ranges = saved(raw.groupBy("file", "block").agg(F.sum("quotes").alias("quotes")), "range-quotes")
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.select("file", "block", F.coalesce(F.sum("quotes").over(in_file), F.lit(0)).alias("quotes_before"))
+    in_range = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = raw.withColumn("seen", F.coalesce(F.sum("quotes").over(in_range), F.lit(0))).join(before, ["file", "block"])
+    placed = placed.selectExpr("*", "(quotes_before + seen) % 2 = 1 AS starts_inside", "(quotes_before + seen + quotes) % 2 = 1 AS inside")
+    # A string open at either end is closed there, then all strings go.
+    bare = r"""regexp_replace(concat(if(starts_inside, '"', ''), plain, if(inside, '"', '')), '(?s)"[^"]*"', '')"""
+    placed = placed.selectExpr("file", "block", "at", "text", "inside", f"{bare} AS bare")
+    count = lambda signs: f"(length(bare) - length(translate(bare, '{signs}', '')))"
+    placed = placed.selectExpr("*", f"{count('{')} = 0 AND NOT inside AS no_object", f"{count('[{')} - {count(']}')} AS opened")
+    placed = placed.selectExpr("*", "opened - if(inside, 0, 1) AS step", "regexp_like(bare, '^[\\\\s\ufeff]*\\\\[') AS opens_list")
+    placed = saved(placed.drop("bare"), "pieces")
+    steps = placed.groupBy("file", "block").agg(F.sum("step").alias("step"), F.min_by("opens_list", "at").alias("opens_list"))
+    before = steps.select(
+        "file",
+        "block",
+        F.coalesce(F.sum("step").over(in_file), F.lit(0)).alias("depth_before"),
+        F.first("opens_list").over(Window.partitionBy("file").orderBy("block")).alias("list"),
+    )
+    upto = F.coalesce(F.sum("step").over(in_range), F.lit(0))
+    placed = placed.withColumn("upto", upto).join(before, ["file", "block"]).selectExpr("*", "depth_before + upto AS depth_at_start")
+    return placed.selectExpr(
+        *("file", "block", "at", "text", "list", "inside", "step", "depth_at_start + step AS depth"),
+        "no_object AND depth_at_start <= if(list, 1, 0) AS tail",
+    )
+
+
+def split_cases(spark: SparkSession, path: str) -> DataFrame:
+    """(file, case_index, _case) of transcript files, each read by as many tasks as it has byte ranges.
+
+    A case may span ranges; it is put together by its number. Values of a list that are no objects stand with the next case
+    that is one, and are told apart once they are parsed. A file with nothing but blanks has no cases, objects one after another
+    (JSON lines) are a case each, and a file that ends within a value is an error.
+    """
+    pieces = _pieces(spark, path)
+    cut_off = pieces.groupBy("file").agg(F.sum(F.expr("step + if(tail, 1, 0)")).alias("open"), F.max_by("inside", F.struct("block", "at")).alias("inside"))
+    broken = cut_off.where("open <> 0 OR inside").select("file").first()
+    if broken is not None:
+        raise ValueError(f"MALFORMED: brackets or quotes of {broken.file} do not match")
+    ends = "NOT tail AND NOT inside AND depth = if(list, 1, 0)"
+    pieces = pieces.selectExpr("*", f"CAST({ends} AS INT) AS ends")
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    in_range = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    ended = pieces.groupBy("file", "block").agg(F.sum("ends").alias("n"))
+    ended = ended.select("file", "block", F.coalesce(F.sum("n").over(in_file), F.lit(0)).alias("before"))
+    number = F.col("before") + F.coalesce(F.sum("ends").over(in_range), F.lit(0))
+    part = F.struct("block", "at", F.concat("text", F.when(F.col("tail"), "").otherwise("}")).alias("text"))
+    groups = (
+        pieces.join(ended, ["file", "block"])
+        .withColumn("number", number)
+        .groupBy("file", "number", "list")
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "").alias("text"), F.bool_or("tail").alias("tail"))
+    )
+    # What a group holds beside its values: the list's bracket before the first, a comma before the others, its end.
+    groups = groups.selectExpr("file", "number", "list", "tail", r"regexp_replace(text, '^[\\s\ufeff]+', '') AS text")
+    body = r"if(list, regexp_replace(if(tail, regexp_replace(text, '\\]\\s*$', ''), text), if(number = 0, '^\\[', '^,'), ''), text)"
+    groups = saved(groups.selectExpr("file", "number", "tail", f"parse_json(concat('[', {body}, ']')) AS _list"), "case-groups")
+    # Nearly all groups hold one value: only the others move the numbers behind them. Behind the last brace none is left.
+    size = "size(CAST(_list AS ARRAY<VARIANT>))"
+    others = groups.where(f"{size} <> 1 AND NOT tail").selectExpr("file", "number AS other", f"{size} - 1 AS more")
+    others = saved(others, "uneven-groups")
+    if not others.isEmpty():
+        moves = groups.select("file", "number").withColumn("_slice", number_slice("number", 100_000))
+        moves = moves.join(others, (moves["file"] == others["file"]) & (moves["number"] == others["other"]), "left").select(moves["file"], "number", "_slice", F.coalesce("more", F.lit(0)).alias("more"))
+        sums = moves.groupBy("file", "_slice").agg(F.sum("more").alias("n"))
+        upto = Window.partitionBy("file").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.select("file", "_slice", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
+        inside = Window.partitionBy("file", "_slice").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+        moves = moves.withColumn("moved", F.coalesce(F.sum("more").over(inside), F.lit(0))).join(sums, ["file", "_slice"])
+        groups = groups.join(moves.selectExpr("file", "number", "before + moved AS moved"), ["file", "number"])
+    else:
+        groups = groups.withColumn("moved", F.lit(0))
+    value = spark.tvf.variant_explode(F.col("_list").outer()).selectExpr("pos", "value AS _case")
+    return groups.lateralJoin(value).selectExpr("file", "CAST(number + moved + pos AS INT) AS case_index", "_case")
+
+
 def load_transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """Read transcript JSON files; each file is one document."""
-    docs = spark.read.text(path, wholetext=True).selectExpr("_metadata.file_path AS file", "value AS doc")
-    return cases_from_json(docs)
+    """Read transcript JSON files, lists of cases or lone cases, of any size."""
+    return _calls_of(split_cases(spark, path), ["file"])

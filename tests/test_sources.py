@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import pytest
 
@@ -56,6 +57,41 @@ def test_transcript_files(spark, tmp_path):
     assert [(r.label, r.kind, r.call_index, r.call) for r in rows] == [("a", "correct", 0, '{"name":"x"}'), ("a", "correct", 1, '{"name":"y"}')]
 
 
+def test_split_files_equal_whole_ones(spark, tmp_path):
+    draw = random.Random(4)
+    signs = ["}", "{", "[", "]", '"', "\\", ",", " ", "a", "é", "😀", "\n"]
+    text = lambda: "".join(draw.choice(signs) for _ in range(draw.randint(0, 12)))
+
+    def case():
+        calls = [{"name": text(), "arguments": {text(): [text(), {"x": {}}]}} for _ in range(draw.randint(0, 3))]
+        return draw.choice([{"label": text(), "calls": calls}, {"prompt": text(), "agent_calls": {"name": text()}}, {}])
+
+    odd = lambda: draw.choice([1, "}", "]", None, [], [[{"a": "]"}]], ["}"], True])
+    values = [[case() for _ in range(n)] for n in (0, 1, 2, 40)]
+    values += [[case() if draw.random() < 0.5 else odd() for _ in range(30)] for _ in range(3)] + [["a}b"], ["a}b}c", 1], [5], case(), {"calls": {"name": "}"}}, {"a": {}, "b": 1}]
+    for n, value in enumerate(values):
+        (tmp_path / f"{n}.json").write_text(draw.choice(["", " \n"]) + json.dumps(value, indent=draw.choice([None, 1]), ensure_ascii=draw.random() < 0.5) + draw.choice(["", "\n", " "]))
+    (tmp_path / "blank.json").write_text(" \n")
+    whole = spark.read.text(str(tmp_path), wholetext=True).where("trim(value) <> '\n'").selectExpr("_metadata.file_path AS file", "value AS doc")
+    order = lambda rows: sorted((tuple(r) for r in rows), key=str)
+    want = order(transcripts.cases_from_json(whole).collect())
+    usual = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("40b", "333b", usual):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            assert order(transcripts.load_transcripts(spark, str(tmp_path)).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", usual)
+    assert len(want) > 150
+
+
+@pytest.mark.parametrize("text", ('[{"a": 1}', '[{"a": 1}, {"b', '{"a": "}', "{broken"))
+def test_files_cut_off_are_an_error(spark, tmp_path, text):
+    (tmp_path / "t.json").write_text(text)
+    with pytest.raises(Exception, match="MALFORMED"):
+        transcripts.load_transcripts(spark, str(tmp_path)).collect()
+
+
 def test_generated_calls_are_valid_and_cover_every_tool(spark, root):
     spec = specs.load_spec(spark, root, lint.empty_rules(spark))
     tools = spec.tools.selectExpr("*", "crc32(tool_name) AS tool_pos")
