@@ -69,14 +69,10 @@ def with_slice(records: DataFrame, ids: DataFrame, slices: int = SLICES, digits:
     shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     cuts = sorted(set(ids.agg(F.percentile_approx("page_id", shares, 10 * slices)).first()[0] or []))
 
-    def place(low: int, high: int) -> Column:
-        """A tree of comparisons: 2 * i below the cut i, 2 * i + 1 on it."""
-        if low == high:
-            return F.lit(2 * low)
-        at = (low + high) // 2
-        return F.when(F.col("page_id") == cuts[at], F.lit(2 * at + 1)).when(F.col("page_id") < cuts[at], place(low, at)).otherwise(place(at + 1, high))
-
-    first = F.when(F.col("page_id").isNull(), F.lit(-1)).otherwise(place(0, len(cuts)))
+    # Twice the number of cuts below, one more on a cut.
+    bounds = F.array(*[F.lit(cut) for cut in cuts]).cast("array<bigint>")
+    place = F.size(F.filter(bounds, lambda cut: cut < F.col("page_id"))) * 2 + F.array_contains(bounds, F.col("page_id")).cast("int")
+    first = F.when(F.col("page_id").isNull(), F.lit(-1)).otherwise(place)
     second = F.when(first % 2 != 0, F.conv(F.substring("digest", 1, digits), 16, 10).cast("int")).otherwise(F.lit(0))
     return records.withColumn("slice", F.array(first, second))
 
