@@ -40,6 +40,15 @@ GAP_STRONG = 0.15
 GAP_WEAK = 0.05
 LOW_SUBSCORE = 0.8
 
+# Indicators with their target and alert mark; a "least" indicator alerts below its mark, a "most" one above it.
+INDICATORS = (
+    ("false_pass_rate", "most", 0.0, 0.0),
+    ("discrimination_gap", "least", 0.200, 0.180),
+    ("lint_coverage", "least", 1.0, 1.0),
+    ("grounding_ratio", "least", 0.80, 0.75),
+    ("judge_correlation", "least", 0.85, 0.80),
+)
+
 # Aliases agents make up, and the key that was meant.
 PARAM_ALIASES = (
     ("ratio", "aspect_ratio"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from callgauge import fixed
 from callgauge.operators.lint import Spec, call_verdicts, flag_frame, violations
 from callgauge.operators.scoring import collapse, tool_calling
+from callgauge.session import literal_table
 
 
 def quarantine(calls: DataFrame, spec: Spec) -> DataFrame:
@@ -72,3 +73,15 @@ def consensus(scores: DataFrame) -> DataFrame:
         F.min("tc").alias("lowest"), F.expr("bool_or(collapsed <> 'none')").alias("collapsed")
     )
     return per_case.withColumn("blocked", F.expr(f"lowest < {fixed.JUDGE_FLOOR} OR collapsed"))
+
+
+def indicators(values: DataFrame) -> DataFrame:
+    """Rows (indicator, scope, value) against target and alert mark; state is met, short, alert or, without a value, unknown.
+
+    "short" misses the target and is not yet an alert. Indicators without a mark are left out.
+    """
+    marks = literal_table(values.sparkSession, list(fixed.INDICATORS), "indicator string, bound string, target double, alert double")
+    held = values.join(F.broadcast(marks), "indicator")  # a fixed handful of rows
+    worse = lambda mark: f"IF(bound = 'most', value > {mark}, value < {mark})"
+    state = f"CASE WHEN value IS NULL THEN 'unknown' WHEN {worse('alert')} THEN 'alert' WHEN {worse('target')} THEN 'short' ELSE 'met' END"
+    return held.selectExpr("indicator", "scope", "value", "target", "alert", f"{state} AS state")

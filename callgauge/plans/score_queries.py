@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callgauge import fixed
-from callgauge.operators import evaluation, gates, judges, lint, scoring
+from callgauge.operators import evaluation, gates, generation, intervals, judges, lint, scoring
 from callgauge.plans.fixtures import Tables
+from callgauge.plans.generation_queries import rows as registry_rows
 from callgauge.plans.registry import CTES, query
 
 # ---- SQL of the scores ------------------------------------------------------------
@@ -493,6 +494,101 @@ def consensus_gate(t: Tables) -> DataFrame:
     return gates.consensus(scored(t, False))
 
 
+# ---- intervals ----------------------------------------------------------------------------
+
+CTES["poisson_draws"] = (
+    "SELECT * FROM (VALUES (0, 1::BIGINT, 1::BIGINT, 0::BIGINT), "
+    + ", ".join(f"({r}, {a}, {b}, {c})" for r, (a, b, c) in enumerate(intervals.multipliers(), 1))
+    + ") d(replicate, a, b, c)"
+)
+_PART = f"CAST('0x' || substr(md5(CAST(call_id AS VARCHAR)), {{0}}, 8) AS BIGINT) % {intervals.PRIME}"
+_DRAW = f"(({_PART.format(1)}) * a % {intervals.PRIME} + ({_PART.format(9)}) * b % {intervals.PRIME} + c) % {intervals.PRIME}"
+_TIMES = " + ".join(f"CAST(u >= {t} AS BIGINT)" for t in intervals.thresholds())
+
+
+def _weighed(table: str, kept: str) -> str:
+    return (
+        f"SELECT {kept}, replicate, CASE WHEN replicate = 0 THEN 1 ELSE {_TIMES} END AS w"
+        f" FROM (SELECT *, {_DRAW} AS u FROM {table}, poisson_draws)"
+    )
+
+
+def _bounds(name: str) -> str:
+    end = lambda share: f"round(quantile_cont(CASE WHEN replicate > 0 THEN {name} END, {share}), 6)"
+    return f"round(max(CASE WHEN replicate = 0 THEN {name} END), 6) AS {name}, {end(0.025)} AS {name}_low, {end(0.975)} AS {name}_high"
+
+
+CTES["weighed_scores"] = _weighed("scored_plain", "judge, kind, CAST(round(tc * 10000) AS BIGINT) AS s")
+CTES["weighed_pairs"] = _weighed("judge_pair", "CAST(round(tc_a * 10000) AS BIGINT) AS x, CAST(round(tc_b * 10000) AS BIGINT) AS y")
+
+
+@query(
+    "judge_intervals",
+    f"""
+SELECT judge, {_bounds('gap')}, {_bounds('false_pass')} FROM (
+  SELECT judge, replicate,
+    CAST(sum(w * s) FILTER (WHERE kind = 'correct') AS DOUBLE) / (nullif(CAST(sum(w) FILTER (WHERE kind = 'correct') AS DOUBLE), 0) * 10000)
+    - CAST(sum(w * s) FILTER (WHERE kind = 'broken') AS DOUBLE) / (nullif(CAST(sum(w) FILTER (WHERE kind = 'broken') AS DOUBLE), 0) * 10000) AS gap,
+    CAST(coalesce(sum(w) FILTER (WHERE kind = 'broken' AND s >= 9000), 0) AS DOUBLE) / nullif(CAST(sum(w) FILTER (WHERE kind = 'broken') AS DOUBLE), 0) AS false_pass
+  FROM weighed_scores GROUP BY judge, replicate)
+GROUP BY judge
+""",
+)
+def judge_intervals(t: Tables) -> DataFrame:
+    """How sure the gap and the false pass rate of each judge are."""
+    return intervals.judge_intervals(scored(t, False), ["judge"], fixed.FALSE_PASS)
+
+
+@query(
+    "agreement_intervals",
+    f"""
+SELECT {_bounds('pearson')} FROM (
+  SELECT replicate, CAST(n * xy - x * y AS DOUBLE) / nullif(sqrt(CAST(n * xx - x * x AS DOUBLE)) * sqrt(CAST(n * yy - y * y AS DOUBLE)), 0) AS pearson
+  FROM (SELECT replicate, sum(w) AS n, sum(w * x) AS x, sum(w * y) AS y, sum(w * x * x) AS xx, sum(w * y * y) AS yy, sum(w * x * y) AS xy
+    FROM weighed_pairs GROUP BY replicate))
+""",
+)
+def agreement_intervals(t: Tables) -> DataFrame:
+    """How sure the correlation of the two judges is."""
+    return intervals.agreement_intervals(_pairs(t))
+
+
+_MARKS = ", ".join(f"('{i}', '{b}', {t}::DOUBLE, {a}::DOUBLE)" for i, b, t, a in fixed.INDICATORS)
+
+
+@query(
+    "indicator_gates",
+    f"""
+SELECT indicator, scope, value, target, alert,
+  CASE WHEN value IS NULL THEN 'unknown' WHEN (bound = 'most' AND value > alert) OR (bound = 'least' AND value < alert) THEN 'alert'
+    WHEN (bound = 'most' AND value > target) OR (bound = 'least' AND value < target) THEN 'short' ELSE 'met' END AS state
+FROM (
+  SELECT 'false_pass_rate' AS indicator, judge AS scope, round(CAST(count(*) FILTER (WHERE tc >= 0.9) AS DOUBLE) / count(*), 4) AS value FROM scored_plain WHERE kind = 'broken' GROUP BY judge
+  UNION ALL SELECT 'discrimination_gap', judge, round(coalesce(avg(tc) FILTER (WHERE kind = 'correct'), 0) - coalesce(avg(tc) FILTER (WHERE kind = 'broken'), 0), 3) FROM scored_plain GROUP BY judge
+  UNION ALL SELECT 'lint_coverage', 'all', round(CAST(count(DISTINCT v.call_id) AS DOUBLE) / count(DISTINCT c.call_id), 4) FROM calls c LEFT JOIN violations v USING (call_id) WHERE c.fault_no < 13
+  UNION ALL SELECT 'grounding_ratio', 'all', round(avg(CASE WHEN confidence = 'high' THEN 1.0 ELSE 0.0 END), 4) FROM spec_grounded
+  UNION ALL SELECT 'judge_correlation', 'all', round(corr(tc_a, tc_b), 6) FROM judge_pair) i
+JOIN (VALUES {_MARKS}) m(indicator, bound, target, alert) USING (indicator)
+""",
+)
+def indicator_gates(t: Tables) -> DataFrame:
+    """All indicators of a run in one table, each against its target and alert mark."""
+    scores = scored(t, False)
+    _, steps = generation.scenarios(registry_rows(t))
+    coverage = gates.lint_coverage(t.calls_unordered.where("fault_no < 13"), t.media_spec)
+    parts = [
+        false_pass_rate(t).selectExpr("'false_pass_rate' AS indicator", "judge AS scope", "rate AS value"),
+        judges.discrimination(scores, ["judge"]).selectExpr("'discrimination_gap'", "judge", "gap"),
+        coverage.selectExpr("'lint_coverage'", "'all'", "coverage"),
+        generation.grounding_ratio(generation.ground(steps, t.spec_seeds)).selectExpr("'grounding_ratio'", "'all'", "ratio"),
+        judges.pearson(_pairs(t)).selectExpr("'judge_correlation'", "'all'", "pearson"),
+    ]
+    values = parts[0]
+    for part in parts[1:]:
+        values = values.union(part)
+    return gates.indicators(values)
+
+
 @query("agreement_alert", "SELECT round(corr(tc_a, tc_b), 6) AS pearson, corr(tc_a, tc_b) < 0.80 AS alert FROM judge_pair")
 def agreement_alert(t: Tables) -> DataFrame:
     return judges.pearson(_pairs(t)).selectExpr("pearson", f"pearson < {fixed.AGREEMENT_ALERT} AS alert")

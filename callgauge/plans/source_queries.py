@@ -299,16 +299,30 @@ UNION ALL SELECT 'metadata', count(*) FROM server_sizes
 """,
 )
 def harness_export(t: Tables) -> DataFrame:
-    """All stages written as JSON and read back."""
+    """All stages published together as JSON and read back."""
     made = g.harness(t.spec_tools, t.spec_params, t.spec_seeds)
-    paths = sinks.export_harness(made, scratch_path(t.spark, "harness"))
+    root = scratch_path(t.spark, "harness")
+    sinks.publish(made, root)
     out = None
-    for name, path in paths.items():
-        back = t.spark.read.schema(made[name].schema).json(path).agg(F.count("*").alias("n")).withColumn("stage", F.lit(name))
-        out = back if out is None else out.unionByName(back)
+    for name, back in sinks.published(t.spark, root).items():
+        counted = back.agg(F.count("*").alias("n")).withColumn("stage", F.lit(name))
+        out = counted if out is None else out.unionByName(counted)
     return out.select("stage", "n")
 
 
+@query(
+    "harness_republished",
+    "SELECT tool_name, confidence, count(*) AS steps FROM spec_grounded GROUP BY tool_name, confidence",
+)
+def harness_republished(t: Tables) -> DataFrame:
+    """Steps of the second of two published runs; the first one held no step."""
+    made = g.harness(t.spec_tools, t.spec_params, t.spec_seeds)
+    root = scratch_path(t.spark, "harness")
+    sinks.publish({"mock_steps": made["mock_steps"].where("false")}, root)
+    sinks.publish({"mock_steps": made["mock_steps"]}, root)
+    return sinks.published(t.spark, root)["mock_steps"].groupBy("tool_name", "confidence").agg(F.count("*").alias("steps"))
+
+
 @query(
     "result_json",
     "SELECT call_id, judge, '{\"tc\":' || CAST(tc AS VARCHAR) || ',\"kind\":\"' || kind || '\"}' AS result FROM scored_plain",

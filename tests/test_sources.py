@@ -7,7 +7,7 @@ import pytest
 
 from callgauge.operators import generation as g
 from callgauge.operators import lint
-from callgauge.sources import specs, transcripts
+from callgauge.sources import sinks, specs, transcripts
 
 SPEC = {"tools": [
     {"name": "draw", "description": "Draws", "inputSchema": {"type": "object", "properties": {
@@ -103,3 +103,23 @@ def test_generated_calls_are_valid_and_cover_every_tool(spark, root):
     partial = steps.where("tool_name <> 'draw'")
     filled = partial.unionByName(g.coverage_scenarios(g.uncovered(tools, partial)).select(*g.STEP))
     assert g.uncovered(tools, filled).count() == 0
+
+
+def test_only_whole_runs_are_published(spark, tmp_path):
+    root = str(tmp_path / "harness")
+    with pytest.raises(ValueError):
+        sinks.published(spark, root)
+    one = spark.createDataFrame([(1, "a", [2]), (2, None, [])], "id bigint, text string, list array<int>")
+    sinks.publish({"steps": one, "turns": one.where("false")}, root)
+    assert sinks.published_counts(spark, root) == {"steps": 2, "turns": 0}
+    broken = one.selectExpr("id", "text", "IF(id = 2, array(CAST(raise_error('lost') AS INT)), list) AS list")
+    with pytest.raises(Exception, match="lost"):
+        sinks.publish({"steps": one.limit(1), "turns": broken}, root)
+    assert sinks.published_counts(spark, root) == {"steps": 2, "turns": 0}
+    back = sinks.published(spark, root)
+    assert sorted(back["steps"].collect()) == sorted(one.collect()) and back["turns"].count() == 0
+    assert back["steps"].dtypes == one.dtypes
+    held = back["steps"]
+    sinks.publish({"steps": one.where("id = 1")}, root, fmt="parquet")
+    assert [r.id for r in sinks.published(spark, root)["steps"].collect()] == [1]
+    assert held.count() == 2  # who still reads the run before is not disturbed
