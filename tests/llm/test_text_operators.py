@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -143,6 +145,86 @@ def test_short_neighbours_of_the_best_container_stay(beside, text):
     assert html_text.main_text(f"<body>{LONG}{beside}</body>") == (f"{SHOWN}\n\n{text}" if text else SHOWN)
 
 
+PROSE = "A long paragraph of the article, with commas, and more words, so that it gets points."
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article><h1>T</h1><p>{PROSE}</p><section id='discussion'><h2>D</h2><p>{PROSE}</p></section></article>", ["T", PROSE, "D", PROSE]),
+    (f"<article><h1>T</h1><p>{PROSE}</p><h2 id='side-effects'>S</h2><p>{PROSE}</p></article>", ["T", PROSE, "S", PROSE]),
+    (f"<div id='copyright-law-explained'><h1>T</h1><p>{PROSE}</p></div><div><p>Other words</p></div>", ["T", PROSE, "Other words"]),
+    (f"<form action='x'><input name='v'><div><h1>T</h1><p>{PROSE}</p><p>{PROSE}</p></div><button>go</button></form>", ["T", PROSE, PROSE]),
+    (f"<form><div><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></div><label>L</label></form>", [PROSE] * 3),
+    (f"<header><h1>Site</h1></header><article><header><h1>T</h1><p>by me</p></header><p>{PROSE}</p></article>", ["T", PROSE]),
+    # What readers write, notices and forms go, however much prose they hold.
+    (f"<article><h1>T</h1><p>{PROSE}</p><div id='comments'><article class='comment'><p>{PROSE * 9}</p></article></div></article>", ["T", PROSE]),
+    (f"<div class='content'><p>{PROSE}</p></div><section id='comments'><p>{PROSE * 20}</p></section>", [PROSE]),
+    (f"<div class='header'><h1>Site</h1></div><div><p>{PROSE}</p></div><div id='cookie-notice'><p>{PROSE}</p></div>", [PROSE]),
+    (f"<article><h1>T</h1><p>{PROSE}</p></article><form><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></form>", ["T", PROSE]),
+    (f"<section id='discussion'><p>{PROSE}</p></section><article><p>{PROSE} 2</p></article>", [f"{PROSE} 2"]),
+])
+def test_words_of_an_id_do_not_decide_against_the_article(page, text):
+    assert html_text.main_text(f"<body>{page}</body>") == "\n\n".join(text)
+
+
+def made_page(rng: random.Random) -> tuple[str, list[str]]:
+    """A page of a known article among parts that are not it, with ids, forms and wrappers at random."""
+    prose = lambda: " ".join(rng.choice(("river", "stone", "light,", "paper", "green", "walks")) for _ in range(rng.randint(25, 60)))
+    slug = lambda: rng.choice(("side-effects", "legal-history", "ad-hoc-methods", "tags-of-old", "share-prices", "x1"))
+    body, blocks = [], []
+    for _ in range(rng.randint(2, 6)):
+        kind, text = rng.choice(("p", "p", "h2", "list", "section", "quote")), prose()
+        if kind == "h2":
+            body.append(f'<h2 id="{slug()}">{text}</h2>')
+        elif kind == "list":
+            body.append(f"<ul><li>{text}</li><li>{text} 2</li></ul>")
+            text = (text, f"{text} 2")
+        elif kind == "section":
+            body.append(f'<section id="{rng.choice((slug(), "discussion", "legal", "feedback"))}"><h3>About</h3><p>{text}</p></section>')
+            text = ("About", text)
+        else:
+            body.append(f"<p>{text}</p>" if kind == "p" else f"<blockquote><p>{text}</p></blockquote>")
+        blocks += text if isinstance(text, tuple) else (text,)
+        if rng.random() < 0.3:
+            body.append(rng.choice((f'<aside>{prose()}</aside>', f'<div class="ad">{prose()}</div>', f'<div class="share-buttons"><a href="#">s</a></div>')))
+    title = prose()
+    head = f"<header><h1>{title}</h1><p>by a writer</p></header>" if rng.random() < 0.5 else f"<h1>{title}</h1>"
+    page = f'<article id="{slug()}">{head}{"".join(body)}</article>'
+    if rng.random() < 0.5:
+        page = f'<div id="{slug()}">{page}</div>'
+    page += f'<div id="comments"><div class="comment"><p>{prose()}</p></div><form><p>{prose()}</p></form></div>' if rng.random() < 0.5 else ""
+    page = f"<nav><ul><li><a>{prose()}</a></li></ul></nav><header><h2>Site</h2></header>{page}<footer><p>{prose()}</p></footer>"
+    if rng.random() < 0.4:
+        page = f"<form action='/p'><input type='hidden'>{page}</form>"
+    return f"<html><head><title>{title}</title></head><body>{page}</body></html>", [title, *blocks]
+
+
+def test_random_pages_give_their_article():
+    rng = random.Random(11)
+    for _ in range(300):
+        page, blocks = made_page(rng)
+        assert html_text.main_text(page) == "\n\n".join(blocks), page
+
+
+@pytest.mark.parametrize("page", [
+    *["<body>" + f"<{kind}>" * 20_000 + PROSE + f"</{kind}>" * 20_000 for kind in ("blockquote", "div", "b", "ul", "section")],
+    "<b><p>" + "<i>" * 20_000 + "</b>" * 20_000 + "<p>x" * 20_000,
+    "<ul>" + "<li><b>a, b" * 20_000,
+])
+def test_main_text_is_linear_in_deep_pages(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5  # a walk of every subtree takes minutes
+
+
+def test_main_text_of_nulls_repeats_and_clashing_names(spark):
+    page = f"<article><p>{PROSE}</p></article>"
+    rows = [(1, None, "a", 7), (2, "", "b", 7), (3, page, "c", 7), (3, page, "c", 7), (None, "<p>", "d", None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int")
+    got = sorted((str(r.page_id), r.text, r.n_chars) for r in html_text.extract(pages).collect())
+    assert got == [("1", "", 0), ("2", "", 0), ("3", PROSE, len(PROSE)), ("3", PROSE, len(PROSE)), ("None", "", 0)]
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 def test_main_text_query(spark):
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     rows = queries.queries()["op2_main_text"](spark, SF).collect()
