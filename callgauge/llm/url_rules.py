@@ -1,8 +1,9 @@
 """URL filtering by hand rules and by association rules mined with FP-growth.
 
 Hand rules name a host and the start of a path; the longest that fits decides. Labelled URLs become sets of tokens
-(scheme, host with its parent domains, words of the path and the names of query keys) plus a label token; FP-growth
-counts the frequent sets in a distributed way, and the rules ``tokens -> block`` that are confident enough, and more
+(scheme, host with its parent domains, words of the path and the names of query keys) plus a label token. Tokens that stand
+in the same rows are mined as one, so that k of them do not make 2^k frequent sets. FP-growth counts the sets in a
+distributed way, and the rules ``tokens -> block`` that are confident enough, and more
 confident than every rule on a part of their tokens, form an inverted index under their rarest token. URLs meet the
 index by a join on that token, so no URL is compared with all rules.
 """
@@ -67,15 +68,42 @@ def tokens(url: Column) -> Column:
     return F.when(_rest(url).isNotNull(), made).otherwise(F.array().cast("array<string>"))
 
 
+def same_rows(listed: DataFrame, min_support: float) -> DataFrame:
+    """(token, first) for each token frequent enough: ``first`` is the smallest token that stands in the same rows.
+
+    Row sets are told apart by their size and two sums of 64-bit hashes over the rows' tokens and labels: tokens of the same
+    rows always meet, others with negligible chance. At most (mean tokens of a row) / ``min_support`` tokens are frequent.
+    """
+    key = F.struct(F.array_sort("tokens"), "blocked")
+    hashed = listed.select("tokens", F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g"))
+    total = lambda c: F.sum(F.col(c).cast("decimal(20,0)")).alias(c)
+    # A token that many rows share is summed up in each task first.
+    prints = hashed.select(F.explode("tokens").alias("token"), "h", "g").groupBy("token").agg(F.count("*").alias("n"), total("h"), total("g"))
+    n_rows = listed.agg((F.count("*") * min_support).alias("least"))
+    frequent = prints.crossJoin(F.broadcast(n_rows)).filter(F.col("n") >= F.col("least"))  # one row
+    return frequent.groupBy("n", "h", "g").agg(F.min("token").alias("first"), F.collect_list("token").alias("all")).select("first", F.explode("all").alias("token"))
+
+
+def _merged(listed: DataFrame, same: DataFrame) -> DataFrame:
+    """Item sets: the first token of every class a row holds, and the label of blocked rows. Rows without a frequent token keep theirs empty."""
+    numbered = listed.withColumn("id", F.monotonically_increasing_id())
+    firsts = numbered.select("id", "blocked", F.explode("tokens").alias("token")).join(same, "token", "left")
+    items = firsts.groupBy("id", "blocked").agg(F.collect_set("first").alias("firsts"))
+    return items.select(F.when(F.col("blocked"), F.array_append("firsts", F.lit(LABEL))).otherwise(F.col("firsts")).alias("items"))
+
+
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (rule_id, antecedent, confidence, support, key) from ``labelled`` (tokens: array, blocked: boolean).
+    """Rules (rule_id, antecedent, members, confidence, support, key) from ``labelled`` (tokens: array, blocked: boolean).
 
     A rule survives if it holds at ``min_support`` of all rows and ``min_confidence`` of those it fits, and no rule on a
-    proper part of its tokens is as confident. ``min_support`` bounds the number of rules whatever the number of rows. ``key``
-    is its rarest token. Rows with null labels count as not blocked; an empty table gives no rules.
+    proper part of its tokens is as confident. A token of ``antecedent`` stands for all ``members`` at its place, tokens of the
+    same rows; a URL with any of them has it. ``key`` is a token of the rarest place, one row for each. How many sets
+    are frequent depends on the tokens' overlap, not on the number of rows: k tokens whose rows are contained in each other without being
+    equal still make 2^k. Rows with null labels count as not blocked; an empty table gives no rules.
     """
-    items = F.when(F.coalesce("blocked", F.lit(False)), F.array_append("tokens", F.lit(LABEL))).otherwise(F.col("tokens"))
-    rows = labelled.filter(F.size("tokens") > 0).select(F.array_distinct(items).alias("items"))
+    listed = labelled.filter(F.size("tokens") > 0).select(F.array_distinct("tokens").alias("tokens"), F.coalesce("blocked", F.lit(False)).alias("blocked"))
+    same = written(same_rows(listed, min_support), "url-same")
+    rows = written(_merged(listed, same), "url-items")
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
     sets = written(model.freqItemsets, "url-sets")
     all_rows = rows.agg(F.count("*").alias("n_rows"))
@@ -103,7 +131,13 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence:
         .groupBy("antecedent", "confidence", "support")
         .agg(F.min(F.struct("n_fits", "token")).alias("rarest"))
     )
-    return keyed.select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "confidence", "support", F.col("rarest.token").alias("key"))
+    members = same.groupBy("first").agg(F.array_sort(F.collect_list("token")).alias("group"))
+    grouped = keyed.select("*", F.posexplode("antecedent").alias("place", "token")).join(members, F.col("token") == F.col("first"))
+    whole = grouped.groupBy("antecedent", "confidence", "support", "rarest").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "group"))), lambda g: g["group"]).alias("members")
+    )
+    keys = F.element_at("members", F.array_position("antecedent", F.col("rarest.token")).cast("int"))
+    return whole.select(F.xxhash64("antecedent").alias("rule_id"), "antecedent", "members", "confidence", "support", F.explode(keys).alias("key"))
 
 
 def apply(urls: DataFrame, rules: DataFrame, url: str = "url", out: str = "mined") -> DataFrame:
@@ -114,7 +148,7 @@ def apply(urls: DataFrame, rules: DataFrame, url: str = "url", out: str = "mined
     rows = keyed.select(F.col(rid).alias("rid"), tokens(F.col(url)).alias(inner)).select("rid", inner, F.explode(inner).alias("key"))
     hits = (
         rows.join(rules, "key")
-        .filter(F.size(F.array_except("antecedent", inner)) == 0)
+        .filter(F.forall("members", lambda tokens_of: F.arrays_overlap(tokens_of, F.col(inner))))
         .groupBy("rid")
         .agg(F.sort_array(F.collect_set(F.struct("confidence", "rule_id")), asc=False).alias(out))
     )

@@ -9,6 +9,7 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from callgauge.llm import html_text, pii, queries, url_rules
 
@@ -263,8 +264,6 @@ def test_url_rules(spark):
 def test_mined_rules_match_brute_force(spark):
     urls = [(f"http://h{i % 5}.x/{'bad' if i % 3 == 0 else 'good'}/{'p' if i % 2 else 'q'}", i % 3 == 0 and i % 2 == 1) for i in range(300)]
     frame = spark.createDataFrame(urls, "url string, blocked boolean")
-    from pyspark.sql import functions as F
-
     labelled = frame.select(url_rules.tokens(F.col("url")).alias("tokens"), "blocked")
     rules = url_rules.mine(labelled, 0.01, 0.9).collect()
     assert {tuple(r.antecedent) for r in rules} == {("path:bad", "path:p")}
@@ -273,6 +272,22 @@ def test_mined_rules_match_brute_force(spark):
     assert all((len(r.mined) > 0) == r.blocked for r in hits)
 
 
+def test_tokens_that_go_together_are_mined_as_one(spark):
+    deep = "/".join(f"part{chr(97 + i)}" for i in range(26)) + "/xa/xb/xc/xd"
+    urls = [(f"http://h{i % 7}.x/{deep if i % 3 == 0 else 'good'}", i % 3 == 0) for i in range(210)]
+    frame = spark.createDataFrame(urls, "url string, blocked boolean")
+    labelled = frame.select(url_rules.tokens(F.col("url")).alias("tokens"), "blocked")
+    rules = url_rules.mine(labelled, 0.01, 0.9)
+    held = rules.collect()  # 30 tokens always together: unmerged, more than a billion frequent sets
+    assert {tuple(r.antecedent) for r in held} == {("path:parta",)} and len(held) == 30
+    assert {r.key for r in held} == set(held[0].members[0]) and {r.confidence for r in held} == {1.0}
+    # A URL with any one of them is met, as by a rule on that token alone.
+    asked = spark.createDataFrame([("http://z.y/xc", 1), ("http://z.y/partz/xa", 2), ("http://z.y/good", 3), (None, 4)], "url string, mined int")
+    got = {r.url: len(r.mined) for r in url_rules.apply(asked, rules).collect()}
+    assert got == {"http://z.y/xc": 1, "http://z.y/partz/xa": 1, "http://z.y/good": 0, None: 0}
+    assert url_rules.mine(labelled.limit(0)).count() == 0
+
+
 def test_pii_is_linear_in_long_runs(spark):
     text = "a" * 300_000 + " " + "1" * 300_000 + " " + "1 2 " * 100_000 + "a." * 100_000
     assert pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0].spans == ""
