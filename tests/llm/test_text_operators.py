@@ -71,6 +71,24 @@ def test_pii_equals_plain_version(spark):
     assert [r.spans for r in rows if r.doc_id is None] == ["ssn:4:15"]
 
 
+def made_iban(country: str, length: int) -> str:
+    body = "".join(str((7 * i + 3) % 10) for i in range(length - 4))
+    moved = "".join(str(int(c, 36)) for c in f"{body}{country}00")
+    return f"{country}{98 - int(moved) % 97:02d}{body}"
+
+
+def test_account_numbers_end_with_their_country_s_length(spark):
+    rows, want = [], {}
+    for i, (country, length) in enumerate((c, n) for n, codes in pii.IBAN_LENGTHS.items() for c in codes.split()):
+        code = made_iban(country, length)
+        code = " ".join(code[k : k + 4] for k in range(0, length, 4)) if i % 2 else code
+        tail = ("BIC", "2024", "and", "")[i % 4]
+        rows.append((i, f"IBAN {code} {tail} {code[:-1]}X."))
+        want[i] = f"iban:5:{5 + len(code)}"
+    got = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("iban")] for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: spans[0] for i, spans in got.items()} == want
+
+
 def test_pii_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([("a@b.cd", 1, 2, "x")], "text string, _rid int, pii int, kind string")
     row = pii.find(docs).collect()[0]
