@@ -55,7 +55,7 @@ def _iban_pattern() -> str:
         tail = f" ?[A-Z0-9]{{{rest}}}" if rest else ""
         known.append(f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}")
     other = "[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
-    return rf"(?<![A-Za-z0-9])(?:{'|'.join(known)}|{other})(?![A-Za-z0-9])"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join(known)}|{other})(?![A-Za-z0-9])"
 
 
 _LOCAL = "[A-Za-z0-9._%+-]"
